@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, quality, rules, simhash, sketch
+from . import bpe, fingerprint_index, line_dedup, mixing, quality, rules, simhash, sketch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.digest(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mixing, op3_quality_classifier, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash)
+    made = (op1_mixing, op3_quality_classifier, op4_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash)
     return {f.__name__: f for f in made}
 
 
