@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint_index, line_dedup, mixing, quality, rules, simhash, sketch
+from . import bpe, fingerprint_index, line_dedup, mixing, quality, rules, simhash, sketch, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_index.digest(documents(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mixing, op3_quality_classifier, op4_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash)
+    made = (op1_mixing, op3_quality_classifier, op4_substring_dedup, op5_suffix_array_dedup, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash)
     return {f.__name__: f for f in made}
 
 

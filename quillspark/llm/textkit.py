@@ -79,12 +79,12 @@ def word_hashes(words: np.ndarray, check: bool = False) -> Rolling:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column and the offsets of its rows; nulls are empty."""
+    """All bytes of a string or binary column and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    column = column.cast(pa.large_binary())
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     if data is None or not len(column):
