@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from . import textkit
 
 
-def attach(df: DataFrame, name: str, fields: str, make: Callable, text: str = "text", limit: int = 4 << 20) -> DataFrame:
+def attach(df: DataFrame, name: str, fields: str, make: Callable, text: str = "text", limit: int = 2 << 20) -> DataFrame:
     """df with one more struct column `name`; a column of that name is replaced.
 
     make(buf, off) gets the UTF-8 bytes and offsets of some rows' texts (null

@@ -37,7 +37,9 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACES, JOINS, ALONE = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINED, IN_SPACES, TWO_LEFT, ONE_LEFT = range(8)
 
-CACHED = 300_000
+#: Pieces that a worker keeps, and bytes of text that it encodes at a time: these bound its memory.
+CACHED = 150_000
+TOGETHER = 1 << 20
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +250,7 @@ def encode(docs: DataFrame, name: str = "tokens", text: str = "text", path: str
         at = pa.array(tokens.astype(np.int32))
         return [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, offsets)]
 
-    return attach(docs, name, "struct<ids:array<int>,offsets:array<int>>", make, text)
+    return attach(docs, name, "struct<ids:array<int>,offsets:array<int>>", make, text, TOGETHER)
 
 
 def decode(df: DataFrame, ids: str, name: str = "decoded", path: str | None = None) -> DataFrame:
@@ -261,10 +263,10 @@ def decode(df: DataFrame, ids: str, name: str = "decoded", path: str | None = No
         token = vocabulary(where).token.__getitem__
         for batch in batches:
             column = batch.column(ids)
-            flat = column.flatten().tolist() if len(column) else []
+            flat = column.flatten().to_numpy()
             made, at = [], 0
             for n in column.value_lengths().fill_null(0).to_pylist():
-                made.append(b"".join(map(token, flat[at : at + n])))
+                made.append(b"".join(map(token, flat[at : at + n].tolist())))
                 at += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, name])
 

@@ -92,7 +92,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text", rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str = "text", rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that each holds about `limit` bytes of text and at most `rows` rows, or one row."""
     for batch in batches:
         if not batch.num_rows:
