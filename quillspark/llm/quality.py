@@ -138,6 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], ["weights", "bias"])
 
     made = one.select("text", "label").mapInArrow(run, "weights binary, bias double").first()
+    if made is None:  # no labelled row
+        return train(pa.array([], pa.string()), np.zeros(0))
     return np.frombuffer(made["weights"], np.float32), made["bias"]
 
 
