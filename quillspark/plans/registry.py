@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rewrites as R
+from ..functions import texts
 from ..operators import changes, consistency, findings, guards, layout, recommend, references, scans, usage
 from ..sources import corpus, operations
 from ..sources import packages as cells_of
-from . import structure
+from . import jobs, structure
 from .planting import manuscripts, revisions, with_views
 
 Query = tuple
@@ -311,6 +312,15 @@ def queries() -> dict[str, Query]:
     add("layout_collapse", (lambda s, d: layout.collapse_layout(manuscripts(s, d).selectExpr("doc_id", "idx", "'table.margin' AS rule", "concat('table ', CAST(idx AS STRING), ' left margin is 0.03 in section ', CAST(idx % 2 AS STRING)) AS message")), "SELECT doc_id, 'table.margin' AS rule, 'table N left margin is 0.03 in section N' AS key, count(*) AS n, min(idx) AS first_idx, 'table 0 left margin is 0.03 in section 0' AS message FROM p GROUP BY doc_id"))
     add("cells_lettered", (lambda s, d: cells_of.cells(structure.table(s, d, structure.CELLS), "lettered").groupBy("doc_id").agg(F.count("*").alias("n")), f"WITH c AS ({structure.duck(structure.CELLS)}) SELECT doc_id, count(*) AS n FROM c WHERE regexp_matches(text, '\\p{{L}}') GROUP BY doc_id"))
     add("cells_readable", (lambda s, d: cells_of.cells(structure.table(s, d, structure.CELLS), "readable").groupBy("doc_id").agg(F.count("*").alias("n")), f"WITH c AS ({structure.duck(structure.CELLS)}) SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, table_no, text FROM c WHERE regexp_matches(text, '[A-Za-z]{{4,}}')) t GROUP BY doc_id"))
+    # whole jobs
+    add("proofread_scan", (over(lambda p: jobs.proofread_scan(p).groupBy("rule").agg(F.count("*").alias("n"))), None))
+    add("layout_scan", (lambda s, d: jobs.layout_scan(manuscripts(s, d), structure.table(s, d, structure.FORMATS).withColumn("listing", F.col("num_id")), *[structure.table(s, d, t) for t in (structure.RUNS, structure.TABLES, structure.SECTIONS, structure.IMAGES)]).groupBy("rule").agg(F.count("*").alias("n")), None))
+    add("rewrite_job", (over(lambda p: jobs.house_rewrite(p, {"citation"}).groupBy("doc_id").agg(F.count("*").alias("n"))), None))
+    add("domain_job", (lambda s, d: jobs.recommendations(_vectors(s, d), _journals(s, d))["domains"].select("doc_id", "domain", "agreed", "of"), None))
+    add("routine_job", (lambda s, d: jobs.corpus_reports(scans.mechanical(manuscripts(s, d)), docs(s, d))["marked"].groupBy("rule", "routine").agg(F.count("*").alias("n")), None))
+    add("number_losses", (over_r(lambda r: r.filter("original <> edited").select("doc_id", "idx", F.array_join(texts.array_lost(texts.numbers(texts.sanctioned(F.col("original"))), texts.numbers(texts.sanctioned(F.col("edited")))), ",").alias("lost")).filter("lost <> ''")), None))
+    add("reset_days", (lambda s, d: ops(s, d, "process_logs").select(F.to_date("timestamp").alias("day")).distinct().select("day", texts.resets_on(F.col("day")).alias("resets_on")), f"WITH l AS ({operations.LOGS}) SELECT DISTINCT CAST(timestamp AS DATE) AS day, CAST(date_trunc('month', timestamp) + INTERVAL 1 MONTH AS DATE) AS resets_on FROM l"))
+    add("name_overlap", (lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(texts.dice(F.split("p_name", " "), F.array(F.lit("red"), F.lit("ring"))), 6).alias("dice"), texts.slug(F.col("p_type")).alias("slug")), "SELECT p_partkey, round(2.0 * len(list_intersect(string_split(p_name, ' '), ['red', 'ring'])) / (len(list_distinct(string_split(p_name, ' '))) + 2), 6) AS dice, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part"))
     return q
 
 
