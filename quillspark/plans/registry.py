@@ -325,4 +325,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in queries().items() if sql}
+    from .oracles import SQL
+
+    return {name: with_views(sql or SQL[name]) for name, (_, sql) in queries().items() if sql or name in SQL}
