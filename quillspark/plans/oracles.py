@@ -30,9 +30,9 @@ SQL = {
     "fill_dois": "SELECT doc_id, CAST(k AS INTEGER) AS ref_no, concat('10.5555/w', CAST(CASE k WHEN 4 THEN doc_id % 9 ELSE 1 END AS STRING)) AS doi FROM documents, (SELECT unnest([4, 5]) AS k) n WHERE text IS NOT NULL AND (k = 4 OR doc_id % 5 = 0)",
     "number_citations": "SELECT doc_id, idx, CAST(2 AS INTEGER) AS ref_no FROM p WHERE contains(text, 'Jones (2020)') UNION ALL SELECT doc_id, idx, 4 FROM p WHERE contains(text, '(Brown, 2018)') AND doc_id % 5 <> 0",
     "acronyms": f"""WITH d AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k, count(*) OVER (PARTITION BY doc_id) AS t FROM p WHERE contains(text, 'Gain Control (AGC) was')), f AS (SELECT doc_id, idx AS fd, t FROM d WHERE k = 1),
-      u AS (SELECT p.doc_id, idx, fd, t FROM p JOIN f ON p.doc_id = f.doc_id WHERE {AGC}), x AS (SELECT doc_id, fd, t, count(*) FILTER (idx >= fd) AS later, min(idx) AS first FROM u GROUP BY ALL)
+      u AS (SELECT p.doc_id, idx, fd, t FROM p JOIN f ON p.doc_id = f.doc_id WHERE {AGC} AND NOT {IS_REF}), x AS (SELECT doc_id, fd, t, count(*) FILTER (idx >= fd) AS later, min(idx) AS first FROM u GROUP BY ALL)
       SELECT doc_id, first AS idx, 'acronym.used_before_definition' AS rule, 'AGC' AS acronym FROM x WHERE first < fd UNION ALL SELECT doc_id, idx, 'acronym.defined_twice', 'AGC' FROM d WHERE k = 2 UNION ALL SELECT doc_id, fd, 'acronym.defined_but_unused', 'AGC' FROM x WHERE t = 1 AND later <= 1""",
-    "cross_references": """WITH m AS (SELECT DISTINCT doc_id, n FROM p, (SELECT unnest([3, 2, 4, 5]) AS n, unnest(['as Figure 3 shows', '[Figure 2] gives', 'Fig. 4 and Figure', 'and Figure 5 agree']) AS w) x WHERE contains(text, w)), c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 9 END AS n FROM documents WHERE text IS NOT NULL)
+    "cross_references": f"""WITH m AS (SELECT DISTINCT doc_id, n FROM p, (SELECT unnest([3, 2, 4, 5]) AS n, unnest(['as Figure 3 shows', '[Figure 2] gives', 'Fig. 4 and Figure', 'and Figure 5 agree']) AS w) x WHERE contains(text, w) AND NOT {IS_REF}), c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 9 END AS n FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, 'Figure' AS kind, CAST(n AS INTEGER) AS n, 'reference.no_caption' AS rule FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND c.n = m.n) UNION ALL SELECT doc_id, 'Figure', n, 'caption.not_cited' FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE c.doc_id = m.doc_id AND c.n = m.n)""",
     "table_captions": f"WITH t AS ({structure.duck(structure.TABLES)}) SELECT doc_id, table_no, 'table.caption' AS rule FROM t WHERE after_idx % 2 = 1",
     "table_cells": f"WITH c AS ({structure.duck(structure.CELLS)}) SELECT doc_id, table_no, array_to_string(list_transform(list_sort(list(DISTINCT CAST(size AS DOUBLE))), lambda x: CAST(x AS VARCHAR)), ',') AS sizes, avg(CAST(bold AS INTEGER)) AS bold_share FROM c GROUP BY doc_id, table_no HAVING count(DISTINCT size) > 1",

@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, duck, name, tmp_path):
     columns = ", ".join(f'"{c}"' for c in sorted(want.columns))
     duck.sql(f"CREATE OR REPLACE TABLE a AS SELECT {columns} FROM '{out}/*.parquet'")
     duck.sql(f"CREATE OR REPLACE TABLE b AS SELECT {columns} FROM want")
-    assert duck.sql("SELECT count(*) FROM a").fetchone()[0] > 0
+    assert duck.sql("SELECT count(*) FROM a").fetchall()[0][0] > 0
     assert duck.sql("DESCRIBE a").fetchall() == duck.sql("DESCRIBE b").fetchall()
     for x, y in (("a", "b"), ("b", "a")):
         assert duck.sql(f"SELECT * FROM {x} EXCEPT ALL SELECT * FROM {y}").fetchall() == []
