@@ -70,6 +70,8 @@ class EliasFano:
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         self.low, self.high = _mapped(packed, folder, f"{name}.low"), _mapped(words, folder, f"{name}.high")
         self.ahead = np.append(0, np.cumsum(np.bitwise_count(words), dtype=np.int64))  # ones before each word of high bits
+        self.zeros = np.arange(len(self.ahead)) * 64 - self.ahead
+        self.top = int(values[-1] >> np.uint64(self.low_bits)) if self.n else 0
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at the places i, by select on the high bits."""
@@ -82,9 +84,25 @@ class EliasFano:
             low |= np.asarray(self.low[i, b]).astype(np.uint64) << np.uint64(8 * b)
         return (place - i).astype(np.uint64) << np.uint64(self.low_bits) | low
 
+    def below(self, h: np.ndarray) -> np.ndarray:
+        """How many values have a high part under h: the place of the h-th zero, by select on the zeros."""
+        out = np.full(len(h), self.n, np.int64)
+        out[h == 0] = 0
+        some = np.flatnonzero((h > 0) & (h <= self.top))
+        k = h[some].astype(np.int64) - 1
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        out[some] = word * 64 + _select(~np.asarray(self.high[word]), k - self.zeros[word]) - k
+        return out
+
     def successor(self, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Of each range first .. last - 1 the least place whose value isn't below `value`, or last."""
-        a, b = first.astype(np.int64), last.astype(np.int64)
+        """Of each range first .. last - 1 the least place whose value isn't below `value`, or last.
+
+        Only the values with the same high part, two on average, are searched.
+        """
+        h = value >> np.uint64(self.low_bits)
+        start, stop = self.below(h), self.below(h + np.uint64(1))
+        a = np.clip(start, first, last).astype(np.int64)
+        b = np.clip(stop, first, last).astype(np.int64)
         while True:
             open_ = np.flatnonzero(a < b)
             if not len(open_):
@@ -135,12 +153,12 @@ class Trie:
         self.size = len(starts)
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The codes of the pairs; 0 where the trie has none."""
+        """The codes of pairs in ascending order; 0 where the trie has none."""
         found = np.zeros(len(context), np.uint16)
         if not self.size or not len(context):
             return found
-        distinct, which = np.unique(context, return_inverse=True)
-        key = distinct >> np.uint64(1)
+        new = np.append(True, context[1:] != context[:-1])
+        which, key = np.cumsum(new) - 1, context[new] >> np.uint64(1)
         at = self.contexts.successor(np.zeros(len(key), np.int64), np.full(len(key), self.size), key)
         have = at < self.size
         have[have] = self.contexts.access(at[have]) == key[have]
@@ -257,17 +275,20 @@ def answers(blobs: list[bytes], folder: str) -> tuple[list[bytes], int, int]:
     context = np.concatenate([np.repeat(q[2], q[3]) for q in asked])
     successor = np.concatenate([q[4] for q in asked])
     times = np.concatenate([q[5] for q in asked]).astype(np.int64)
-    seen = np.flatnonzero(times)
-    order = seen[np.lexsort((successor[seen], context[seen]))]
-    a, b, t = context[order], successor[order], times[order]
-    starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
-    total = np.add.reduceat(t, starts) if len(starts) else t
-    trie = Trie(a[starts], b[starts], quantise(total), folder)
+    order = np.lexsort((successor, context))
+    a, b = context[order], successor[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    total = np.add.reduceat(times[order], starts) if len(starts) else times
+    a, b, seen = a[starts], b[starts], total > 0
+    trie = Trie(a[seen], b[seen], quantise(total[seen]), folder)
+    codes = np.empty(len(order), np.uint16)
+    codes[order] = trie.find(a, b)[np.cumsum(new) - 1]  # each distinct pair is asked once
+    at_p = np.append(0, np.cumsum([len(q[4]) for q in asked]))
     at_w = np.append(0, np.cumsum([len(q[0]) for q in asked]))
     replies = []
-    for i, q in enumerate(asked):
-        codes = trie.find(np.repeat(q[2], q[3]), q[4])
-        replies.append(pack(count[which[at_w[i] : at_w[i + 1]]].astype(np.uint64), codes))
+    for i in range(len(asked)):
+        replies.append(pack(count[which[at_w[i] : at_w[i + 1]]].astype(np.uint64), codes[at_p[i] : at_p[i + 1]]))
     return replies, int(count.sum()), int((count > 0).sum())
 
 
