@@ -6,8 +6,8 @@ whose extent is open.  Segments are shuffled by slice; a task builds the
 transform of some slices' segments and expands its intervals breadth first: the
 intervals of common prefixes of length n, extended backwards by the symbol in
 front, are those of length n + 1, and rows that part at that step have a common
-prefix of exactly n.  It stops at 400: rows that are still together start equal
-windows.
+prefix of exactly n.  A symbol is a block of 8 bytes, so the expansion stops at
+50: rows that are still together start equal windows of 400 bytes.
 
 A slice with over LARGE different surroundings isn't gathered into one task: its
 windows are compared by two independent 64-bit hashes in a shuffle of single
@@ -37,18 +37,21 @@ LARGE = 6000
 TOGETHER = 512 << 10
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of symbols (0: end of a segment) in the order of at least their first `depth` symbols, by prefix doubling."""
-    n = len(text)
-    code = np.zeros(n, np.uint64)
-    long = np.append(text, np.zeros(8, text.dtype)).astype(np.uint64)
-    for i in range(7):  # 7 symbols of 9 bits
-        code = code << np.uint64(9) | long[i : i + n]
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    have = 7
+def blocks(text: np.ndarray, stride: int) -> np.ndarray:
+    """The symbol at each place: the rank of the next `stride` bytes (at most 8)."""
+    long = np.append(text, np.zeros(stride, np.uint8)).astype(np.uint64)
+    code = np.zeros(len(text), np.uint64)
+    for i in range(stride):
+        code = code << np.uint64(8) | long[i : i + len(text)]
+    return np.unique(code, return_inverse=True)[1].astype(np.int64)
+
+
+def suffix_order(symbols: np.ndarray, stride: int, depth: int) -> np.ndarray:
+    """Places in the order of at least their first `depth` bytes, by prefix doubling."""
+    n, rank, have = len(symbols), symbols.copy(), stride
     while have < depth:
         tail = np.zeros(n, np.int64)
-        tail[: n - have] = rank[have:] + 1 if n > have else 0
+        tail[: max(0, n - have)] = rank[have:] + 1
         key = rank * (n + 1) + tail
         order = np.argsort(key)
         new = np.append(False, key[order][1:] != key[order][:-1])
@@ -59,21 +62,23 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, stop: int) -> np.ndarray:
-    """For each row the length of its common prefix with the row before, at most `stop`, in increasing order of length.
+def common_prefixes(symbols: np.ndarray, stride: int, order: np.ndarray, stop: int) -> np.ndarray:
+    """For each row how many symbols it shares with the row before, at most `stop`, in increasing order.
 
-    follow[r] is the row of the suffix that begins one symbol later, so the row r
-    is the backward extension of the row follow[r] by text[order[r]].
+    The symbol in front of a place stands `stride` bytes before it, so the text
+    is transformed as `stride` interleaved strings over blocks of bytes.
+    follow[r] is the row of the place one symbol later, so row r is the backward
+    extension of row follow[r] by its own symbol.
     """
-    n = len(text)
+    n = len(symbols)
     row = np.empty(n, np.int32)
     row[order] = np.arange(n, dtype=np.int32)
-    follow = row[(order + 1) % n]
-    symbol = text[order]
-    prefix = np.full(n, stop, np.int32)
+    follow = row[(order + stride) % n]
+    first = symbols[order]
+    shared = np.full(n, stop, np.int32)
     parted = np.ones(n, bool)
-    parted[1:] = (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)
-    prefix[parted] = 0
+    parted[1:] = first[1:] != first[:-1]
+    shared[parted] = 0
     together = np.flatnonzero(~parted)
     for length in range(1, stop):
         if not len(together):
@@ -81,20 +86,24 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, stop: int) -> np.ndarra
         interval = np.cumsum(parted, dtype=np.int32)  # the intervals of common prefixes of this length
         same = interval[follow[together - 1]] == interval[follow[together]]
         ended = together[~same]
-        prefix[ended] = length
+        shared[ended] = length
         parted[ended] = True
         together = together[same]
-    return prefix
+    return shared
 
 
 def equal_windows(segments: list[bytes], windows: np.ndarray, size: int) -> list[np.ndarray]:
-    """For each segment, which of its first windows[i] starts begin a string of `size` bytes that such a start elsewhere begins too."""
-    sizes = np.array([len(s) + 1 for s in segments])
+    """For each segment, which of its first windows[i] starts begin a string of `size` bytes that such a start elsewhere begins too.
+
+    A window lies in its segment whole, so what stands behind a segment never decides.
+    """
+    stride = next(x for x in (8, 5, 4, 3, 2, 1) if size % x == 0)
+    sizes = np.array([len(s) for s in segments])
     at = np.cumsum(sizes) - sizes
-    text = np.zeros(int(sizes.sum()), np.uint16)
-    text[np.arange(len(text) - len(segments)) + np.repeat(np.arange(len(segments)), sizes - 1)] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
-    order = suffix_order(text, size)
-    group = np.cumsum(common_prefixes(text, order, size) < size)
+    text = np.frombuffer(b"".join(segments), np.uint8)
+    symbols = blocks(text, stride)
+    order = suffix_order(symbols, stride, size)
+    group = np.cumsum(common_prefixes(symbols, stride, order, size // stride) < size // stride)
     wanted = textkit.covered(at, at + windows, len(text))[order]
     count = np.bincount(group[wanted], minlength=int(group[-1]) + 1)
     hit = np.zeros(len(text), bool)
@@ -106,7 +115,7 @@ def segments(places: DataFrame, unit: repeats.Unit) -> DataFrame:
     """(doc, mark, at, slice, windows, segment): the bytes of the windows of each listed anchor, `at` the first one's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.pieces(batches):
+        for batch in textkit.pieces(batches, 1 << 20):
             buf, off = textkit.utf8(batch.column("text"))
             w = repeats.Windows(unit, buf, off)
             (place,) = repeats.ranges_of(batch, "places", ("at",), w.rows[:-1])
@@ -181,7 +190,7 @@ def expanded(parts: DataFrame, size: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, found: DataFrame, unit: repeats.Unit = BYTES, large: int = LARGE) -> DataFrame:
     """(doc, mark, first, last): byte ranges of the keyed documents that repeated windows cover."""
-    counts = found.groupBy("slice").agg(F.count("*").alias("n"))
+    counts = materialise(found.groupBy("slice").agg(F.count("*").alias("n")).filter("n > 1"), "slices")  # a plain table on one side lets Spark split a hot slice on the other
     hits = repeats.candidates(found, counts)
     per = repeats.covers(hits)
     places = materialise(repeats.open_places(per), "open")
