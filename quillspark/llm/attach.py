@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from . import textkit
 
 
-def attach(df: DataFrame, name: str, fields: str, make: Callable, text: str = "text", limit: int = 2 << 20) -> DataFrame:
+def attach(df: DataFrame, name: str, fields: str, make: Callable, text: str = "text", limit: int = 1 << 20) -> DataFrame:
     """df with one more struct column `name`; a column of that name is replaced.
 
     make(buf, off) gets the UTF-8 bytes and offsets of some rows' texts (null
@@ -30,5 +30,6 @@ def attach(df: DataFrame, name: str, fields: str, make: Callable, text: str = "t
             made = [x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in made]
             struct = pa.StructArray.from_arrays(made, names)
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, name])
+        textkit.release()
 
     return base.mapInArrow(run, schema)

@@ -125,6 +125,8 @@ def links(prints: DataFrame) -> DataFrame:
             held = tuple(x[cut:] for x in now)
         if len(held[0]):
             yield from found(held[2], np.array([0, len(held[0])]))
+        held = ()
+        textkit.release()
 
     def found(bits: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         many = np.flatnonzero(np.diff(edges) > 1)

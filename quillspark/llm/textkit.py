@@ -7,6 +7,7 @@ are empty texts everywhere.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,15 @@ def word_hashes(words: np.ndarray, check: bool = False) -> Rolling:
     return Rolling(mix(words + _U(0x632BE59BD9B4E019)) if check else words, _CHECK_BASE if check else _WORD_BASE)
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the system; its worker stays for later tasks."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
