@@ -77,7 +77,7 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     """The anchors of keyed documents, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.pieces(batches):
+        for batch in textkit.pieces(batches, 1 << 20):
             w = Windows(unit, *textkit.utf8(batch.column("text")))
             at = np.unique(w.anchor)
             row = np.searchsorted(w.rows, at, "right") - 1
@@ -95,6 +95,7 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
                 ],
                 [*KEYS, "at", "slice", "cover"],
             )
+        textkit.release()
 
     return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, mark bigint, at int, slice bigint, cover bigint")
 
@@ -124,6 +125,7 @@ class Sieve:
                 rows = np.flatnonzero(hit == inside)
                 if len(rows):
                     yield batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
+            textkit.release()
 
         return df.mapInArrow(run, df.schema)
 
@@ -189,8 +191,9 @@ def removed(docs: DataFrame, ranges: DataFrame, clean: Callable, fields: str) ->
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.pieces(batches):
+        for batch in textkit.pieces(batches, 1 << 20):
             made = clean(*textkit.utf8(batch.column("text")), lambda starts, batch=batch: ranges_of(batch, "ranges", ("first", "last"), starts))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *made], ["doc", *names])
+        textkit.release()
 
     return some.select("doc", "text", "ranges").mapInArrow(run, kind).union(rest.mapInArrow(run, kind))

@@ -33,8 +33,8 @@ from .repeats import BYTES, KEYS
 from .storage import materialise
 
 #: Surroundings of a slice that one task takes, and bytes of segments in a transform.
-LARGE = 6000
-TOGETHER = 512 << 10
+LARGE = 2000
+TOGETHER = 256 << 10
 
 
 def blocks(text: np.ndarray, stride: int) -> np.ndarray:
@@ -136,6 +136,7 @@ def segments(places: DataFrame, unit: repeats.Unit) -> DataFrame:
                 ],
                 [*KEYS, "at", "slice", "windows", "segment"],
             )
+        textkit.release()
 
     return places.mapInArrow(run, f"doc {places.schema['doc'].dataType.simpleString()}, mark bigint, at int, slice bigint, windows int, segment binary")
 
@@ -162,6 +163,8 @@ def expanded(parts: DataFrame, size: int) -> DataFrame:
                     weight = held[0].nbytes if whole else 0
         if held:
             yield from found(pa.concat_batches(held))
+        held = []
+        textkit.release()
 
     def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         windows = np.asarray(rows.column("windows")).astype(np.int64)
