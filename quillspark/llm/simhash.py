@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import near, textkit
 from .attach import attach
 from .components import Forest, components
 from .storage import materialise
@@ -155,8 +155,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near copies the document with the least id stays; its repeated rows become one."""
-    found = near_duplicates(docs.filter("doc_id is not null"), size=5)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    """Pipeline stage: of each component of near copies (see near) the document with the least id stays; its repeated rows become one."""
+    keep = near.least_of_components(docs.filter("doc_id is not null")).distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])
