@@ -1,10 +1,12 @@
 """Substring dedup over a log-structured index of window fingerprints.
 
-The index is a log of immutable runs, each a Parquet table of (slice, n) sorted
-by fingerprint: one run for each batch of documents.  A batch is merge-joined
-with the counts of all runs; what meets history is verified on whole windows by
-two independent 64-bit hashes.  Compaction merges the runs into one.  Runs hold
-the anchors' fingerprints (see repeats): every window has one, so none is missed.
+The index is a log of immutable runs, each a Parquet table of (slice, cover, n,
+place) sorted by fingerprint: one run for each batch of documents.  A batch is
+joined with the earlier runs; what meets history is verified on whole windows by
+two independent 64-bit hashes, read at the places in the earlier documents, and
+repeats are given for both sides.  Compaction merges the runs into one.  Runs
+hold the anchors' fingerprints (see repeats): every window has one, so none is
+missed.
 
 Edge cases: a null text has no words; a text shorter than the window has none to
 remove; rows equal in id and text repeat each other; self-overlapping repeats
@@ -29,47 +31,67 @@ BATCHES = 2
 
 
 class FingerprintIndex:
-    """Runs of fingerprint counts in the shared folder."""
+    """Runs of fingerprints in the shared folder, and the keyed documents that their places point to."""
 
-    def __init__(self, spark: SparkSession, runs: list[str] | None = None):
-        self.spark, self.runs = spark, list(runs or [])
+    def __init__(self, spark: SparkSession, runs: list[str] | None = None, docs: DataFrame | None = None):
+        self.spark, self.runs, self.docs = spark, list(runs or []), docs
 
     def append(self, found: DataFrame) -> str:
         """Writes the anchors' fingerprints as a new sorted run."""
-        return self._write(found.groupBy("slice").agg(F.count("*").alias("n")))
+        self.runs.append(self._write(_merged(found.select("slice", "cover", F.lit(1).cast("bigint").alias("n"), F.struct("doc", "mark", "at").alias("place")))))
+        return self.runs[-1]
 
-    def _write(self, counts: DataFrame) -> str:
+    def _write(self, entries: DataFrame) -> str:
         path = new_folder(self.spark, "run")
-        counts.sortWithinPartitions("slice").write.option("compression", "zstd").parquet(path)
-        self.runs.append(path)
+        entries.sortWithinPartitions("slice", "cover").write.option("compression", "zstd").parquet(path)
         return path
 
-    def counts(self) -> DataFrame:
-        """(slice, n) over all runs."""
+    def entries(self) -> DataFrame:
+        """(slice, cover, n, place) of all runs; a fingerprint of several runs has as many rows."""
         rows = None
         for path in self.runs:
-            run = self.spark.read.schema("slice bigint, n bigint").parquet(path)
+            run = self.spark.read.parquet(path)
             rows = run if rows is None else rows.union(run)
-        if len(self.runs) == 1:
-            return rows
-        return rows.groupBy("slice").agg(F.sum("n").alias("n"))
+        return rows
+
+    def counts(self) -> DataFrame:
+        """(slice, n) over all runs."""
+        return self.entries().groupBy("slice").agg(F.sum("n").alias("n"))
 
     def compact(self) -> str:
         """Replaces all runs by one; the old tables stay for readers that began before."""
-        merged = self.counts()
-        self.runs = []
-        return self._write(merged)
+        self.runs = [self._write(_merged(self.entries()))]
+        return self.runs[0]
+
+    def add(self, docs: DataFrame, found: DataFrame, unit: Unit = WORDS) -> DataFrame:
+        """Verifies a batch (keyed documents and their anchors) against itself and all runs, then appends it.
+
+        (doc, mark, first, last): item ranges that windows cover which are
+        repeated as of this batch, in the batch and in earlier ones.  An earlier
+        range that was given before may be missing: the union over the batches is
+        that of all documents at once.
+        """
+        history, earlier = list(self.runs), self.docs
+        path = self.append(found)
+        self.docs = docs if earlier is None else earlier.union(docs)
+        both = self.spark.read.parquet(path).withColumn("old", F.lit(False))
+        if history:
+            past = FingerprintIndex(self.spark, history).entries()
+            new = both.select("slice")
+            past = repeats.Sieve(new, "slice", 26).passed(past, "slice").join(new.distinct(), "slice", "left_semi")
+            both = both.union(past.withColumn("old", F.lit(True)))
+        return repeated_ranges(self.docs, found, both, unit)
+
 
-    def lookup(self, found: DataFrame) -> DataFrame:
-        """The anchors whose fingerprint the index has twice or more."""
-        return repeats.candidates(found, self.counts())
+def _merged(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("slice", "cover").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
 
 
 def window_hashes(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
     """(doc, mark, at, first, second) of the windows whose anchor is among a document's `places`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.pieces(batches):
+        for batch in textkit.pieces(batches, 1 << 20):
             w = repeats.Windows(unit, *textkit.utf8(batch.column("text")))
             (wanted,) = repeats.ranges_of(batch, "places", ("at",), w.rows[:-1])
             chosen = np.zeros(len(w.items) + 1, bool)
@@ -87,19 +109,32 @@ def window_hashes(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
                 ],
                 [*KEYS, "at", "first", "second"],
             )
+        textkit.release()
 
     return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, mark bigint, at int, first bigint, second bigint")
 
 
-def repeated_ranges(docs: DataFrame, found: DataFrame, index: FingerprintIndex, unit: Unit = WORDS) -> DataFrame:
-    """(doc, mark, first, last): word ranges of the keyed documents that repeated windows cover."""
-    hits = index.lookup(found)
-    per = repeats.covers(hits)
+def repeated_ranges(docs: DataFrame, found: DataFrame, entries: DataFrame, unit: Unit = WORDS) -> DataFrame:
+    """(doc, mark, first, last): word ranges that repeated windows cover.
+
+    docs: the batch and the earlier ones; found: the batch's anchors; entries:
+    its fingerprints and those of the earlier runs that share a slice (`old`).
+    One place of an old fingerprint is enough: where it has several, all of them
+    were repeats before.
+    """
+    repeated = entries.groupBy("slice").agg(F.sum("n").alias("n")).filter("n > 1").select("slice")
+    hits = materialise(repeats.Sieve(repeated, "slice", 26).passed(entries, "slice").join(repeated, "slice", "left_semi"), "candidates")
+    least = F.min(F.struct("old", "place"))
+    per = materialise(hits.groupBy("slice", "cover").agg(F.sum("n").alias("n"), least["place"].alias("place")), "covers")
+    many = per.filter("n > 1").select("cover")
+    some = repeats.Sieve(many, "cover", 26).passed(found, "cover")
+    once = hits.filter("old and n = 1").select("place.doc", "place.mark", "place.at", "slice", "cover")
     places, _ = repeats.with_lists(docs, repeats.open_places(per).select(*KEYS, "at"), "places", "at")
     windows = materialise(window_hashes(places, unit), "windows")
     again = windows.groupBy("first", "second").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     verified = windows.join(again, ["first", "second"], "left_semi")
-    return repeats.interior(hits, per, unit).union(verified.select(*KEYS, F.col("at").alias("first"), (F.col("at") + unit.size).alias("last")))
+    inside = repeats.interior(some.select(once.columns).union(once), per, unit)
+    return inside.union(verified.select(*KEYS, F.col("at").alias("first"), (F.col("at") + unit.size).alias("last")))
 
 
 def clean(buf: np.ndarray, off: np.ndarray, ranges) -> list:
@@ -116,12 +151,11 @@ def drop_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc, n_words, n_removed, kept): kept is the remaining words joined by one space, as UTF-8 bytes."""
     base = repeats.keyed(docs)
     found = materialise(repeats.anchors(base, WORDS), "anchors")
-    index = FingerprintIndex(docs.sparkSession)
+    index, ranges = FingerprintIndex(docs.sparkSession), None
     for b in range(batches):
-        index.append(found.filter(F.pmod("mark", F.lit(batches)) == b))
-    if batches > 1:
-        index.compact()
-    ranges = repeated_ranges(base, found, index)
+        mine = F.pmod("mark", F.lit(batches)) == b
+        now = index.add(base.filter(mine), found.filter(mine))
+        ranges = now if ranges is None else ranges.union(now)
     return repeats.removed(base, ranges, clean, "n_words bigint, n_removed bigint, kept binary")
 
 
