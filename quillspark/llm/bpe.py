@@ -17,9 +17,10 @@ an empty table gives an empty table; a column named like the output is replaced.
 from __future__ import annotations
 
 import base64
+import heapq
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINED, IN_SPACES, TWO_LEFT, ONE_LEFT =
 
 #: Pieces that a worker keeps, and bytes of text that it encodes at a time: these bound its memory.
 CACHED = 150_000
+LONGEST_CACHED = 64
 TOGETHER = 1 << 20
 
 
@@ -140,7 +142,7 @@ class Vocabulary:
         self.keys, self.ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
         self.none = np.int64(1 << 40)
         self.sizes = np.array([len(t) for t in self.token], np.int64)
-        self.cache: dict[int, tuple[int, ...]] = {}
+        self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -150,6 +152,9 @@ class Vocabulary:
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The tokens of each piece: the adjacent pair of least rank, leftmost first, merges until none can."""
         done: list[tuple[int, ...] | None] = [None if (r := self.rank.get(p)) is None else (r,) for p in pieces]
+        for i, p in enumerate(pieces):
+            if done[i] is None and len(p) > LONGEST_CACHED:
+                done[i] = self.merge_long(p)
         todo = [i for i, x in enumerate(done) if x is None]
         if not todo:
             return done
@@ -183,6 +188,36 @@ class Vocabulary:
             pair[left] = self._pair_at(ids, who, left)
         return done
 
+    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+        """The same for one long piece: a heap of pairs, in which those that a merge has outdated are passed over."""
+        ids: list[int] = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        first = self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:]))
+        known = np.flatnonzero(first != self.none)
+        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in known.tolist()]
+        heapq.heapify(heap)
+        ranks = self.merged
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i] if ids[i] == a else -1
+            if j < 0 or j >= len(ids) or ids[j] != b:
+                continue
+            ids[i], ids[j] = rank, -1
+            k = after[i] = after[j]
+            if k < len(ids):
+                before[k] = i
+                if (r := ranks.get((rank, ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, rank, ids[k]))
+            h = before[i]
+            if h >= 0 and (r := ranks.get((ids[h], rank))) is not None:
+                heapq.heappush(heap, (r, h, ids[h], rank))
+        return tuple(x for x in ids if x >= 0)
+
+    @cached_property
+    def merged(self) -> dict[tuple[int, int], int]:
+        """The rank of each pair that merges."""
+        return {(k >> 32, k & 0xFFFFFFFF): r for k, r in zip(self.keys.tolist(), self.ranks.tolist(), strict=True)}
+
     def _pair_at(self, ids: np.ndarray, who: np.ndarray, at: np.ndarray) -> np.ndarray:
         right = np.minimum(at + 1, len(ids) - 1)
         found = self.pair_ranks(ids[at], ids[right])
@@ -206,20 +241,42 @@ def piece_ranges(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, np.searchsorted(start, off)
 
 
+def distinct_pieces(raw: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces, and which of them each piece is.
+
+    Every piece is compared byte by byte with the first one of equal hash; where
+    they differ, it becomes a name of its own.
+    """
+    size = end - start
+    _, at, which = np.unique(textkit.slices(buf, start, end), return_index=True, return_inverse=True)
+    a, b = start[at], end[at]
+    names = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    same = textkit.equal_slices(buf, start, size, a[which], (b - a)[which])
+    if not same.all():
+        known: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            piece = raw[start[i] : end[i]]
+            if piece not in known:
+                known[piece] = len(names)
+                names.append(piece)
+            which[i] = known[piece]
+    return names, which
+
+
 def encode_batch(vocab: Vocabulary, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All token ids, the byte offset of each in its row, and the range of tokens of each row."""
     start, row = piece_ranges(buf, off)
     end = np.append(start[1:], len(buf)) if len(start) else start
-    keys, at, which = np.unique(textkit.byte_hashes(buf).of(start, end), return_index=True, return_inverse=True)
     raw, cache = buf.tobytes(), vocab.cache
     if len(cache) > CACHED:
         cache.clear()
-    names = keys.tolist()
+    names, which = distinct_pieces(raw, buf, start, end)
     found = [cache.get(k) for k in names]
     new = [i for i, x in enumerate(found) if x is None]
-    firsts, ends = start[at].tolist(), end[at].tolist()
-    for i, tokens in zip(new, vocab.merge([raw[firsts[i] : ends[i]] for i in new]), strict=True):
-        found[i] = cache[names[i]] = tokens
+    for i, tokens in zip(new, vocab.merge([names[i] for i in new]), strict=True):
+        found[i] = tokens
+        if len(names[i]) <= LONGEST_CACHED:
+            cache[names[i]] = tokens
     size = np.array([len(x) for x in found], np.int64)
     flat = np.array([t for x in found for t in x], np.int64)
     base = np.cumsum(size) - size

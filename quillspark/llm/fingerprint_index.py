@@ -66,8 +66,8 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, found: DataFrame, unit: Unit = WORDS) -> DataFrame:
         """Verifies a batch (keyed documents and their anchors) against itself and all runs, then appends it.
 
-        (doc, mark, first, last): item ranges that windows cover which are
-        repeated as of this batch, in the batch and in earlier ones.  An earlier
+        Ranges of the windows that are repeated as of this batch, in the batch and
+        in earlier ones.  An earlier
         range that was given before may be missing: the union over the batches is
         that of all documents at once.
         """
@@ -94,18 +94,18 @@ def window_hashes(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
         for batch in textkit.pieces(batches, 1 << 20):
             w = repeats.Windows(unit, *textkit.utf8(batch.column("text")))
             (wanted,) = repeats.ranges_of(batch, "places", ("at",), w.rows[:-1])
-            chosen = np.zeros(len(w.items) + 1, bool)
+            chosen = np.zeros(int(w.rows[-1]) + 1, bool)
             chosen[wanted] = True
             start = w.start[chosen[w.anchor]] if len(w.start) else w.start
             row = np.searchsorted(w.rows, start, "right") - 1
-            end = start + unit.size
+            first, second = (w.items.runs(unit.size, seed)[start] if len(start) else np.zeros(0, np.uint64) for seed in (1, 2))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc").take(pa.array(row)),
                     batch.column("mark").take(pa.array(row)),
                     pa.array((start - w.rows[row]).astype(np.int32)),
-                    pa.array(w.roll.of(start, end).astype(np.int64)),
-                    pa.array(unit.rolls(w.second, True).of(start, end).astype(np.int64)),
+                    pa.array(first.astype(np.int64)),
+                    pa.array(second.astype(np.int64)),
                 ],
                 [*KEYS, "at", "first", "second"],
             )
@@ -115,7 +115,7 @@ def window_hashes(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, found: DataFrame, entries: DataFrame, unit: Unit = WORDS) -> DataFrame:
-    """(doc, mark, first, last): word ranges that repeated windows cover.
+    """Ranges of repeated windows.
 
     docs: the batch and the earlier ones; found: the batch's anchors; entries:
     its fingerprints and those of the earlier runs that share a slice (`old`).
@@ -134,14 +134,12 @@ def repeated_ranges(docs: DataFrame, found: DataFrame, entries: DataFrame, unit:
     again = windows.groupBy("first", "second").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     verified = windows.join(again, ["first", "second"], "left_semi")
     inside = repeats.interior(some.select(once.columns).union(once), per, unit)
-    return inside.union(verified.select(*KEYS, F.col("at").alias("first"), (F.col("at") + unit.size).alias("last")))
+    return inside.union(verified.select(*KEYS, F.col("at").alias("first"), F.col("at").alias("last"), F.lit(unit.size).alias("depth")))
 
 
-def clean(buf: np.ndarray, off: np.ndarray, ranges) -> list:
+def clean(buf: np.ndarray, off: np.ndarray, items) -> list:
     words = textkit.Words(buf, off)
-    first, last = ranges(words.row[:-1])
-    last = np.minimum(last, words.row[np.searchsorted(words.row, first, "right")]) if len(first) else last
-    gone = textkit.covered(first, last, len(words)) if len(words) else np.zeros(0, bool)
+    gone = textkit.covered(*items(words.row, WORDS.reach), len(words)) if len(words) else np.zeros(0, bool)
     raw, starts, ends, keep = buf.tobytes(), words.start.tolist(), words.end.tolist(), (~gone).tolist()
     kept = [b" ".join([raw[starts[i] : ends[i]] for i in range(a, b) if keep[i]]) for a, b in zip(words.row[:-1].tolist(), words.row[1:].tolist(), strict=True)]
     return [pa.array(words.counts().astype(np.int64)), pa.array(textkit.segment_sums(gone, words.row)), pa.array(kept, pa.binary())]

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -327,8 +328,8 @@ def blocks(docs: DataFrame, shards: int, what: str) -> DataFrame:
             buf, off = textkit.utf8(batch.column("text"))
             held = batch.column("held").to_numpy(zero_copy_only=False)
             seed = int(textkit.mix(np.array([len(buf) + 1], np.uint64))[0])
-            whole = textkit.byte_hashes(buf).of(off[:-1], off[1:]) + textkit.mix(np.asarray(batch.column("doc_id").fill_null(-1)).astype(np.uint64))
-            name = int((textkit.word_hashes(whole).of(np.array([0]), np.array([len(whole)])) ^ np.uint64(seed)).astype(np.int64)[0])
+            whole = textkit.step(textkit.slices(buf, off[:-1], off[1:]), np.asarray(batch.column("doc_id").fill_null(-1)).astype(np.uint64))
+            name = int(np.array([xxhash.xxh3_64_intdigest(whole.tobytes(), seed)], np.uint64).astype(np.int64)[0])
             block = Block(buf, off, held, shards)
             if what == "questions":
                 for shard, blob in block.questions():

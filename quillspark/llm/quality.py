@@ -50,7 +50,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(rows), n)
     ids, who = [hashes], [row]
     pair = textkit.windows(words.row, 2) if len(words) else np.zeros(0, np.int64)
-    ids.append(textkit.word_hashes(hashes).of(pair, pair + 2))
+    ids.append(textkit.runs(hashes, 2)[pair] if len(pair) else np.zeros(0, np.uint64))
     who.append(row[pair])
     # how far back the same word stood in the row
     key = textkit.mix(hashes + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

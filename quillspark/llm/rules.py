@@ -53,7 +53,7 @@ def repeated_words(words: textkit.Words, size: int) -> np.ndarray:
     """For each row, the words in windows of `size` words that its text has twice or more."""
     starts = textkit.windows(words.row, size) if len(words) else np.zeros(0, np.int64)
     row = np.searchsorted(words.row, starts, "right") - 1
-    keys = per_row(textkit.word_hashes(words.hashes()).of(starts, starts + size), row)
+    keys = per_row(textkit.runs(words.hashes(), size)[starts], row) if len(starts) else np.zeros(0, np.uint64)
     twice = starts[duplicates(keys)] if len(keys) else starts
     return textkit.segment_sums(textkit.covered(twice, twice + size, len(words)), words.row)
 
@@ -71,7 +71,7 @@ def duplicate_lines(words: textkit.Words) -> np.ndarray:
     end = np.where(last, off[row + 1], np.append(start[1:] - 1, 0))
     full = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, row = start[full], end[full], row[full]
-    first = np.unique(per_row(textkit.byte_hashes(buf).of(start, end), row), return_index=True)[1]
+    first = np.unique(per_row(textkit.slices(buf, start, end), row), return_index=True)[1]
     return np.bincount(row, minlength=rows) - np.bincount(row[first], minlength=rows)
 
 

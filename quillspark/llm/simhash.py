@@ -54,13 +54,7 @@ def majority(hashes: np.ndarray) -> int:
 def simhashes(buf: np.ndarray, off: np.ndarray, size: int = 3) -> list[int]:
     """One fingerprint for each row; rows without words have 0."""
     words = textkit.Words(buf, off)
-    sizes = words.end - words.start
-    end = np.cumsum(sizes + 1) - 1
-    start = end - sizes
-    spaced = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
-    inside = textkit.LOWER[buf[~textkit.IS_SPACE[buf]]]
-    spaced[np.arange(len(inside)) + np.repeat(np.arange(len(words)), sizes)] = inside
-    joined = spaced.tobytes()
+    joined, start, end = words.joined(lower=True)
     starts, ends = start.tolist(), end.tolist()
     digest, found = xxhash.xxh64_intdigest, []
     for a, b in zip(words.row[:-1].tolist(), words.row[1:].tolist(), strict=True):

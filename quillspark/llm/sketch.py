@@ -30,16 +30,10 @@ HASH_BITS = 48
 
 def sketches(buf: np.ndarray, off: np.ndarray, k: int = K, size: int = SHINGLE) -> list[np.ndarray]:
     """One ascending uint64 array of at most k hashes for each row; at most 65,536 rows."""
-    words = textkit.Words(buf, off)
-    n, rows = words.counts(), len(off) - 1
-    roll = textkit.word_hashes(words.hashes(lower=True))
-    first = np.flatnonzero((n > 0) & (n < size))
-    starts = textkit.windows(words.row, size) if len(words) else np.zeros(0, np.int64)
-    begin = np.concatenate([starts, words.row[first]])
-    end = np.concatenate([starts + size, words.row[first + 1]])
-    row = np.searchsorted(words.row, begin, "right") - 1
+    rows = len(off) - 1
+    row, found = textkit.shingles(textkit.Words(buf, off), size, lower=True)
     # row and hash in one word sort many times faster than two keys
-    keys = np.sort(row.astype(np.uint64) << np.uint64(HASH_BITS) | roll.of(begin, end) >> np.uint64(64 - HASH_BITS))
+    keys = np.sort(row.astype(np.uint64) << np.uint64(HASH_BITS) | found >> np.uint64(64 - HASH_BITS))
     keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     at = np.searchsorted(keys, np.arange(rows + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
     h = keys & np.uint64((1 << HASH_BITS) - 1)

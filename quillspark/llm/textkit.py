@@ -1,4 +1,4 @@
-"""Vectorised text primitives for Arrow batches: words, rolling hashes, minimisers.
+"""Vectorised text primitives for Arrow batches: words, hashes of slices and runs, minimisers.
 
 A batch's texts stay one contiguous UTF-8 buffer plus offsets, so that words and
 windows of thousands of documents are found by a few numpy passes.  Null texts
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 # The six ASCII white space bytes that separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -23,9 +24,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD1342543DE82EF95 | 1
-_CHECK_BASE = 0xBF58476D1CE4E5B9 | 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,49 +37,101 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0.. and its inverses modulo 2**64, at least n of each."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, _U)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        have = _POWERS[base] = (made[0], made[1])
-    return have
-
-
-class Rolling:
-    """Polynomial hashes modulo 2**64 of any slice of a sequence, by prefix sums."""
-
-    def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        self.inverse = powers(base, n + 1)[1]
-        self.prefix = np.zeros(n + 1, _U)
-        np.cumsum(values.astype(_U) * powers(base, n + 1)[0][:n], out=self.prefix[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(raw ^ ((end - start).astype(_U) * _U(0xA24BAED4963EE407)))
-
-
-def byte_hashes(buf: np.ndarray, check: bool = False) -> Rolling:
-    return Rolling(buf.astype(_U) + _U(1), _CHECK_BASE if check else _BYTE_BASE)
-
-
-def word_hashes(words: np.ndarray, check: bool = False) -> Rolling:
-    """Hashes of word sequences, from the words' own hashes."""
-    return Rolling(mix(words + _U(0x632BE59BD9B4E019)) if check else words, _CHECK_BASE if check else _WORD_BASE)
+# Odd multipliers of the mixing steps.
+_K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA24BAED4963EE407)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+#: Slices of more bytes are hashed one by one.
+_LONG = 64
+#: Places that are hashed at a time.
+_TOGETHER = 1 << 14
+
+
+def step(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mixes x into h; a multiplication on each side of a shift, so that no pattern of the values cancels."""
+    h = h ^ x
+    h *= _K1
+    h ^= h >> _U(32)
+    h *= _K2
+    h ^= h >> _U(29)
+    return h
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number; zeros follow the end."""
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte slices; slices of equal length up to 8 bytes never collide."""
+    size = end - start
+    h = mix(size.astype(_U) + _U(seed << 48))
+    eights, live = _eights(buf), np.flatnonzero((size > 0) & (size <= _LONG))
+    at = 0
+    while len(live):
+        left = size[live] - at
+        h[live] = step(h[live], eights[start[live] + at] & _MASK[np.minimum(left, 8)])
+        at += 8
+        live = live[left > 8]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        h[long] = digests(buf.tobytes(), start[long], end[long], seed)
+    return h
+
+
+def equal_slices(buf: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a are the m bytes from b, for each pair of slices."""
+    same, eights, at = n == m, _eights(buf), 0
+    live = np.flatnonzero(same & (a != b))
+    while len(live):
+        left = n[live] - at
+        mask = _MASK[np.minimum(left, 8)]
+        equal = eights[a[live] + at] & mask == eights[b[live] + at] & mask
+        same[live[~equal]] = False
+        at += 8
+        live = live[equal & (left > 8)]
+    return same
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH3 of byte slices."""
+    whole, digest = memoryview(raw), xxhash.xxh3_64_intdigest
+    return np.array([digest(whole[a:b], seed) for a, b in zip(start.tolist(), end.tolist(), strict=True)], _U)
+
+
+def _doubled(level: np.ndarray, span: int, size: int, places: int) -> np.ndarray:
+    """Hashes of the runs of `size` items at the first places; level[i] stands for `span` items from i on, and span divides size."""
+    whole, done, left = None, 0, size // span
+    while True:
+        if left & 1:
+            part = level[done : done + places]
+            whole = part if whole is None else step(whole * _K3, part)
+            done += span
+        left >>= 1
+        if not left:
+            return whole
+        level = step(level[:-span] * _K3, level[span:])
+        span *= 2
+
+
+def runs(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` consecutive hashes, by doubling."""
+    places = len(values) - size + 1
+    return _doubled(values, 1, size, places) if places > 0 else np.zeros(0, _U)
+
+
+def byte_runs(buf: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of `size` bytes, a multiple of 8, by doubling."""
+    places, eights = len(buf) - size + 1, _eights(buf)
+    parts = []
+    for at in range(0, max(0, places), _TOGETHER):  # parts that stay in the processor's cache
+        n = min(_TOGETHER, places - at)
+        parts.append(_doubled(mix(eights[at : at + n + size - 8] ^ _U(seed << 32)), 8, size, n))
+    return np.concatenate([np.zeros(0, _U), *parts])
 
 
 def release() -> None:
     """Gives memory that a finished task no longer needs back to the system; its worker stays for later tasks."""
-    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -138,8 +188,18 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.row)
 
-    def hashes(self, lower: bool = False, check: bool = False) -> np.ndarray:
-        return byte_hashes(LOWER[self.buf] if lower else self.buf, check).of(self.start, self.end)
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        return slices(LOWER[self.buf] if lower else self.buf, self.start, self.end, seed)
+
+    def joined(self, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words, each followed by one space, and where each begins and ends there."""
+        size = self.end - self.start
+        end = np.cumsum(size + 1) - 1
+        start = end - size
+        spaced = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
+        inside = self.buf[~IS_SPACE[self.buf]]
+        spaced[np.arange(len(inside)) + np.repeat(np.arange(len(size)), size)] = LOWER[inside] if lower else inside
+        return spaced.tobytes(), start, end
 
 
 def windows(rows: np.ndarray, size: int) -> np.ndarray:
@@ -156,6 +216,18 @@ def windows(rows: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def shingles(words: Words, size: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the hash of every run of `size` words; a row with fewer words, but any, has one of all its words."""
+    n = words.counts()
+    starts = windows(words.row, size) if len(words) else np.zeros(0, np.int64)
+    whole = runs(words.hashes(lower), size)[starts] if len(starts) else np.zeros(0, _U)
+    short = np.flatnonzero((n > 0) & (n < size))
+    some = LOWER[words.buf] if lower else words.buf
+    less = [b" ".join([some[a:b].tobytes() for a, b in zip(words.start[i:j].tolist(), words.end[i:j].tolist(), strict=True)]) for i, j in zip(words.row[short], words.row[short + 1], strict=True)]
+    made = np.array([xxhash.xxh3_64_intdigest(x) for x in less], _U)
+    return np.concatenate([np.searchsorted(words.row, starts, "right") - 1, short]), np.concatenate([whole, made])
+
+
 _PLACE = 26  # low bits of a packed minimum that hold the place, rightmost smallest
 _PLACES = _U((1 << _PLACE) - 1)
 

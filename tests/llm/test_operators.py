@@ -167,13 +167,15 @@ def test_index_is_incremental(spark, docs):
 def test_suffix_dedup(docs, rows, large):
     raw = {i: (t or "").encode() for i, t, *_ in rows}
     base = repeats.keyed(docs)
-    ranges = suffix_dedup.repeated_ranges(base, repeats.anchors(base, repeats.BYTES), large=large)
-    got = taken(repeats.removed(base, ranges, suffix_dedup.clean, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"), "doc")
+    ranges = suffix_dedup.repeated_ranges(base, repeats.anchors(base, repeats.BYTES, suffix_dedup.SIDE), large=large)
+    got = taken(repeats.removed(base, ranges, suffix_dedup.clean, suffix_dedup.FIELDS), "doc")
+    again = brute(raw, 256)
     for i, gone in brute(raw, 400).items():
         kept = bytes(b for b, g in zip(raw[i], gone, strict=True) if not g)
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == (len(gone), sum(gone), spans, sha(kept), kept)
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept), r.n_repeated) == (len(gone), sum(gone), spans, sha(kept), kept, sum(again[i]))
+    assert any(r.n_repeated > r.n_removed for r in got.values())
 
 
 def test_bpe_equals_the_library(docs, rows):
