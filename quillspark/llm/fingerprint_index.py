@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from . import repeats, textkit
 from .repeats import KEYS, WORDS, Unit
-from .storage import materialise, new_folder
+from .storage import delete, kept, materialise, new_folder, scratch
 
 #: Batches in which the query adds the documents to its index.
 BATCHES = 2
+#: Runs that a batch is joined with; as many are compacted into one first.
+FAN_IN = 4
 
 
 class FingerprintIndex:
@@ -63,6 +65,11 @@ class FingerprintIndex:
         self.runs = [self._write(_merged(self.entries()))]
         return self.runs[0]
 
+    def drop(self) -> None:
+        """Deletes the runs."""
+        delete(self.spark, *self.runs)
+        self.runs = []
+
     def add(self, docs: DataFrame, found: DataFrame, unit: Unit = WORDS) -> DataFrame:
         """Verifies a batch (keyed documents and their anchors) against itself and all runs, then appends it.
 
@@ -71,6 +78,8 @@ class FingerprintIndex:
         range that was given before may be missing: the union over the batches is
         that of all documents at once.
         """
+        if len(self.runs) >= FAN_IN:
+            self.compact()
         history, earlier = list(self.runs), self.docs
         path = self.append(found)
         self.docs = docs if earlier is None else earlier.union(docs)
@@ -129,7 +138,7 @@ def repeated_ranges(docs: DataFrame, found: DataFrame, entries: DataFrame, unit:
     many = per.filter("n > 1").select("cover")
     some = repeats.Sieve(many, "cover", 26).passed(found, "cover")
     once = hits.filter("old and n = 1").select("place.doc", "place.mark", "place.at", "slice", "cover")
-    places, _ = repeats.with_lists(docs, repeats.open_places(per).select(*KEYS, "at"), "places", "at")
+    places, _ = repeats.with_lists(docs, materialise(repeats.open_places(per).select(*KEYS, "at"), "open"), "places", "at")
     windows = materialise(window_hashes(places, unit), "windows")
     again = windows.groupBy("first", "second").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     verified = windows.join(again, ["first", "second"], "left_semi")
@@ -147,13 +156,17 @@ def clean(buf: np.ndarray, off: np.ndarray, items) -> list:
 
 def drop_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc, n_words, n_removed, kept): kept is the remaining words joined by one space, as UTF-8 bytes."""
-    base = repeats.keyed(docs)
-    found = materialise(repeats.anchors(base, WORDS), "anchors")
-    index, ranges = FingerprintIndex(docs.sparkSession), None
-    for b in range(batches):
-        mine = F.pmod("mark", F.lit(batches)) == b
-        now = index.add(base.filter(mine), found.filter(mine))
-        ranges = now if ranges is None else ranges.union(now)
+    spark, base, ranges = docs.sparkSession, repeats.keyed(docs), None
+    with scratch(spark):
+        index = FingerprintIndex(spark)
+        for b in range(batches):
+            mine = base.filter(F.pmod("mark", F.lit(batches)) == b)
+            with scratch(spark):
+                now = index.add(mine, materialise(repeats.anchors(mine, WORDS), "anchors"))
+                now = kept(now, "batch-ranges")
+            ranges = now if ranges is None else ranges.union(now)
+        ranges = kept(ranges, "ranges")
+        index.drop()
     return repeats.removed(base, ranges, clean, "n_words bigint, n_removed bigint, kept binary")
 
 

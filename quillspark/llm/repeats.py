@@ -200,8 +200,7 @@ def document_key(df: DataFrame) -> DataFrame:
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, name: str, *columns: str) -> tuple[DataFrame, Sieve]:
-    """Documents that have rows, with those as a list (a document's own, so bounded by it); and the sieve of their keys."""
-    rows = materialise(rows, name)
+    """Documents that have rows (of a table), with those as a list (a document's own, so bounded by it); and the sieve of their keys."""
     sieve = Sieve(document_key(rows.select(*KEYS)), "key")
     per = rows.groupBy(*KEYS).agg(F.collect_list(F.struct(*columns)).alias(name)).withColumnsRenamed({k: f"__{k}" for k in KEYS})
     some = sieve.passed(document_key(docs), "key")
@@ -229,7 +228,7 @@ def item_ranges(batch: pa.RecordBatch, rows: np.ndarray, depth: int) -> tuple[np
 def removed(docs: DataFrame, ranges: DataFrame, clean: Callable, fields: str) -> DataFrame:
     """Documents without the items in their ranges: (doc, *fields).
 
-    clean(buf, off, items) returns the fields' arrays; items(rows, depth) gives
+    ranges is a table.  clean(buf, off, items) returns the fields' arrays; items(rows, depth) gives
     flat item ranges from the rows' first items.  Documents that the sieve stops
     have no ranges and aren't shuffled.
     """

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of the temp folder only where that is unset, as in tests."""
@@ -20,5 +24,33 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, so that lost executors cost no recomputation."""
     path = new_folder(df.sparkSession, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that materialise() writes inside, at its end; what is still to be read must be kept() before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_SCRATCH.pop())
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """materialise() for the scope around the innermost scratch."""
+    inner = _SCRATCH.pop()
+    try:
+        return materialise(df, name)
+    finally:
+        _SCRATCH.append(inner)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables by the file system that they are in."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

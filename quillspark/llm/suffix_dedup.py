@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import repeats, textkit
 from .repeats import BYTES, KEYS
-from .storage import materialise
+from .storage import kept, materialise, scratch
 
 #: Segments of a key that one task takes, and bytes of segments in a transform.
 LARGE = 2000
@@ -255,10 +255,10 @@ def repeated_ranges(docs: DataFrame, found: DataFrame, unit: repeats.Unit = BYTE
     hits = repeats.candidates(found, counts)
     per = repeats.covers(hits, "left", "right")
     places = materialise(sides(repeats.open_places(per, "left", "right")), "open")
-    few, _ = repeats.with_lists(docs, places.filter(F.col("n") <= large).select(*KEYS, "at", "right", "key"), "places", "at", "right", "key")
+    few, _ = repeats.with_lists(docs, places.filter(F.col("n") <= large), "places", "at", "right", "key")
     ranges = repeats.interior(hits, per, unit).union(expanded(segments(few, unit, side), depths))
-    many, _ = repeats.with_lists(docs, places.filter(F.col("n") > large).select(*KEYS, "at", "right", "key"), "places", "at", "right", "key")
-    windows = window_hashes(many, unit, side, depths)
+    many, _ = repeats.with_lists(docs, places.filter(F.col("n") > large), "places", "at", "right", "key")
+    windows = materialise(window_hashes(many, unit, side, depths), "windows")
     again = windows.groupBy("first", "second", "depth").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     verified = windows.join(again, ["first", "second", "depth"], "left_semi")
     return ranges.union(verified.select(*KEYS, F.col("at").alias("first"), F.col("at").alias("last"), "depth"))
@@ -285,8 +285,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     n_repeated: bytes covered by 256-byte strings that also start anywhere else.
     """
     base = repeats.keyed(docs)
-    found = materialise(repeats.anchors(base, BYTES, SIDE), "anchors")
-    return repeats.removed(base, repeated_ranges(base, found), clean, FIELDS)
+    with scratch(docs.sparkSession):
+        ranges = kept(repeated_ranges(base, materialise(repeats.anchors(base, BYTES, SIDE), "anchors")), "ranges")
+    return repeats.removed(base, ranges, clean, FIELDS)
 
 
 def digest(docs: DataFrame) -> DataFrame:
