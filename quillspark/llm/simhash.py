@@ -1,15 +1,18 @@
 """SimHash near-dedup through a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most 3 bits differ in at most 3 of
-their 8 bytes, so they share at least 5 bytes in place.  The index has a posting
-list for each 5 of the 8 (position, byte) entries: pairs that meet in a list
-have the guaranteed minimum of shared positional bytes, all others are never
-made.  Members are verified by their differing bits.
-
-Equal fingerprints are one entry from the start.  A list fixes 5 bytes, so it
-has at most 2**24 distinct members: its size is bounded however the corpus
-grows, and what leaves a list is a spanning forest of its links, never all of
-its pairs.
+their 8 bytes, so they share at least 5 bytes in place: the guaranteed minimum.
+A posting list for each (position, byte) would pair a 256th of all documents, so
+a list fixes the bytes of 4 positions.  Every 3 positions lie in exactly one of
+14 sets of 4 (the points of a 3-dimensional space over two elements, four with
+sum zero), hence every pair to be linked shares the other 4 positions' list.
+Within a list the bytes of its free positions are tallied: only members that
+share one of them as well, the fifth, are compared, and pairs are verified by
+their differing bits.
+
+Equal fingerprints are one entry from the start, and what leaves a list is a
+spanning forest of its links, never all of its pairs.  A list of many members
+probes their neighbours instead of comparing them pairwise.
 
 Edge cases: null is the empty text; no words give the fingerprint zero, which
 links like any other; fewer than three words make one shingle; rows with equal
@@ -34,11 +37,11 @@ from .components import Forest, components
 from .storage import materialise
 
 BITS = 3
-SHARED = 8 - BITS
 SEED = 42
 
-_BYTES = list(combinations(range(8), SHARED))
-MASKS = np.array([sum(0xFF << (8 * i) for i in kept) for kept in _BYTES], np.uint64)
+#: The positions that each kind of list fixes; the complement of a set is a set too.
+FIXED = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+MASKS = np.array([sum(0xFF << (8 * i) for i in c) for c in FIXED], np.uint64)
 _PAIRWISE = 4096
 
 
@@ -77,54 +80,72 @@ def fingerprints(docs: DataFrame, name: str = "simhash", text: str = "text", siz
     return attach(docs, name, "struct<bits:bigint>", make, text)
 
 
-def forest(members: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def forest(members: np.ndarray, fixed: tuple[int, ...], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints that share a posting list.
 
-    Short lists compare members in blocks; long ones probe each member's
-    neighbours in the free 24 bits, so the work stays linear in the list.
+    Members that share one more positional byte are compared in blocks; of many
+    such members each probes its neighbours in the free bits, so that the work
+    stays linear in the list.
     """
     n = len(members)
     tree = Forest(n)
-    if n <= _PAIRWISE:
-        for at in range(0, n, 256):
-            block = members[at : at + 256]
-            a, b = np.nonzero(np.bitwise_count(block[:, None] ^ members[None, :]) <= bits)
-            tree.join(a + at, b)
-    else:
-        members = np.sort(members)
-        varied = int(np.bitwise_or.reduce(members ^ members[0]))
-        free = [i for i in range(64) if varied >> i & 1]
-        for r in range(1, bits + 1):
-            for flips in combinations(free, r):
-                other = members ^ np.uint64(sum(1 << i for i in flips))
-                at = np.minimum(np.searchsorted(members, other), n - 1)
-                hit = np.flatnonzero(members[at] == other)
-                tree.join(hit, at[hit])
+    for position in set(range(8)) - set(fixed) if n > 2 else (None,):
+        byte = members >> np.uint64(8 * position) & np.uint64(0xFF) if position is not None else np.zeros(n, np.uint64)
+        order = np.argsort(byte, kind="stable")
+        edges = np.append(0, np.flatnonzero(np.append(byte[order][1:] != byte[order][:-1], True)) + 1)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            group = order[a:b]
+            if len(group) > _PAIRWISE:
+                _probe(tree, members, group, bits)
+                continue
+            for at in range(0, len(group), 256) if len(group) > 1 else ():
+                x, y = np.nonzero(np.bitwise_count(members[group[at : at + 256], None] ^ members[None, group]) <= bits)
+                tree.join(group[x + at], group[y])
     a, b = tree.links()
     return members[a], members[b]
 
 
+def _probe(tree: Forest, members: np.ndarray, group: np.ndarray, bits: int) -> None:
+    """Joins the group's members with those that differ in at most `bits` of the bits that vary in it."""
+    group = group[np.argsort(members[group])]
+    known = members[group]
+    varied = int(np.bitwise_or.reduce(known ^ known[0]))
+    free = [i for i in range(64) if varied >> i & 1]
+    for r in range(1, bits + 1):
+        for flips in combinations(free, r):
+            other = known ^ np.uint64(sum(1 << i for i in flips))
+            at = np.minimum(np.searchsorted(known, other), len(known) - 1)
+            hit = np.flatnonzero(known[at] == other)
+            tree.join(group[hit], group[at[hit]])
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints (column `bits`) exactly as the links of at most 3 bits do."""
     entries = prints.select("bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(int(m.astype(np.int64)))) for m in MASKS])).alias("list", "shared"))
     dealt = entries.repartition("list", "shared").sortWithinPartitions("list", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64),) * 3
+        held: list[tuple[np.ndarray, ...]] = []  # the last list, which the next batch may go on with
         for batch in batches:
-            now = tuple(np.concatenate([h, np.asarray(batch.column(c)).astype(np.int64)]) for h, c in zip(held, ("list", "shared", "bits"), strict=True))
+            now = tuple(np.asarray(batch.column(c)).astype(np.int64) for c in ("list", "shared", "bits"))
             edge = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
-            cut = int(edge[-1]) if len(edge) else 0
-            yield from found(now[2][:cut], np.append(0, edge))
-            held = tuple(x[cut:] for x in now)
-        if len(held[0]):
-            yield from found(held[2], np.array([0, len(held[0])]))
-        held = ()
+            if held and (now[0][0], now[1][0]) != (held[0][0][0], held[0][1][0]):
+                edge = np.append(0, edge)
+            if len(edge):
+                cut = int(edge[-1])
+                yield from found(*(np.concatenate([*(h[i] for h in held), now[i][:cut]]) for i in range(3)))
+                held, now = [], tuple(x[cut:] for x in now)
+            held.append(now)
+        if held:
+            yield from found(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+        held = []
         textkit.release()
 
-    def found(bits: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(kind: np.ndarray, shared: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.append(0, np.flatnonzero((kind[1:] != kind[:-1]) | (shared[1:] != shared[:-1])) + 1)
+        edges = np.append(edges, len(bits))
         many = np.flatnonzero(np.diff(edges) > 1)
-        pairs = [forest(bits[edges[i] : edges[i + 1]].astype(np.uint64)) for i in many.tolist()]
+        pairs = [forest(bits[edges[i] : edges[i + 1]].astype(np.uint64), FIXED[int(kind[edges[i]])]) for i in many.tolist()]
         if pairs:
             a, b = (np.concatenate([p[j] for p in pairs]).astype(np.int64) for j in (0, 1))
             if len(a):
