@@ -1,91 +1,143 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
-Every run of RUN lines that two places share has one and the same window
-minimum, so the minima are guaranteed fingerprints.  Places are joined on their
-fingerprint and the hash of the window around it; a matching window that isn't
-the first of its kind (by document id, then place) is a later repeat, and
-windows that follow one another extend a match both ways, line by line.  The
-lines of later repeats are deleted, the first run stays.
-
-Lines are cut at \\n.  Lines without a word are kept and take no part, so a run
-reaches over them.  Edge cases: a null text stays null and has no lines; an
-empty one is one empty line; rows equal in id and text are one document with one
-result; null ids come first; an empty table gives an empty table; extra columns
-stay as they are.
+A window is the shortest run of lines from a place on that has WORDS words, or
+RUN lines.  Of each window the line of least hash is selected.  Equal windows
+select the same line, so the selected lines are guaranteed fingerprints: their
+positions are joined on the hash, and the windows around those that stand more
+than once are compared with the first equal window (by document id, then place).
+A match is extended line by line, both ways, up to REACH lines as long as the
+lines are equal; longer runs consist of further windows.  The lines of later
+repeats are deleted, the first run stays.
+
+So a repeated run goes if it has WORDS words or RUN lines.  Lines are cut at \\n.
+Lines without a word are kept and take no part, so a run reaches over them.
+
+Edge cases: a null text stays null and has no lines; an empty one is one empty
+line; rows equal in id and text are one document with one result; null ids come
+first; an empty table gives an empty table; extra columns of any name stay as
+they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import kept, materialise, scratch
+
+#: Words of a window, and lines of one that has fewer.
+WORDS, RUN = 5, 3
+#: Lines that a match is extended by; a run that goes on has a window of its own there.
+REACH = RUN - 1
+
 
-RUN = 3
+def worded_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc, mark, ls): of each document the lines with a word, as (i: place, h and g: hashes, n: words)."""
+    line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    found = F.filter(F.transform(F.split(F.col(text), "\n"), line), lambda x: x["n"] > 0)
+    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("mark"), found.alias("ls"))
 
 
-def line_windows(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
-    """(doc, mark, at, least, window, lines): each window of `run` lines with a word.
+def fingerprints(lines: DataFrame, words: int = WORDS, run: int = RUN) -> DataFrame:
+    """lines with `ws`: each window's start, its lines' number k, and the place and hash (at, h) of its selected line."""
+    ls, size = F.col("ls"), F.size("ls")
 
-    at: the window's number; least: its fingerprint, the minimum of its line
-    hashes; window: the hash of all of it; lines: their places in the text.
-    """
-    split = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), x.rlike(r"[^\x20\x09-\x0D]").alias("word")))
-    lines = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("mark"), F.filter(split, lambda x: x["word"]).alias("ls"))
-    full = lines.filter(F.size("ls") >= run)
-    each = full.select("doc", "mark", "ls", F.explode(F.sequence(F.lit(0), F.size("ls") - run)).alias("at"))
-    here = each.withColumn("w", F.slice("ls", F.col("at") + 1, run))
-    hashes = F.transform("w", lambda x: x["h"])
-    return here.select("doc", "mark", "at", F.array_min(hashes).alias("least"), F.xxhash64(hashes, F.lit(run)).alias("window"), F.transform("w", lambda x: x["i"]).alias("lines"))
+    def window(start: Column) -> Column:
+        n = lambda j: F.coalesce(F.try_element_at(ls, start + j + 1)["n"], F.lit(0))
+        k = reduce(lambda w, j: w.when(sum((n(i) for i in range(1, j)), n(0)) >= words, j), range(2, run), F.when(n(0) >= words, 1)).when(start + run <= size, run)
+        k = F.when(start + k <= size, k)
+        least = F.array_min(F.transform(F.slice(ls, start + 1, F.coalesce(k, F.lit(1))), lambda x, j: F.struct(x["h"].alias("h"), (start + j).alias("at"))))
+        return F.struct(start.alias("start"), k.alias("k"), least["at"].alias("at"), least["h"].alias("h"))
 
+    every = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), window)).otherwise(F.array())
+    return lines.withColumn("ws", F.filter(every, lambda w: w["k"].isNotNull()))
 
-def repeated_lines(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, text: str = "text", words: int = WORDS, run: int = RUN) -> DataFrame:
     """(doc, mark, gone): for each document with any, the places of the lines that later repeats cover."""
-    windows = materialise(line_windows(docs, text, run), "line-windows")
-    first = windows.groupBy("least", "window").agg(F.min(F.struct("doc", "mark", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    place = F.struct("doc", "mark", "at")
-    later = windows.join(first.drop("n"), ["least", "window"]).filter(~place.eqNullSafe(F.col("first")))
-    return later.select("doc", "mark", F.explode("lines").alias("line")).groupBy("doc", "mark").agg(F.collect_set("line").alias("gone"))
-
-
-def drop_repeated_lines(docs: DataFrame, name: str = "lines", text: str = "text", run: int = RUN) -> DataFrame:
-    """docs with a struct column: `text` without the later repeats, `n_lines` and `n_removed`."""
-    gone = repeated_lines(docs, text, run)
-    base = docs.drop(name).withColumn("__mark", F.xxhash64(text))
-    both = base.join(gone, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("__mark") == F.col("mark")), "left")
-    lines = F.split(F.col(text), "\n")
-    n = F.coalesce(F.size(lines), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
-    made = F.struct(kept.alias("text"), F.when(F.col(text).isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
-    return both.withColumn(name, made).select(*[f"`{c}`" for c in docs.drop(name).columns], name)
+    lines = materialise(fingerprints(worded_lines(docs, text), words, run), "lines")
+    selected = lines.select(F.explode(F.array_distinct(F.transform("ws", lambda w: F.struct(w["at"], w["h"])))).alias("w")).select("w.h")
+    again = selected.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    each = lines.select("doc", "mark", "ls", F.explode("ws").alias("w")).select("doc", "mark", "ls", "w.*")
+    before = F.least("start", F.lit(REACH))
+    around = F.slice("ls", F.col("start") - before + 1, before + F.col("k") + REACH)
+    content = F.xxhash64(F.transform(F.slice("ls", F.col("start") + 1, F.col("k")), lambda x: x["g"]))
+    windows = each.select("doc", "mark", "start", "k", "h", content.alias("window"), before.alias("before"), F.transform(around, lambda x: F.struct(x["i"], x["h"])).alias("around"))
+    found = materialise(windows.join(again, "h"), "line-windows")
+    first = found.groupBy("h", "window").agg(F.min(F.struct("doc", "mark", "start", "before", "around")).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    later = found.join(first, ["h", "window"]).filter(~F.struct("doc", "mark", "start").eqNullSafe(F.struct("first.doc", "first.mark", "first.start")))
+
+    def equal(place: Column, other: Column) -> Column:
+        mine = lambda rows, at: F.when(at > 0, F.try_element_at(rows, F.greatest(at, F.lit(1)))["h"])  # noqa: E731  places count from 1
+        return F.coalesce(mine(F.col("around"), place) == mine(F.col("first.around"), other), F.lit(False))
+
+    def length(sides: list[Column]) -> Column:
+        """How many of the neighbours, nearest first, are equal without a gap."""
+        return sum((reduce(lambda a, b: a & b, sides[: j + 1]).cast("int") for j in range(len(sides))), F.lit(0))
+
+    left = length([equal(F.col("before") - j, F.col("first.before") - j) for j in range(REACH)])
+    right = length([equal(F.col("before") + F.col("k") + j, F.col("first.before") + F.col("k") + j) for j in range(1, REACH + 1)])
+    extended = F.slice("around", F.col("before") - F.col("left") + 1, F.col("left") + F.col("k") + F.col("right"))
+    ranges = later.withColumns({"left": left, "right": right}).select("doc", "mark", F.explode(F.transform(extended, lambda x: x["i"])).alias("line"))
+    return ranges.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone"))
+
+
+def drop_repeated_lines(docs: DataFrame, name: str = "lines", text: str = "text", words: int = WORDS, run: int = RUN) -> DataFrame:
+    """docs with a struct column: `text` without the later repeats, `n_lines` and `n_removed`; a column of that name is replaced."""
+    with scratch(docs.sparkSession):
+        gone = kept(repeated_lines(docs, text, words, run), "gone-lines")
+    own = F.struct(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("mark"))
+    # documents and places meet as one column each, so no name of the documents' can clash
+    left = docs.drop(name).select(F.struct("*").alias("d"), own.alias("o"))
+    right = gone.select(F.struct("doc", "mark").alias("p"), F.col("gone").alias("g"))
+    both = left.join(right, F.col("o.doc").eqNullSafe(F.col("p.doc")) & (F.col("o.mark") == F.col("p.mark")), "left")
+    whole = F.col("d")[text]
+    lines = F.split(whole, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g"))
+    left_text = F.when(F.col("g").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
+    n = F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    removed = F.when(F.col("g").isNull(), 0).otherwise(F.size("g")).cast("bigint")
+    made = F.struct(left_text.alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
+    return both.select(*[F.col("d")[c].alias(c) for c in docs.drop(name).columns], made.alias(name))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     done = drop_repeated_lines(docs.select("doc_id", "text"))
-    return done.select("doc_id", "lines.n_lines", F.greatest(F.col("lines.n_removed"), F.lit(0)).alias("n_removed"), F.md5(F.coalesce("lines.text", F.lit(""))).alias("kept_md5"))
+    return done.select("doc_id", "lines.n_lines", "lines.n_removed", F.md5(F.coalesce("lines.text", F.lit(""))).alias("kept_md5"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: later repeats of runs of lines go; n_chars follows the text."""
-    done = drop_repeated_lines(docs, "__lines").withColumn("text", F.col("__lines.text"))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*[f"`{c}`" for c in docs.columns])
+    done = drop_repeated_lines(docs, "__lines")
+    made = {"text": F.col("__lines.text"), "n_chars": F.length("__lines.text")}
+    return done.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
 ), worded AS (
-  SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), windows AS (
-  SELECT doc_id, seq, i AS i0, line AS l0, lead(i, 1) OVER w AS i1, lead(line, 1) OVER w AS l1, lead(i, 2) OVER w AS i2, lead(line, 2) OVER w AS l2
+  SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), near AS (
+  SELECT doc_id, seq, n, lag(line, 2) OVER w AS b2, lag(line, 1) OVER w AS b1, line AS l0, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2, lead(line, 3) OVER w AS l3, lead(line, 4) OVER w AS l4, lead(n, 1) OVER w AS n1
   FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY seq)
-), later AS (
-  SELECT *, row_number() OVER (PARTITION BY l0, l1, l2 ORDER BY doc_id, seq) AS k FROM windows WHERE i2 IS NOT NULL
+), windows AS (
+  SELECT *, CASE WHEN n >= 5 THEN 1 WHEN l1 IS NOT NULL AND n + n1 >= 5 THEN 2 WHEN l2 IS NOT NULL THEN 3 END AS k FROM near
+), placed AS (
+  SELECT doc_id, seq, k, b2, b1, CASE k WHEN 1 THEN l1 WHEN 2 THEN l2 ELSE l3 END AS a1, CASE k WHEN 1 THEN l2 WHEN 2 THEN l3 ELSE l4 END AS a2,
+    [l0, CASE WHEN k > 1 THEN l1 END, CASE WHEN k > 2 THEN l2 END] AS body
+  FROM windows WHERE k IS NOT NULL
+), ranked AS (
+  SELECT *, row_number() OVER w AS r, first(b2) OVER w AS fb2, first(b1) OVER w AS fb1, first(a1) OVER w AS fa1, first(a2) OVER w AS fa2
+  FROM placed WINDOW w AS (PARTITION BY body ORDER BY doc_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), cut AS (
+  SELECT doc_id, seq - CASE WHEN b1 = fb1 AND b2 = fb2 THEN 2 WHEN b1 = fb1 THEN 1 ELSE 0 END AS a, seq + k - 1 + CASE WHEN a1 = fa1 AND a2 = fa2 THEN 2 WHEN a1 = fa1 THEN 1 ELSE 0 END AS b
+  FROM ranked WHERE r > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest([i0, i1, i2]) AS i FROM later WHERE k > 1
+  SELECT DISTINCT w.doc_id, w.i FROM (SELECT doc_id, unnest(range(a, b + 1)) AS seq FROM cut) c JOIN worded w ON w.doc_id = c.doc_id AND w.seq = c.seq
 ), kept AS (
   SELECT lines.doc_id, string_agg(line, chr(10) ORDER BY lines.i) FILTER (WHERE gone.i IS NULL) AS text, count(*) AS n_lines, count(gone.i) AS n_removed
   FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.i = gone.i GROUP BY lines.doc_id

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -239,17 +240,24 @@ def test_sketches_merge():
     assert sketch.containment(a[:k], both[:k]) == pytest.approx(1.0, abs=0.2)
 
 
-def simple_lines(rows, run=3):
+def simple_lines(rows, words=5, run=3):
+    """Later repeats of windows (as many lines as have 5 words, 3 at most), with up to 2 equal lines beside them and the first window."""
     first, gone = {}, {}
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
-        lines = [] if t is None else t.split("\n")
-        worded = [k for k, x in enumerate(lines) if WORD.search(x)]
+    texts = {i: [] if t is None else t.split("\n") for i, t, *_ in rows}
+    worded = {i: [k for k, x in enumerate(lines) if WORD.search(x)] for i, lines in texts.items()}
+    line = lambda i, a: texts[i][worded[i][a]] if 0 <= a < len(worded[i]) else None
+    for i in sorted(texts):
         gone[i] = set()
-        for a in range(len(worded) - run + 1):
-            places = worded[a : a + run]
-            key = tuple(lines[k] for k in places)
+        for a in range(len(worded[i])):
+            k = next((k for k in range(1, run) if sum(len(WORD.findall(line(i, a + j) or "")) for j in range(k)) >= words), run)
+            if a + k > len(worded[i]):
+                continue
+            key = tuple(line(i, a + j) for j in range(k))
             if key in first:
-                gone[i] |= set(places)
+                d, b = first[key]
+                left = next((j for j in range(run - 1) if line(i, a - j - 1) is None or line(i, a - j - 1) != line(d, b - j - 1)), run - 1)
+                right = next((j for j in range(run - 1) if line(i, a + k + j) is None or line(i, a + k + j) != line(d, b + k + j)), run - 1)
+                gone[i] |= {worded[i][x] for x in range(a - left, a + k + right)}
             first.setdefault(key, (i, a))
     return gone
 
@@ -288,14 +296,24 @@ def test_simhash(docs, rows):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{b:016x}", root[i]) for i, b in bits.items()}
 
 
+def test_every_three_positions_leave_one_list():
+    for gone in combinations(range(8), 3):
+        assert sum(not set(gone) & set(c) for c in simhash.FIXED) == 1
+
+
 def test_long_posting_lists(monkeypatch):
     rng = np.random.default_rng(4)
-    members = np.unique(rng.integers(0, 1 << 14, 700).astype(np.uint64) | np.uint64(0xAB << 40))
-    want = simhash.forest(members)
+    free = sorted(set(range(8)) - set(simhash.FIXED[0]))
+    low = rng.integers(0, 1 << 14, 700).astype(np.uint64)
+    members = np.unique((low & np.uint64(0xFF)) << np.uint64(8 * free[0]) | (low >> np.uint64(8)) << np.uint64(8 * free[1]) | np.uint64(0xAB << 8 * simhash.FIXED[0][0]))
+    want = simhash.forest(members, simhash.FIXED[0])
     monkeypatch.setattr(simhash, "_PAIRWISE", 10)
-    got = simhash.forest(members)
+    got = simhash.forest(members, simhash.FIXED[0])
     groups = lambda links: (lambda f: f.root(np.arange(len(members))))(_joined(members, links))
     assert np.array_equal(groups(want), groups(got))
+    every = components.Forest(len(members))
+    every.join(*np.nonzero(np.bitwise_count(members[:, None] ^ members[None, :]) <= 3))
+    assert np.array_equal(groups(want), every.root(np.arange(len(members))))
 
 
 def _joined(members, links):
