@@ -3,8 +3,9 @@
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import bpe, mixing, rules, simhash
-from tests.llm.test_operators import SCHEMA, corpus, simple_components, simple_lines, simple_simhash
+from quillspark.llm import bpe, mixing, rules
+from tests.llm.test_near import kept
+from tests.llm.test_operators import SCHEMA, corpus, simple_lines
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +38,8 @@ def test_line_stage(spark, docs, rows):
 
 
 def test_near_stage(spark, docs, rows):
-    root = simple_components({i: simple_simhash(t, 5) for i, t, *_ in rows})
     got = corpus_pipeline.STAGES[2][1](spark, docs, "")
-    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(i for i, r in root.items() if i == r)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == kept(rows)
 
 
 def test_mixing_stage(spark, docs):
