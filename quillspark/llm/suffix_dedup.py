@@ -38,8 +38,8 @@ from . import repeats, textkit
 from .repeats import BYTES, KEYS
 from .storage import kept, materialise, scratch
 
-#: Segments of a key that one task takes, and bytes of segments in a transform.
-LARGE = 2000
+#: Segments of a key that one task takes (4 MB), and bytes of segments in a transform.
+LARGE = 8000
 TOGETHER = 256 << 10
 #: Bytes beside a slice that are part of a key.
 SIDE = (BYTES.size - BYTES.gram) // 2
@@ -221,7 +221,18 @@ def expanded(parts: DataFrame, depths: tuple[int, ...]) -> DataFrame:
         windows = np.asarray(rows.column("windows")).astype(np.int64)
         at = np.asarray(rows.column("at")).astype(np.int64)
         base = np.cumsum(windows + 1) - windows - 1
-        for depth, hit in zip(depths, equal_windows(rows.column("segment").to_pylist(), windows, depths), strict=True):
+        # equal segments are one in the transform, and all their windows are repeated
+        names: dict[tuple[bytes, int], int] = {}
+        segments = rows.column("segment").to_pylist()
+        which = np.array([names.setdefault(x, len(names)) for x in zip(segments, windows.tolist(), strict=True)])
+        twice = np.bincount(which)[which] > 1
+        sizes = np.array([len(x) for x in segments])
+        own = np.array([n for _, n in names], np.int64)
+        first = (np.cumsum(own + 1) - own - 1)[which]
+        place = np.repeat(first - base, windows + 1) + np.arange(int(base[-1] + windows[-1] + 1))
+        for depth, distinct in zip(depths, equal_windows([x for x, _ in names], own, depths), strict=True):
+            whole = base[twice]
+            hit = distinct[place] | textkit.covered(whole, whole + np.clip(sizes - depth + 1, 0, windows)[twice], len(place))
             step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
             first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
             who = np.searchsorted(base, first, "right") - 1
