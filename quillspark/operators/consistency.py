@@ -18,7 +18,8 @@ SPELLING_PAIRS = (
 
 def definitions(p: DataFrame) -> DataFrame:
     """(doc_id, idx, acronym, phrase): `Expansion (ABC)` where the words before spell the letters."""
-    found = hits(p.filter(~P.is_reference_block(F.col("text"))), r"[A-Za-z][A-Za-z'’\-]*(?:[\s\-–—]+[A-Za-z][A-Za-z'’\-]*){0,5}\s*\([A-Z]{2,6}[a-z]?s?\)")
+    short = p.filter(F.col("text").rlike(r"\([A-Z]{2,6}[a-z]?s?\)"))  # few paragraphs, before the costly pattern
+    found = hits(short.filter(~P.is_reference_block(F.col("text"))), r"[A-Za-z][A-Za-z'’\-]*(?:[\s\-–—]+[A-Za-z][A-Za-z'’\-]*){0,5}\s*\([A-Z]{2,6}[a-z]?s?\)")
     acronym = F.regexp_extract("match", r"\(([A-Z]{2,6})", 1)
     phrase = F.trim(F.regexp_extract("match", r"^(.*?)\s*\(", 1))
     spelled = found.select("doc_id", "idx", acronym.alias("acronym"), phrase.alias("phrase"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.wordlists import NAME_STOPS
+
 from .scans import sentences
 
 # Words of a publisher's topics by subject domain.
@@ -70,16 +72,37 @@ def prescreen(score: Column, hits: Column) -> Column:
 
 
 def candidate_pool(docs: DataFrame, journals: DataFrame, pool: int = 40) -> DataFrame:
-    """TK-1: (doc_id, cid, name, score, prescreen, place): the `pool` best candidates of each document.  docs: (doc_id, vector, text)."""
-    terms = journals.select("cid", F.concat("subject_areas", "topics").alias("terms"))
-    pairs = scored_pairs(docs.select("doc_id", "vector"), journals).join(F.broadcast(terms), "cid") if journals.select("cid").limit(CATALOGUE_ROWS + 1).count() <= CATALOGUE_ROWS else scored_pairs(docs.select("doc_id", "vector"), journals).join(terms, "cid")
-    both = pairs.join(docs.select("doc_id", F.lower("text").alias("lowered")), "doc_id")
-    scored = both.withColumn("prescreen", prescreen(F.col("score"), F.size(topic_hits(F.col("lowered"), F.col("terms"))).cast("double")))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("prescreen"), F.desc("score"), "cid")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pool).select("doc_id", "cid", "name", "score", "prescreen", "place")
-
+    """TK-1: (doc_id, cid, name, score, prescreen, place): the `pool` best candidates of each document.  docs: (doc_id, vector, text).
 
-NAME_STOPS = ("the", "of", "and", "for", "in", "on", "a", "an")
+    A catalogue within CATALOGUE_ROWS is broadcast as one array of journals, so a
+    text stays where it is and its journals are scored, sorted and cut in place;
+    a larger one is dealt in blocks, each of which keeps its best.  A document
+    without a vector scores 0 with every journal.
+    """
+    own = F.struct("cid", "name", "embedding", F.concat("subject_areas", "topics").alias("terms"))
+    small = journals.select("cid").limit(CATALOGUE_ROWS + 1).count() <= CATALOGUE_ROWS
+    parts = 1 if small else 64
+    blocks = journals.groupBy(F.pmod(F.xxhash64("cid"), F.lit(parts)).alias("block")).agg(F.collect_list(own).alias("js"))
+    lowered = docs.select("doc_id", "vector", F.lower("text").alias("lowered"))
+    dealt = lowered.withColumn("block", F.lit(0)) if small else lowered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = dealt.join(F.broadcast(blocks) if small else blocks, "block")
+    order = lambda rows: F.slice(F.array_sort(rows, lambda x, y: _by(x, y)), 1, pool)
+
+    def judged(j: Column) -> Column:
+        score = F.coalesce(cosine(F.col("vector"), j["embedding"]), F.lit(0.0))
+        hits = F.size(topic_hits(F.col("lowered"), j["terms"])).cast("double")
+        return F.struct(j["cid"].alias("cid"), j["name"].alias("name"), score.alias("score"), prescreen(score, hits).alias("prescreen"))
+
+    best = met.select("doc_id", order(F.transform("js", judged)).alias("best"))
+    if not small:
+        best = best.groupBy("doc_id").agg(order(F.flatten(F.collect_list("best"))).alias("best"))
+    return best.select("doc_id", F.posexplode("best").alias("place", "b")).select("doc_id", "b.cid", "b.name", "b.score", "b.prescreen", (F.col("place") + 1).alias("place"))
+
+
+def _by(x: Column, y: Column) -> Column:
+    """The order of candidates: prescreen and score from high to low, then the id."""
+    key = lambda c, sign: F.when(x[c] < y[c], sign).when(x[c] > y[c], -sign)
+    return F.coalesce(key("prescreen", 1), key("score", 1), key("cid", -1), F.lit(0))
 
 
 def normal_name(name: Column) -> Column:

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rewrites as R
+from ..functions.wordlists import ABBREVIATED, GENERA
 
-# Units that take a space, spelling pairs, genera.
+# Units that take a space.
 UNITS = "kg g mg µg μg ng km cm mm nm µm μm m L mL µL μL mol mmol µmol μmol M mM µM μM nM Hz kHz MHz GHz Pa kPa MPa GPa bar psi V mV kV A mA W kW J kJ min h s ms rpm".split()
-GENERA = "escherichia salmonella staphylococcus bacillus lactobacillus saccharomyces candida aspergillus arabidopsis oryza triticum zea solanum drosophila danio mus rattus homo".split()
-ABBREVIATED = ("e. coli", "s. aureus", "s. cerevisiae", "b. subtilis", "c. elegans", "d. melanogaster", "a. thaliana")
 
 
 def finding(rows: DataFrame, rule: str, severity: str, fragment: Column, suggestion: Column | None = None) -> DataFrame:

@@ -20,7 +20,8 @@ AGC = f"regexp_matches({ASCII}, '\\bAGC\\b')"
 SQL = {
     "ms12_links": r"""SELECT doc_id, idx, 'url' AS kind, regexp_extract(text, 'https://example\.org/a\d+') AS href, regexp_extract(text, 'https://example\.org/a\d+') AS written FROM p WHERE contains(text, 'https://example.org/a')
       UNION ALL SELECT doc_id, idx, 'doi', concat('https://doi.org/', regexp_extract(text, '10\.1000/x\d+')), regexp_extract(text, 'doi:10\.1000/x\d+') FROM p WHERE contains(text, 'doi:10.1000/x')
-      UNION ALL SELECT doc_id, idx, 'doi', 'https://doi.org/10.1000/moss', 'https://doi.org/10.1000/moss' FROM p WHERE contains(text, '10.1000/moss')""",
+      UNION ALL SELECT doc_id, idx, 'doi', 'https://doi.org/10.1000/moss', 'https://doi.org/10.1000/moss' FROM p WHERE contains(text, '10.1000/moss')
+      UNION ALL SELECT doc_id, idx, 'email', concat('mailto:', m), m FROM (SELECT doc_id, idx, unnest(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+\w')) AS m FROM p) e""",
     "census_diff": f"WITH a AS ({_captions('original')}), b AS ({_captions('edited')}), g AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.kind, b.kind) AS kind, coalesce(a.number, b.number) AS number, coalesce(a.n, 0) - coalesce(b.n, 0) AS gap FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.kind = b.kind AND a.number = b.number) SELECT doc_id, kind, number, CASE WHEN gap > 0 THEN 'lost' ELSE 'surplus' END AS change, abs(gap) AS times FROM g WHERE gap <> 0",
     "ref_parse": f"""WITH {ZONES}, {ENTRIES}, b AS (SELECT doc_id, ref_no, {BODY} AS body FROM e)
       SELECT doc_id, ref_no, CASE WHEN regexp_matches(body, '{JOURNAL}') THEN 'journal' ELSE 'other' END AS kind, string_split_regex(body, '\\.\\s+')[1] AS authors,

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder
 from ..streaming import streams
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -20,11 +21,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay(stream: DataFrame, mode: str) -> DataFrame:
-    """All that the stream puts out for the events at hand, as a table in memory (a report's size)."""
-    name = f"replay_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that the stream puts out for the events at hand, as a table in the shared folder.
+
+    Each batch writes a folder of its own, and writes it anew if it runs again.
+    In complete mode the last batch has everything.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    written: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        written.append(batch_id)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    batches = sorted(set(written))[-1:] if mode == "complete" else sorted(set(written))
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/rows/batch={b}" for b in batches])
 
 
 def _lockouts(spark: SparkSession, d: str) -> DataFrame:

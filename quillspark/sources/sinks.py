@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a folder of the temp folder only where that is unset, as in tests."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/quillspark-checkpoints"
+
+
 def write_daily(df: DataFrame, path: str, date: str = "date") -> None:
     """SNK-1: one record for each date; running a day again replaces its partition and no other."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
@@ -26,14 +33,34 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def upsert_stream(path: str, key: str):
-    """SNK-4: a foreachBatch function that replaces each key's partition by its latest rows; a batch that runs again writes the same."""
+def upsert_stream(path: str, key: str, order: str, buckets: int = 64):
+    """SNK-4: a foreachBatch function that keeps the latest row (by `order`) of each key.
+
+    Keys are dealt to `buckets` partitions.  A batch merges the partitions that it
+    touches with its own rows beside the table, then replaces them; one that runs
+    again writes the same.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        spark = batch.sparkSession
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        old = spark.read.schema(new.schema).option("ignoreMissingFiles", "true").parquet(path).filter(F.col("bucket").isin(touched)) if _exists(spark, path) else new.filter("false")
+        fields = [c for c in batch.columns if c != key]
+        latest = new.unionByName(old).groupBy("bucket", key).agg(F.max_by(F.struct(*fields), F.struct(order, F.xxhash64(*batch.columns))).alias("row")).select(key, "row.*", "bucket")
+        beside = f"{path}-merge-{batch_id}"
+        latest.write.mode("overwrite").parquet(beside)
+        spark.read.schema(latest.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_daily(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
