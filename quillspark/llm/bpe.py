@@ -24,6 +24,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -341,7 +342,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document's token ids, and whether they decode to its text again."""
-    encoded = encode(docs.select("doc_id", "text", "lang", "source")).withColumn("ids", F.col("tokens.ids")).drop("tokens")
+    """Pipeline stage: each document's token ids, and whether they decode to its text again.
+
+    training_part and training_row say where the row stood in the files of the
+    stage before, which are in training order; null where docs aren't read from files.
+    """
+    try:
+        place = docs.select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("training_part"), F.col("_metadata.row_index").alias("training_row"), "doc_id", "text", "lang", "source")
+    except AnalysisException:
+        place = docs.select(F.lit(None).cast("int").alias("training_part"), F.lit(None).cast("bigint").alias("training_row"), "doc_id", "text", "lang", "source")
+    encoded = encode(place).withColumn("ids", F.col("tokens.ids")).drop("tokens")
     same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
-    return decode(encoded, "ids").select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return decode(encoded, "ids").select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"), "training_part", "training_row")

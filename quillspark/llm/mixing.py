@@ -12,8 +12,8 @@ hot source is spread over many tasks.
 
 Edge cases: a null text has no words and takes none; the null source comes last;
 rows with equal ids and sizes share their places among themselves; an empty
-table, or one without words, gives targets of zero; clashing extra columns are
-kept and never read.
+table, or one without words, gives targets of zero; extra columns of any name
+are kept and never read.
 """
 
 from __future__ import annotations
@@ -89,13 +89,15 @@ def position(class_: Column, share: Column, schedules=SCHEDULES) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, position) for each row of docs.
+    """(doc_id, mark, source, size, source_size, target, taken, position, copies) for each row of docs.
 
-    taken: the words that the mix takes of the document, repeats counted; a
-    source's sum is its target rounded down.  position: training progress at the
-    first copy, null if none is taken.
+    copies: for each copy that the source's demand reaches, its training position
+    and the words of it that are taken (the copy at which the demand ends is cut
+    there).  taken: their sum, repeats counted; a source's sum is its target
+    rounded down.  position: the first copy's, null without any.  mark: a hash of
+    text and source.
     """
-    sizes = docs.select("doc_id", "source", word_count().alias("size"))
+    sizes = docs.select("doc_id", F.xxhash64("text", "source").alias("mark"), "source", word_count().alias("size"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
     goal = targets(sizes, weights, repeats)
@@ -106,44 +108,42 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, schedu
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = keyed.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     both = laid.join(place.withColumnsRenamed({"source": "s", "bucket": "b"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    start = F.col("base") + F.col("ahead")
-    words = F.floor("target").cast("bigint")
-    size = F.greatest(F.col("source_size"), F.lit(1))
-    passes = F.floor(words / size).cast("bigint")
-    rest = words - passes * F.col("source_size")
-    taken = passes * F.col("size") + F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
-    share = F.least(start / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
-    return both.withColumn("taken", taken.cast("bigint")).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, position(F.col("class"), share, schedules)).alias("position"), "class", start.alias("start")
-    )
+
+    def copy(i: Column) -> Column:
+        offset = F.col("base") + F.col("ahead") + i * F.col("source_size")  # the words of the source before this copy
+        share = F.least(offset / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
+        words = F.least(F.greatest(F.floor("target").cast("bigint") - offset, F.lit(0)), F.col("size"))
+        return F.struct(F.when(words > 0, position(F.col("class"), share, schedules)).alias("position"), words.cast("bigint").alias("words"))
+
+    reached = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats)), copy), lambda c: c["position"].isNotNull())
+    taken = F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["words"])
+    return both.withColumn("copies", reached).select("doc_id", "mark", "source", "size", "source_size", "target", taken.alias("taken"), F.get("copies", 0)["position"].alias("position"), "copies")
 
 
 def training_order(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, schedules=SCHEDULES) -> DataFrame:
     """docs as the mix reads them: a row for each copy, range-sorted by training position; documents of which nothing is taken go.
 
-    A document's last copy counts if at least half of its words are taken;
-    copies differ in position alone.
+    A copy that is cut counts if at least half of its words are taken.  Rows equal
+    in id, text and source have the places of the first of them.
     """
-    plan = mix_sources(docs, weights, repeats, schedules)
-    copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    share = (F.col("start") + F.col("copy") * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))
-    chosen = (
-        plan.filter("size > 0")
-        .dropDuplicates(["doc_id"])
-        .withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-        .select("doc_id", position(F.col("class"), F.least(share, F.lit(1.0)), schedules).alias("__position"))
-    )
-    placed = docs.join(chosen.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
-    return placed.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id")
+    ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    plan = mix_sources(docs, weights, repeats, schedules).filter("size > 0")
+    one = plan.groupBy(ident.alias("__id"), F.col("mark").alias("__mark")).agg(F.min_by(F.struct("copies", "size"), F.coalesce("position", F.lit(2.0))).alias("p"))
+    chosen = one.select("__id", "__mark", F.explode(F.filter("p.copies", lambda c: c["words"] * 2 >= F.col("p.size"))["position"]).alias("__position"))
+    own = docs.select(F.struct("*").alias("d"), ident.alias("__id"), F.xxhash64("text", "source").alias("__mark"))
+    placed = own.join(chosen, ["__id", "__mark"]).repartitionByRange("__position", "__id").sortWithinPartitions("__position", "__id")
+    return placed.select(*[F.col("d")[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    """The mix in training order; documents of which nothing is taken come first."""
+    mixed = mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents repeat or go as their source's target says, in training order."""
-    return training_order(docs).select(*[f"`{c}`" for c in docs.columns])
+    """Pipeline stage: documents repeat or go as their source's target says, in training order: the next stage reads it off the files."""
+    return training_order(docs)
 
 
 SQL = r"""
