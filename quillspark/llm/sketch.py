@@ -92,24 +92,28 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (doc_id, text, part, extra): each part is a range of ids, and ends with the next range's first row as an extra.
 
     The range limits are ids of the table, so the first row of each range is
-    known from its id; each is sent to the range before it as well.
+    known from its id; each is sent to the range before it as well, and the very
+    first row (known by id and a hash of its text) to the last range.
     """
     ids = docs.select("doc_id")
     limits = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
     cuts = np.array(limits, np.int64)
+    none = np.iinfo(np.int64).min
+    least = docs.agg(F.min(F.struct(F.coalesce("doc_id", F.lit(none)).alias("id"), F.col("text"), F.xxhash64("text").alias("mark"))).alias("r")).select("r.id", "r.mark").first()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_id = np.asarray(batch.column("doc_id").fill_null(np.iinfo(np.int64).min))
+            doc_id = np.asarray(batch.column("doc_id").fill_null(none))
             part = np.searchsorted(cuts, doc_id, "right").astype(np.int32)
-            extra = np.zeros(len(part), bool)
-            for p, e, rows in ((part, extra, None), (part - 1, ~extra, np.flatnonzero(np.isin(doc_id, cuts)))):
-                out = batch if rows is None else batch.take(pa.array(rows))
-                p, e = (p, e) if rows is None else (p[rows].astype(np.int32), e[rows])
-                if out.num_rows:
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(p), pa.array(e)], ["doc_id", "text", "part", "extra"])
-
-    placed = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+            first = np.flatnonzero((doc_id == least["id"]) & (np.asarray(batch.column("mark")) == least["mark"]))
+            last = np.full(len(part), len(cuts), np.int32)
+            every = batch.drop_columns(["mark"])
+            for p, extra, rows in ((part, False, np.arange(len(part))), (part - 1, True, np.flatnonzero(np.isin(doc_id, cuts))), (last, True, first)):
+                if len(rows):
+                    out = every.take(pa.array(rows)) if extra else every
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(p[rows].astype(np.int32)), pa.array(np.full(len(rows), extra))], ["doc_id", "text", "part", "extra"])
+
+    placed = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     return placed.mapInArrow(place, "doc_id bigint, text string, part int, extra boolean")
 
 
@@ -124,9 +128,6 @@ def edited_likeness(docs: DataFrame, k: int = K, size: int = SHINGLE, parts: int
     n = parts or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    least = base.select("doc_id").agg(F.min("doc_id").alias("a"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("n")).first()
-    first = base.filter(F.col("doc_id").isNull() if least["n"] else F.col("doc_id") == F.lit(least["a"])).orderBy(*order).limit(1).collect()
-    opening = first[0]["text"] if first else ""  # one document
     laid = with_next(base, n).repartition(n, "part").sortWithinPartitions("part", "extra", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def edited_likeness(docs: DataFrame, k: int = K, size: int = SHINGLE, parts: int
         for i, (doc_id, text, part, extra) in enumerate(rows):
             if i + 1 == len(rows) and not over or extra:
                 continue
-            after = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][2] == part else opening
+            after = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][2] == part else ""
             half = len(text) // 2
             todo.append((doc_id, text, after, text[: len(text) - half] + after[:half]))
         if not todo:
