@@ -3,8 +3,8 @@
 A document is the average of learned vectors of its hashed words, word pairs and
 character n-grams, followed by a softmax over the two labels.  Training is
 stochastic gradient descent in numpy, with step sizes that shrink by each
-vector's own past gradients, on a bounded sample of labelled rows (MAX_ROWS, a
-parameter); it runs in one task.  Since the output is linear in the average, the
+vector's own past gradients, on a bounded sample of labelled rows (MAX_ROWS and
+MAX_BYTES, parameters); it runs in one task.  Since the output is linear in the average, the
 model collapses to one number for each bucket, so scoring needs a look-up for
 each feature and no vectors; this table has a fixed size, and only it is sent
 to the scoring tasks.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -34,6 +34,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 16
 GRAMS = (3, 4)
 MAX_ROWS = 3000
+MAX_BYTES = 64 << 20
 EPOCHS = 6
 BATCH = 32
 RATE = 0.1
@@ -124,11 +125,14 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, rate: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Trains on at most max_rows labelled documents, those of least hash of the id."""
+    """Trains on at most max_rows labelled documents, those of least hash of the id, and of these on MAX_BYTES of text."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most max_rows ids are broadcast
-    one = rows.repartition(1).sortWithinPartitions("doc_id")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over at most max_rows numbers
+    size = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
+    within = size.withColumn("sum", F.sum("n").over(order)).filter(F.col("sum") <= MAX_BYTES).select("doc_id")
+    one = rows.join(F.broadcast(within), "doc_id").repartition(1).sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
