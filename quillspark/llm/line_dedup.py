@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import kept, materialise, scratch
+from .storage import fresh, kept, materialise, scratch
 
 #: Words of a window, and lines of one that has fewer.
 WORDS, RUN = 5, 3
@@ -89,18 +89,19 @@ def drop_repeated_lines(docs: DataFrame, name: str = "lines", text: str = "text"
     with scratch(docs.sparkSession):
         gone = kept(repeated_lines(docs, text, words, run), "gone-lines")
     own = F.struct(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("mark"))
-    # documents and places meet as one column each, so no name of the documents' can clash
-    left = docs.drop(name).select(F.struct("*").alias("d"), own.alias("o"))
-    right = gone.select(F.struct("doc", "mark").alias("p"), F.col("gone").alias("g"))
-    both = left.join(right, F.col("o.doc").eqNullSafe(F.col("p.doc")) & (F.col("o.mark") == F.col("p.mark")), "left")
-    whole = F.col("d")[text]
+    # documents and places meet as one column each, of names that no column has
+    d, o, p, g = fresh(docs.columns, "d", "o", "p", "g")
+    left = docs.drop(name).select(F.struct("*").alias(d), own.alias(o))
+    right = gone.select(F.struct("doc", "mark").alias(p), F.col("gone").alias(g))
+    both = left.join(right, F.col(o)["doc"].eqNullSafe(F.col(p)["doc"]) & (F.col(o)["mark"] == F.col(p)["mark"]), "left")
+    whole = F.col(d)[text]
     lines = F.split(whole, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g"))
-    left_text = F.when(F.col("g").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g))
+    left_text = F.when(F.col(g).isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
     n = F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    removed = F.when(F.col("g").isNull(), 0).otherwise(F.size("g")).cast("bigint")
+    removed = F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("bigint")
     made = F.struct(left_text.alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
-    return both.select(*[F.col("d")[c].alias(c) for c in docs.drop(name).columns], made.alias(name))
+    return both.select(*[F.col(d)[c].alias(c) for c in docs.drop(name).columns], made.alias(name))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -110,8 +111,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: later repeats of runs of lines go; n_chars follows the text."""
-    done = drop_repeated_lines(docs, "__lines")
-    made = {"text": F.col("__lines.text"), "n_chars": F.length("__lines.text")}
+    (lines,) = fresh(docs.columns, "lines")
+    done = drop_repeated_lines(docs, lines)
+    made = {"text": F.col(lines)["text"], "n_chars": F.length(F.col(lines)["text"])}
     return done.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
 
 

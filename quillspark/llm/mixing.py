@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import fresh
+
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Knots (progress, factor) of each weight class's schedule; each has the mean factor 1.
@@ -128,11 +130,12 @@ def training_order(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, sch
     """
     ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
     plan = mix_sources(docs, weights, repeats, schedules).filter("size > 0")
-    one = plan.groupBy(ident.alias("__id"), F.col("mark").alias("__mark")).agg(F.min_by(F.struct("copies", "size"), F.coalesce("position", F.lit(2.0))).alias("p"))
-    chosen = one.select("__id", "__mark", F.explode(F.filter("p.copies", lambda c: c["words"] * 2 >= F.col("p.size"))["position"]).alias("__position"))
-    own = docs.select(F.struct("*").alias("d"), ident.alias("__id"), F.xxhash64("text", "source").alias("__mark"))
-    placed = own.join(chosen, ["__id", "__mark"]).repartitionByRange("__position", "__id").sortWithinPartitions("__position", "__id")
-    return placed.select(*[F.col("d")[c].alias(c) for c in docs.columns])
+    d, who, mark, at = fresh(docs.columns, "d", "who", "m", "at")
+    one = plan.groupBy(ident.alias(who), F.col("mark").alias(mark)).agg(F.min_by(F.struct("copies", "size"), F.coalesce("position", F.lit(2.0))).alias("p"))
+    chosen = one.select(who, mark, F.explode(F.filter("p.copies", lambda c: c["words"] * 2 >= F.col("p.size"))["position"]).alias(at))
+    own = docs.select(F.struct("*").alias(d), ident.alias(who), F.xxhash64("text", "source").alias(mark))
+    placed = own.join(chosen, [who, mark]).repartitionByRange(at, who).sortWithinPartitions(at, who)
+    return placed.select(*[F.col(d)[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

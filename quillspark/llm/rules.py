@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .attach import attach
+from .storage import fresh
 
 # Symbols that mark markup and noise.
 SYMBOLS = "#*$%&|<>"
@@ -133,5 +134,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    columns = docs.columns
-    return quality_rules(docs, "__rules").filter("__rules.kept").select(*[f"`{c}`" for c in columns])
+    (name,) = fresh(docs.columns, "rules")
+    return quality_rules(docs, name).filter(F.col(name)["kept"]).select(*[f"`{c}`" for c in docs.columns])

@@ -30,6 +30,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has: underscores are put behind those that one does."""
+    end = ""
+    while {n + end for n in names} & set(columns):
+        end += "_"
+    return [n + end for n in names]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that materialise() writes inside, at its end; what is still to be read must be kept() before."""
