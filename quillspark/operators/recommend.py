@@ -41,7 +41,7 @@ def journal_text(journals: DataFrame) -> DataFrame:
 def scored_pairs(docs: DataFrame, journals: DataFrame) -> DataFrame:
     """JN-21: every document with every journal: (doc_id, cid, name, score).  docs: (doc_id, vector); journals: (cid, name, embedding).
 
-    A catalogue within CATALOGUE_ROWS is broadcast; its size is checked, and a
+    A document without a vector scores 0.  A catalogue within CATALOGUE_ROWS is broadcast; its size is checked, and a
     larger one is dealt in blocks of journals against all documents.
     """
     small = journals.select("cid").limit(CATALOGUE_ROWS + 1).count() <= CATALOGUE_ROWS
@@ -51,7 +51,7 @@ def scored_pairs(docs: DataFrame, journals: DataFrame) -> DataFrame:
         blocks = 64
         right = journals.select("cid", "name", "embedding").withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
         both = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "block")
-    return both.select("doc_id", "cid", "name", cosine(F.col("vector"), F.col("embedding")).alias("score"))
+    return both.select("doc_id", "cid", "name", F.coalesce(cosine(F.col("vector"), F.col("embedding")), F.lit(0.0)).alias("score"))
 
 
 def top_journals(pairs: DataFrame, k: int = 3) -> DataFrame:
@@ -74,7 +74,7 @@ def prescreen(score: Column, hits: Column) -> Column:
 def candidate_pool(docs: DataFrame, journals: DataFrame, pool: int = 40) -> DataFrame:
     """TK-1: (doc_id, cid, name, score, prescreen, place): the `pool` best candidates of each document.  docs: (doc_id, vector, text).
 
-    A catalogue within CATALOGUE_ROWS is broadcast as one array of journals, so a
+    A document without a vector scores 0.  A catalogue within CATALOGUE_ROWS is broadcast as one array of journals, so a
     text stays where it is and its journals are scored, sorted and cut in place;
     a larger one is dealt in blocks, each of which keeps its best.  A document
     without a vector scores 0 with every journal.

