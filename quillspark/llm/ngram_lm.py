@@ -19,8 +19,12 @@ and a salt of the second, so that a frequent word spreads over SALTS shards.
 A trie's first level has the contexts, its second their successors.  Both are
 Elias-Fano coded in memory-mapped files of the task; successors are coded
 relative to their context's range, between monotone pointers, and found by
-successor search in that range.  Probabilities are quantised logarithms of the
-smoothed joint frequency.  Words are known by 64-bit hashes.
+successor search in that range.  Its values are quantised logarithms of the pair
+counts: a salted context's total is known in no single shard, so the prior is
+added when a block reads them.  Words are known by 64-bit hashes.
+
+Blocks are cut twice, so docs must be read alike twice: a table does, a shuffle
+does not (a block without answers fails rather than score wrongly).
 
 Edge cases: a null text is empty and has the end token alone; texts without
 words likewise; repeated rows count as often as they stand; with no training
@@ -136,7 +140,7 @@ def _select(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Contexts and their successors with quantised joint log-frequencies.
+    """Contexts and their successors with quantised logarithms of counts.
 
     pairs: (context, successor) in ascending order, without repeats; codes: their quantised values.
     """
