@@ -2,8 +2,9 @@
 
 Large-star links each node's larger neighbours to the least node it sees,
 small-star does so for its smaller ones; both are a map-side combined minimum
-and a join.  Rounds are written to the shared folder and grow with the logarithm
-of the component size; only two sums of each round reach the driver.
+and a join.  Rounds are written to the shared folder, where each replaces the
+one before, and grow with the logarithm of the component size; only two sums of
+each round reach the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import delete, written
 
 _EDGES = "a bigint, b bigint"
 
@@ -39,10 +40,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Self-loops and repeated edges do nothing; an empty table gives an empty table.
     """
-    now = materialise(_linked(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))), name)
+    now, path = written(_linked(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))), name)
     seen = None
     while True:
-        now = materialise(_small(_large(now)), name)
+        before = path
+        now, path = written(_small(_large(now)), name)
+        delete(edges.sparkSession, before)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == seen:
             break

@@ -93,7 +93,8 @@ def drop_repeated_lines(docs: DataFrame, name: str = "lines", text: str = "text"
     d, o, p, g = fresh(docs.columns, "d", "o", "p", "g")
     left = docs.drop(name).select(F.struct("*").alias(d), own.alias(o))
     right = gone.select(F.struct("doc", "mark").alias(p), F.col("gone").alias(g))
-    both = left.join(right, F.col(o)["doc"].eqNullSafe(F.col(p)["doc"]) & (F.col(o)["mark"] == F.col(p)["mark"]), "left")
+    # one plan at every size: broadcasting what few lines a small corpus loses would hide what a large one costs
+    both = left.join(right.hint("merge"), F.col(o)["doc"].eqNullSafe(F.col(p)["doc"]) & (F.col(o)["mark"] == F.col(p)["mark"]), "left")
     whole = F.col(d)[text]
     lines = F.split(whole, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import near, textkit
 from .attach import attach
 from .components import Forest, components
-from .storage import materialise
+from .storage import kept, materialise, scratch
 
 BITS = 3
 SEED = 42
@@ -158,11 +158,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """(id, bits, component_id) for each row: the least id that its links reach, itself included; null ids are passed over."""
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     rows = materialise(fingerprints(base, "simhash", "text", size).select("doc_id", F.col("simhash.bits").alias("bits")), "simhash")
-    prints = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    found = components(links(prints), "simhash-links").withColumnRenamed("node", "bits")
-    rooted = prints.join(found, "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
+    with scratch(docs.sparkSession):
+        prints = materialise(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-prints")
+        found = components(links(prints), "simhash-links").withColumnRenamed("node", "bits")
+        rooted = prints.join(found, "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = kept(rooted.join(least, "root").select("bits", "component_id"), "simhash-components")
+    return rows.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

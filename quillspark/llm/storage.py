@@ -23,11 +23,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, so that lost executors cost no recomputation."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialise(), and the table's folder for a delete() before the scope's end."""
     path = new_folder(df.sparkSession, name)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
