@@ -173,7 +173,7 @@ def greek_letters(p: DataFrame) -> DataFrame:
     return pairs.select("doc_id", F.regexp_extract("c", "[α-ωΑ-Ω]", 0).alias("letter"), style.alias("style")).groupBy("doc_id", "letter", "style").agg(F.count("*").alias("n"))
 
 
-TOKEN = r"\d+(?:[.,]\d+)?\s?(?:" + "|".join(sorted(UNITS + ["°C", "°F", "%"], key=lambda u: (-len(u), u))) + r")(?![A-Za-z])|[A-Za-z]+[_^](?:\([^)]*\)|\{[^}]*\}|[A-Za-z0-9]+)|(?<![A-Za-z0-9])[A-Z][a-z]?\d[A-Za-z0-9]*"
+TOKEN = r"\d+(?:[.,]\d+)?\s?(?:" + "|".join(sorted(UNITS + ["°C", "°F", "%"], key=lambda u: (-len(u), u))) + r")(?![A-Za-z])|[A-Za-z]+[_^](?:\([^)]*\)|\{[^}]*\}|[A-Za-z0-9]+(?:,[A-Za-z][A-Za-z0-9]*)*)|(?<![A-Za-z0-9])[A-Z][a-z]?\d[A-Za-z0-9]*"
 
 
 def technical_tokens(p: DataFrame) -> DataFrame:

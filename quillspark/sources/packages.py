@@ -78,8 +78,18 @@ def _text(xml: Column, path: str) -> Column:
 
 
 def ingest_packages(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """SRC-2: paragraphs, runs, para_format, cells, sections and images of all packages below a folder, keyed by path."""
-    packages = files(spark, path)
+    """SRC-2: tables_of() all packages below a folder."""
+    return tables_of(files(spark, path))
+
+
+def by_document(rows: DataFrame) -> DataFrame:
+    """Rows keyed by path as the scans read them: doc_id is the number that the file's name ends with, else a hash of the path."""
+    number = F.nullif(F.regexp_extract("path", r"(\d{1,18})\.\w+$", 1), F.lit(""))
+    return rows.select(F.coalesce(number.cast("bigint"), F.xxhash64("path")).alias("doc_id"), *[c for c in rows.columns if c != "path"])
+
+
+def tables_of(packages: DataFrame) -> dict[str, DataFrame]:
+    """SRC-2: paragraphs, runs, para_format, cells, sections and images of packages (path, content), keyed by path."""
     document = members(packages).filter("member = 'word/document.xml'").select("path", "xml")
     para = _paragraph_xml(packages)
     on = lambda c, name: F.when(F.size(F.xpath(c, F.lit(f"/r/rPr/{name}"))) == 0, None).otherwise(~F.coalesce(F.xpath_string(c, F.lit(f"/r/rPr/{name}/@val")).isin("0", "false"), F.lit(False)))
