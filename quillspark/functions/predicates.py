@@ -29,22 +29,31 @@ def any_of(text: Column, *patterns: str) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 
 
+#: Parts of citations in tidied text: one kind of dash, no space around punctuation.
+SPAN = r"\d{1,5}-\d{1,5}"
+NOTATIONS = (rf"\b\d{{1,4}}\(\d{{1,4}}[a-z]?\)[:.,]?{SPAN}", rf"\bpp?\.?\s?{SPAN}", rf"{YEAR};\d{{1,4}}(?:\([\w./-]{{1,15}}\))?[:.,]{SPAN}")
+
+
+def tidied(text: Column) -> Column:
+    """Dashes as hyphens, and no space around punctuation inside a citation."""
+    return F.regexp_replace(F.translate(F.trim(text), "–—", "--"), r"\s*([():;,-])\s*", "$1")
+
+
 def is_reference_block(text: Column) -> Column:
     """A bibliography entry: a numbered line with a year, a DOI, or volume and pages in a line of at most 400 characters."""
-    t = F.trim(text)
-    numbered = t.rlike(r"^\[?\d{1,3}[\].]{1,2}\s") & t.rlike(YEAR)
-    notation = any_of(
-        t,
-        rf"\b\d{{1,4}}\s*\(\s*\d{{1,4}}[a-z]?\s*\)\s*[:.,]?\s*\d{{1,5}}\s*{DASH}\s*\d{{1,5}}",
-        rf"\bpp?\.?\s*\d{{1,5}}\s*{DASH}\s*\d{{1,5}}",
-        rf"\b(?:19|20)\d{{2}}\s*;\s*\d{{1,4}}\s*(?:\(\s*[\w\s./-]{{1,15}}\s*\))?\s*[:.,]\s*\d{{1,5}}\s*{DASH}\s*\d{{1,5}}",
-    )
-    return (F.length(t) >= 25) & (numbered | t.rlike(r"(?i)\bdoi\s*[:.]\s*(?:org/)?10\.\d{4}") | ((F.length(t) <= 400) & notation))
+    size = F.length(F.trim(text))
+    number = r"^\s*(?:\[\d{1,3}\]\.?|\[?\d{1,3}\.\]?)\s"
+    identifier = r"(?i)\bdoi\s*[:.]\s*(?:org/)?10\.\d{4}"
+    short = text.rlike(r"\d\s*[-–—]\s*\d") & any_of(tidied(text), *NOTATIONS)
+    return (size >= 25) & ((text.rlike(number) & text.rlike(YEAR)) | text.rlike(identifier) | ((size <= 400) & short))
+
+
+SIGNALS = {"number": r"^\s*(?:[\[(]\d+[\])]|\d+[.)])", "quoted title": "[“”\"]", "volume": r"(?i)\bvol\.?\s*\d", "identifier": "(?i)doi", "more authors": r"(?i)\bet\s+al\b", "pages": r"(?i)\bpp?\.\s*\d"}
 
 
 def is_reference_entry(text: Column) -> Column:
-    """Strong citation signals beside a year: entry number, quoted title, volume, DOI, et al, or pages."""
-    return text.rlike(YEAR) & any_of(text, r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s*", '["“”]', r"(?i)\bvol\.?\s*\d", "(?i)doi", r"(?i)\bet\s+al\b", r"(?i)\bpp?\.\s*\d")
+    """A year beside any of SIGNALS."""
+    return text.rlike(YEAR) & any_of(text, *SIGNALS.values())
 
 
 def is_citation_sentence(text: Column) -> Column:
@@ -102,17 +111,15 @@ def is_not_a_measurement(before: Column, number: Column, unit: Column) -> Column
     return ((unit == "s") & number.rlike(r"^(1[5-9]|20)\d{2}$")) | before.rlike("[A-Za-z]-$")
 
 
+#: Element symbols, each with a count from 2 to 12 or none; a symbol has one reading, since no symbol begins with a small letter.
+FORMULA = "^(?:(?:" + "|".join(ELEMENTS) + ")(?:[2-9]|1[0-2])?)+$"
+
+
 def is_formula(token: Column) -> Column:
-    """Element symbols end to end with counts of at most 12 and none of 1; one element only for the diatomic gases."""
-    parts = F.regexp_extract_all(token, F.lit(r"([A-Z][a-z]?)(\d*)"), F.lit(0))
-    symbols = F.transform(parts, lambda x: F.regexp_extract(x, r"^[A-Z][a-z]?", 0))
-    counts = F.transform(parts, lambda x: F.regexp_extract(x, r"\d*$", 0))
-    known = F.forall(symbols, lambda s: s.isin(*ELEMENTS))
-    fine = F.forall(counts, lambda c: (c == "") | ((F.length(c) <= 2) & ~c.startswith("0") & (c.cast("int") <= 12) & (c != "1")))
-    code = (F.size(symbols) >= 3) & F.forall(symbols, lambda s: F.length(s) == 1) & F.forall(F.slice(counts, 1, F.size(counts) - 1), lambda c: c == "") & (F.element_at(counts, -1) != "")
-    several = F.size(F.array_distinct(symbols)) >= 2
-    whole = F.array_join(parts, "") == token
-    return token.rlike(r"\d") & ~token.isin(*NOT_FORMULAS) & (F.size(parts) > 0) & whole & known & fine & ~code & (several | token.isin(*DIATOMIC))
+    """Element symbols end to end with counts, two elements or more, or a diatomic gas; product codes such as ABC12 are none."""
+    elements = F.array_distinct(F.regexp_extract_all(token, F.lit("[A-Z][a-z]?"), F.lit(0)))
+    code = token.rlike(r"^[A-Z]{3,}\d+$") | token.isin(*NOT_FORMULAS)
+    return token.rlike(r"\d") & token.rlike(FORMULA) & ~code & (token.isin(*DIATOMIC) | (F.size(elements) >= 2))
 
 
 def orcid_ok(orcid: Column) -> Column:

@@ -62,3 +62,30 @@ US_TO_UK = {
 
 # Words that a journal's name is compared without.
 NAME_STOPS = ("the", "of", "and", "for", "in", "on", "a", "an", "to", "journal", "journals", "international", "research")
+
+# Words that negate.
+NEGATIONS = (
+    "not", "no", "never", "cannot", "can't", "without", "neither", "nor", "none", "absent", "lack", "lacks", "lacked", "lacking",
+    "fail", "fails", "failed", "failing", "failure", "failures", "unable", "insignificant", "nonsignificant", "non-significant",
+)
+
+# Prefixes that authors join with a hyphen.
+PREFIXES = ("non", "pre", "post", "multi", "sub", "semi", "anti", "inter", "intra", "over", "under", "micro", "macro", "nano", "co", "self", "cross", "re")
+
+# Words that are no half of a compound.
+FUNCTION_WORDS = """
+    a an the and or nor but if then than that this these those of in on at to for from by with within without into onto over under
+    is are was were be been being has have had do does did not no as it its their his her our your my we they he she you i
+    also such can could may might must shall should will would there here when where which who whom whose
+""".split()
+
+# Labels that open a caption, and verbs by which a sentence reports one.
+CAPTION_LABELS = ("figure", "fig", "table", "tab", "scheme", "plate")
+CENSUS_LABELS = ("figure", "fig", "table", "scheme", "equation", "eq")
+REPORTING_VERBS = (
+    "show", "summarise", "summarize", "present", "illustrate", "display", "list", "give", "depict", "compare", "indicate", "report", "describe", "reveal", "contain",
+)
+
+# Months and seasons that a date may name.
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+SEASONS = ("Spring", "Summer", "Autumn", "Fall", "Winter")

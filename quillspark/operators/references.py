@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions.wordlists import CENSUS_LABELS
 from ..sources.corpus import zones
 from .scans import citation_numbers, citation_slots
 
 NOT_AN_ARTICLE = r"(?i)\b(thesis|dissertation|patent|standard|conference|proceedings|symposium|available (?:from|at)|press|publisher|edition|eds?\.|isbn)\b|https?://"
-ENTRY_START = r"^\s*\[?\d{1,3}[\].)]"
+ENTRY_START = r"^\s*(?:\[\d{1,3}\]|\d{1,3}[.)])"
 
 
 def reference_lines(p: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def bibliography_census(refs: DataFrame) -> DataFrame:
 
 def caption_census(p: DataFrame) -> DataFrame:
     """AG-11: (doc_id, kind, number, n)."""
-    pattern = r"(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)"
+    pattern = rf"(?i)^\s*({'|'.join(CENSUS_LABELS)})[.\s]*[:–-]?\s*(\d+)"
     word = F.lower(F.regexp_extract("text", pattern, 1))
     kind = F.when(word.isin("fig", "figure"), "figure").when(word.isin("eq", "equation"), "equation").otherwise(word)
     found = p.filter(F.col("text").rlike(pattern)).select("doc_id", kind.alias("kind"), F.regexp_extract("text", pattern, 2).alias("number"))
@@ -70,13 +71,14 @@ def missing_fields(text: Column) -> Column:
     return F.array_compact(F.array(*lacks))
 
 
-CITATION_SIGNAL = r"(?i)\b(1[89]|20)\d{2}\b|10\.\d{4,9}/|https?://|www\.|\bpp?\.\s*\d|\bvol\.?\s*\d|\bet\s+al\b"
+#: What makes a line a citation: a year from 1800 on, an identifier or address, pages, a volume, further authors.
+CITES = (r"\b(?:1[89]|20)\d\d\b", r"\b10\.\d{4,9}/", r"(?i)https?://|www\.", P.SIGNALS["pages"], P.SIGNALS["volume"], P.SIGNALS["more authors"])
 
 
 def incomplete_refs(refs: DataFrame) -> DataFrame:
     """RF-1: (doc_id, ref_no, idx, missing) of entries with gaps; fragments and lines without a citation signal are passed over."""
     t = F.col("text")
-    real = (F.length(t) >= 30) & ((F.length(t) >= 120) | t.rlike(P.YEAR)) & t.rlike(CITATION_SIGNAL)
+    real = (F.length(t) >= 30) & ((F.length(t) >= 120) | t.rlike(P.YEAR)) & P.any_of(t, *CITES)
     return refs.filter(real).withColumn("missing", missing_fields(t)).filter(F.size("missing") > 0).select("doc_id", "ref_no", "idx", "missing")
 
 
