@@ -9,8 +9,8 @@ slice and the SIDE bytes behind it.  A task builds the transform of the segments
 of some keys and expands its intervals breadth first: the intervals of common
 prefixes of length n, extended backwards by the symbol in front, are those of
 length n + 1, and rows that part at that step have a common prefix of exactly n.
-A symbol is a block of 8 bytes, so the expansion stops at 50: rows that are
-still together start equal windows of 400 bytes, and those together at 32 equal
+A symbol is a block of 16 bytes, so the expansion stops at 25: rows that are
+still together start equal windows of 400 bytes, and those together at 16 equal
 windows of 256.
 
 Windows of 400 bytes are removed.  Those of 256 bytes are only counted: passages
@@ -48,18 +48,21 @@ DEPTHS = (BYTES.size, BYTES.reach)
 
 
 def blocks(text: np.ndarray, stride: int) -> np.ndarray:
-    """The symbol at each place: the rank of the next `stride` bytes (at most 8)."""
-    long = np.append(text, np.zeros(stride, np.uint8)).astype(np.uint64)
-    code = np.zeros(len(text), np.uint64)
-    for i in range(stride):
-        code = code << np.uint64(8) | long[i : i + len(text)]
-    return np.unique(code, return_inverse=True)[1].astype(np.int64)
+    """The symbol at each place: the number of the next `stride` bytes (16, or at most 8) among all, in any fixed order."""
+    code = textkit.eights(text)[: len(text)] & textkit.LOW[min(stride, 8)]
+    half = np.unique(code, return_inverse=True)[1].astype(np.int64)
+    if stride <= 8:
+        return half
+    pair = half * (len(text) + 1)
+    pair[: max(0, len(text) - 8)] += half[8:] + 1
+    return np.unique(pair, return_inverse=True)[1].astype(np.int64)
 
 
 def suffix_order(symbols: np.ndarray, stride: int, depth: int) -> np.ndarray:
-    """Places in the order of at least their first `depth` bytes, by prefix tripling (doubling for very long texts)."""
-    n, rank, have = len(symbols), symbols.copy(), stride
+    """Places in an order of at least their first `depth` bytes, by prefix tripling (doubling for very long texts)."""
+    n, rank, have = len(symbols), symbols, stride
     times = 3 if n < 1 << 20 else 2
+    order = np.argsort(rank) if have >= depth else None
     while have < depth:
         key = rank.copy()
         for t in range(1, times):
@@ -67,11 +70,12 @@ def suffix_order(symbols: np.ndarray, stride: int, depth: int) -> np.ndarray:
             key[: max(0, n - t * have)] += rank[t * have :] + 1
         order = np.argsort(key)
         ordered = key[order]
+        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
         have *= times
-        if rank.max(initial=0) == n - 1:
+        if n and rank[order[-1]] == n - 1:
             break
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def common_prefixes(symbols: np.ndarray, stride: int, order: np.ndarray, stop: int) -> np.ndarray:
@@ -92,15 +96,16 @@ def common_prefixes(symbols: np.ndarray, stride: int, order: np.ndarray, stop: i
     parted[1:] = first[1:] != first[:-1]
     shared[parted] = 0
     together = np.flatnonzero(~parted)
+    above, below = follow[together - 1], follow[together]
     for length in range(1, stop):
-        if not len(together):
-            break
         interval = np.cumsum(parted, dtype=np.int32)  # the intervals of common prefixes of this length
-        same = interval[follow[together - 1]] == interval[follow[together]]
+        same = interval[above] == interval[below]
         ended = together[~same]
+        if not len(ended):  # no interval has changed, so none will
+            break
         shared[ended] = length
         parted[ended] = True
-        together = together[same]
+        together, above, below = together[same], above[same], below[same]
     return shared
 
 
@@ -111,7 +116,7 @@ def equal_windows(segments: list[bytes], windows: np.ndarray, depths: tuple[int,
     hit.  Only strings that their segment holds whole are compared, so what
     stands behind a segment never decides.
     """
-    stride = next(x for x in (8, 5, 4, 3, 2, 1) if all(d % x == 0 for d in depths))
+    stride = next(x for x in (16, 8, 5, 4, 3, 2, 1) if all(d % x == 0 for d in depths))
     sizes = np.array([len(s) for s in segments])
     at = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(segments), np.uint8)

@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 # Odd multipliers of the mixing steps.
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA24BAED4963EE407)
-_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 #: Slices of more bytes are hashed one by one.
 _LONG = 64
 #: Places that are hashed at a time.
@@ -56,7 +56,7 @@ def step(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-def _eights(buf: np.ndarray) -> np.ndarray:
+def eights(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one number; zeros follow the end."""
     padded = np.append(buf, np.zeros(8, np.uint8))
     return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
@@ -66,11 +66,11 @@ def slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -
     """64-bit hashes of byte slices; slices of equal length up to 8 bytes never collide."""
     size = end - start
     h = mix(size.astype(_U) + _U(seed << 48))
-    eights, live = _eights(buf), np.flatnonzero((size > 0) & (size <= _LONG))
+    loads, live = eights(buf), np.flatnonzero((size > 0) & (size <= _LONG))
     at = 0
     while len(live):
         left = size[live] - at
-        h[live] = step(h[live], eights[start[live] + at] & _MASK[np.minimum(left, 8)])
+        h[live] = step(h[live], loads[start[live] + at] & LOW[np.minimum(left, 8)])
         at += 8
         live = live[left > 8]
     long = np.flatnonzero(size > _LONG)
@@ -81,12 +81,12 @@ def slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -
 
 def equal_slices(buf: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether the n bytes from a are the m bytes from b, for each pair of slices."""
-    same, eights, at = n == m, _eights(buf), 0
+    same, loads, at = n == m, eights(buf), 0
     live = np.flatnonzero(same & (a != b))
     while len(live):
         left = n[live] - at
-        mask = _MASK[np.minimum(left, 8)]
-        equal = eights[a[live] + at] & mask == eights[b[live] + at] & mask
+        mask = LOW[np.minimum(left, 8)]
+        equal = loads[a[live] + at] & mask == loads[b[live] + at] & mask
         same[live[~equal]] = False
         at += 8
         live = live[equal & (left > 8)]
@@ -122,11 +122,11 @@ def runs(values: np.ndarray, size: int) -> np.ndarray:
 
 def byte_runs(buf: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of `size` bytes, a multiple of 8, by doubling."""
-    places, eights = len(buf) - size + 1, _eights(buf)
+    places, loads = len(buf) - size + 1, eights(buf)
     parts = []
     for at in range(0, max(0, places), _TOGETHER):  # parts that stay in the processor's cache
         n = min(_TOGETHER, places - at)
-        parts.append(_doubled(mix(eights[at : at + n + size - 8] ^ _U(seed << 32)), 8, size, n))
+        parts.append(_doubled(mix(loads[at : at + n + size - 8] ^ _U(seed << 32)), 8, size, n))
     return np.concatenate([np.zeros(0, _U), *parts])
 
 
