@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import fresh
+from .storage import fresh, kept, materialise, scratch
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -99,7 +99,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, schedu
     rounded down.  position: the first copy's, null without any.  mark: a hash of
     text and source.
     """
-    sizes = docs.select("doc_id", F.xxhash64("text", "source").alias("mark"), "source", word_count().alias("size"))
+    # texts are read and counted once; what follows reads a few numbers for each row
+    sizes = materialise(docs.select("doc_id", F.xxhash64("text", "source").alias("mark"), "source", word_count().alias("size")), "sizes")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
     goal = targets(sizes, weights, repeats)
@@ -129,8 +130,9 @@ def training_order(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, sch
     in id, text and source have the places of the first of them.
     """
     ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
-    plan = mix_sources(docs, weights, repeats, schedules).filter("size > 0")
     d, who, mark, at = fresh(docs.columns, "d", "who", "m", "at")
+    with scratch(docs.sparkSession):
+        plan = kept(mix_sources(docs, weights, repeats, schedules).filter("size > 0").select("doc_id", "mark", "size", "position", "copies"), "mix")
     one = plan.groupBy(ident.alias(who), F.col("mark").alias(mark)).agg(F.min_by(F.struct("copies", "size"), F.coalesce("position", F.lit(2.0))).alias("p"))
     chosen = one.select(who, mark, F.explode(F.filter("p.copies", lambda c: c["words"] * 2 >= F.col("p.size"))["position"]).alias(at))
     own = docs.select(F.struct("*").alias(d), ident.alias(who), F.xxhash64("text", "source").alias(mark))
