@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rewrites
 from ..operators import changes, consistency, findings, guards, layout, recommend, references, scans, usage
-from ..sources import catalogue, corpus, packages
+from ..sources import catalogue, corpus, packages, sinks
+from ..streaming import streams
 
 
 def corpus_ingest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -102,6 +103,29 @@ def catalogue_refresh(listing: DataFrame, details: DataFrame, previous: DataFram
     return {"journals": journals, "audit": audit, "profile": catalogue.catalogue_stats(journals)}
 
 
+def live_ops(attempts: DataFrame, heartbeats: DataFrame, events: DataFrame, answers: DataFrame, calls: DataFrame, progress: DataFrame) -> dict[str, tuple[DataFrame, str]]:
+    """The streams of running jobs, each with its output mode: lock-outs, stalls, feeds, decisions, meters, throttled progress."""
+    return {
+        "lockouts": (streams.lockouts(attempts), "update"), "stalled": (streams.stalled(heartbeats), "append"), "feed": (streams.live_feed(events), "update"),
+        "decisions": (streams.reviews(answers), "append"), "meters": (streams.usage_meter(calls), "update"), "progress": (streams.throttle(progress), "append"),
+    }
+
+
+#: The key and the order by which a live table keeps its latest rows.
+LIVE_KEYS = {"feed": ("job_id", "events"), "meters": ("job_id", "calls")}
+
+
+def start_live_ops(found: dict[str, tuple[DataFrame, str]], folder: str, **trigger) -> list:
+    """Starts live_ops(): tables with a key are upserted, the others get each batch as a folder of its own."""
+    started = []
+    for name, (stream, mode) in found.items():
+        path = f"{folder}/{name}"
+        key = LIVE_KEYS.get(name)
+        write = sinks.upsert_stream(path, *key) if key else sinks.batch_folders(path)
+        started.append(stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress-{name}").outputMode(mode).trigger(**trigger).start())
+    return started
+
+
 def corpus_reports(found: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     rates = findings.prevalence(found, documents)
     return {"prevalence": rates, "summary": findings.summarise(found), "rows": findings.report_rows(found), "gaps": findings.author_gaps(found), "collapsed": findings.collapse_repeats(found), "marked": findings.split_routine(found, rates)}

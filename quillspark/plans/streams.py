@@ -40,7 +40,7 @@ def replay(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def _lockouts(spark: SparkSession, d: str) -> DataFrame:
-    attempts = events(spark, d).filter("event_type = 'error'").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), F.col("ts").alias("attempted_at"))
+    attempts = events(spark, d).filter("event_type IN ('error', 'signup')").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), F.col("ts").alias("attempted_at"), (F.col("event_type") == "signup").alias("success"))
     return replay(streams.lockouts(attempts, most=2, minutes=15), "complete")
 
 
@@ -69,8 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "lockout_stream": """SELECT concat('user', CAST(user_id AS STRING)) AS username, w AS start, w + INTERVAL 15 MINUTE AS "end", count(*) AS n FROM
-          (SELECT user_id, unnest(generate_series(date_trunc('minute', ts) - INTERVAL 14 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS w FROM events WHERE event_type = 'error') t GROUP BY ALL HAVING count(*) >= 2""",
+        "lockout_stream": """WITH a AS (SELECT user_id, ts, event_type = 'error' AS failed, unnest(generate_series(date_trunc('minute', ts) - INTERVAL 14 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS w FROM events WHERE event_type IN ('error', 'signup')),
+          c AS (SELECT *, max(CASE WHEN NOT failed THEN ts END) OVER (PARTITION BY user_id, w) AS cleared FROM a)
+          SELECT concat('user', CAST(user_id AS STRING)) AS username, w AS start, w + INTERVAL 15 MINUTE AS "end", count(*) AS n FROM c WHERE failed AND (cleared IS NULL OR ts > cleared) GROUP BY ALL HAVING count(*) >= 2""",
         "usage_stream": "SELECT user_id AS job_id, concat('model-', CAST(event_id % 3 AS STRING)) AS model, count(*) AS calls, CAST(sum(event_id % 900) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 300) AS BIGINT) AS completion_tokens, CAST(sum(event_id % 50) AS BIGINT) AS cached_tokens, CAST(sum(event_id % 20) AS BIGINT) AS reasoning_tokens, sum(CAST(event_id % 16 AS DOUBLE) / 8) AS cost_usd FROM events GROUP BY ALL",
         "daily_stream": "SELECT CAST(ts AS DATE) AS date, event_type AS rule, count(*) AS n FROM events GROUP BY ALL",
         "pattern_stream": "SELECT user_id AS job_id, event_type AS old, 'x' AS new, count(*) AS n FROM events GROUP BY ALL",

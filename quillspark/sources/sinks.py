@@ -57,6 +57,15 @@ def upsert_stream(path: str, key: str, order: str, buckets: int = 64):
     return write
 
 
+def batch_folders(path: str):
+    """A foreachBatch function that writes each batch to a folder of its own, and anew if it runs again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

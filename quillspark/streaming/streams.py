@@ -16,9 +16,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def lockouts(attempts: DataFrame, most: int = 10, minutes: int = 15, late: str = "30 minutes") -> DataFrame:
-    """ST-1: (username, start, end, n): sliding windows with `most` failures or more."""
+    """ST-1: (username, start, end, n): sliding windows with `most` failures or more since the last success in them.
+
+    attempts: (username, attempted_at, success).  A window's attempts of one name
+    are held as times, which the window bounds.
+    """
     w = F.window("attempted_at", f"{minutes} minutes", "1 minute")
-    n = attempts.withWatermark("attempted_at", late).groupBy(w.alias("w"), "username").agg(F.count("*").alias("n"))
+    failed = F.collect_list(F.when(~F.col("success"), F.col("attempted_at")))
+    per = attempts.withWatermark("attempted_at", late).groupBy(w.alias("w"), "username").agg(failed.alias("failed"), F.max(F.when(F.col("success"), F.col("attempted_at"))).alias("cleared"))
+    n = per.withColumn("n", F.size(F.filter("failed", lambda t: F.col("cleared").isNull() | (t > F.col("cleared")))).cast("bigint"))
     return n.filter(F.col("n") >= most).select("username", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
