@@ -36,26 +36,60 @@ def _masked(p: DataFrame) -> DataFrame:
     return p.withColumn("text", R.mask_opaque(F.col("text")))
 
 
-def _prose(p: DataFrame) -> DataFrame:
-    return p.filter(~P.is_reference_block(F.col("text")))
+class Rule:
+    """A rule that finds matches within one paragraph.
+
+    found: the matches; make: a match's fragment and suggestion.  Both get the
+    paragraph's text, with addresses masked if `masked`; `prose` rules pass over
+    bibliography entries.
+    """
+
+    def __init__(self, name: str, severity: str, found, make, masked: bool = True, prose: bool = True):
+        self.name, self.severity, self.found, self.make, self.masked, self.prose = name, severity, found, make, masked, prose
+
+    def findings(self) -> Column:
+        """Array of findings, from the columns text, masked and prose."""
+        text = F.col("masked" if self.masked else "text")
+
+        def one(m: Column) -> Column:
+            fragment, suggestion = self.make(text, m)
+            return F.struct(F.lit(self.name).alias("rule"), F.lit(self.severity).alias("severity"), fragment.alias("fragment"), suggestion.cast("string").alias("suggestion"))
+
+        made = F.transform(self.found(text), one)
+        return F.when(F.col("prose"), made) if self.prose else made
+
+
+def apply_rules(p: DataFrame, *rules: Rule) -> DataFrame:
+    """Findings of all rules in one pass over p: masks and the test for prose are made once."""
+    seen = p.select("doc_id", "idx", "text", R.mask_opaque(F.col("text")).alias("masked"), (~P.is_reference_block(F.col("text"))).alias("prose"))
+    every = F.concat(*[F.coalesce(r.findings(), F.array()) for r in rules]) if len(rules) > 1 else rules[0].findings()
+    return seen.select("doc_id", "idx", F.explode(every).alias("f")).select("doc_id", "idx", "f.rule", "f.severity", "f.fragment", "f.suggestion")
+
+
+def matches(pattern: str, hint: str | None = None):
+    """All matches of the pattern; a hint is a cheap pattern that every text with a match has."""
+    every = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return every if hint is None else lambda text: F.when(text.rlike(hint), every(text))
+
+
+DOUBLE_SPACES = lambda: Rule("space.double", "warning", matches(r"\S {2,}(?=\S)", "  "), lambda t, m: (around(t, m), F.regexp_replace(around(t, m), " {2,}", " ")), prose=False)
+SPACE_BEFORE = lambda: Rule("space.before-punctuation", "error", matches(r"(?i)(?<!(?:[=<>≤≥]|\bthan|\bof|\bp)\s{0,3})\s+[,.;:!?]|\s+[,;:!?]|\s+\.(?!\d)", r"\s[,.;:!?]"), lambda t, m: (around(t, m), F.trim(m)))
+SPACE_AFTER = lambda: Rule("space.after-punctuation", "error", matches(r"(?<![A-Z])[.,;:][A-Za-z]{2,}", "[.,;:][A-Za-z]{2}"), lambda t, m: (around(t, m), F.concat(F.substring(m, 1, 1), F.lit(" "), F.substr(m, F.lit(2)))))
 
 
 def double_spaces(p: DataFrame) -> DataFrame:
     """MS-1: two or more spaces between words."""
-    found = hits(_masked(p), r"\S {2,}(?=\S)")
-    return finding(found, "space.double", "warning", around(F.col("text"), F.col("match")), F.regexp_replace(around(F.col("text"), F.col("match")), " {2,}", " "))
+    return apply_rules(p, DOUBLE_SPACES())
 
 
 def space_before_punctuation(p: DataFrame) -> DataFrame:
     """MS-2: space before punctuation, unless a stop opens a p-value."""
-    found = hits(_masked(_prose(p)), r"(?i)(?<!(?:[=<>≤≥]|\bthan|\bof|\bp)\s{0,3})\s+[,.;:!?]|\s+[,;:!?]|\s+\.(?!\d)")
-    return finding(found, "space.before-punctuation", "error", around(F.col("text"), F.col("match")), F.trim("match"))
+    return apply_rules(p, SPACE_BEFORE())
 
 
 def space_after_punctuation(p: DataFrame) -> DataFrame:
     """MS-3: punctuation with a word behind it and no space."""
-    found = hits(_masked(_prose(p)), r"(?<![A-Z])[.,;:][A-Za-z]{2,}")
-    return finding(found, "space.after-punctuation", "error", around(F.col("text"), F.col("match")), F.concat(F.substring("match", 1, 1), F.lit(" "), F.substr("match", F.lit(2))))
+    return apply_rules(p, SPACE_AFTER())
 
 
 def unbalanced(text: Column, opens: str, closes: str) -> Column:
@@ -75,39 +109,63 @@ def unbalanced(text: Column, opens: str, closes: str) -> Column:
     return F.aggregate(marks, start, step)
 
 
+def _unbalanced(text: Column) -> Column:
+    """`name depth stray` of each kind of bracket that has no partner."""
+    kinds = (("parenthesis", unbalanced(text, "(", ")")), ("bracket", unbalanced(text, "[", "]")))
+    each = F.array(*[F.struct(F.lit(n).alias("name"), u.alias("u")) for n, u in kinds])
+    bad = F.filter(each, lambda x: (x["u"]["depth"] > 0) | (x["u"]["stray"] > 0))
+    return F.when(text.rlike(r"[()\[\]]"), F.transform(bad, lambda x: F.concat_ws(" ", x["name"], x["u"]["depth"].cast("string"), x["u"]["stray"].cast("string"))))
+
+
+def _ranges(text: Column) -> Column:
+    """Ascending number ranges with a hyphen; no telephone numbers or identifiers."""
+    low, high = lambda m: F.regexp_extract(m, r"^\d+", 0), lambda m: F.regexp_extract(m, r"\d+$", 0)
+    real = lambda m: (low(m).cast("decimal(38,0)") < high(m).cast("decimal(38,0)")) & ~((F.length(low(m)) >= 4) & (F.length(high(m)) >= 4)) & (F.length(high(m)) - F.length(low(m)) < 3)
+    return F.filter(matches(r"(?<![\w-])(?<!\+\s{0,3})\d+\s*-\s*\d+(?![\w-])", r"\d\s*-\s*\d")(text), real)
+
+
+def _measures(text: Column) -> Column:
+    """Numbers with a unit close behind them; decades and designations aside."""
+    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+    fits = lambda m: ~P.is_not_a_measurement(F.lit(""), F.regexp_extract(m, r"^[\d.]+", 0), F.regexp_extract(m, r"[^\d.]+$", 0))
+    return F.filter(matches(rf"(?<![\w.])(?<![A-Za-z]-)\d+(?:\.\d+)?(?:{units})\b", r"\d[A-Za-zµμ]")(text), fits)
+
+
+def _quotes(text: Column) -> Column:
+    count = lambda q: F.regexp_count(text, F.lit(q))
+    return F.when(count("“") != count("”"), F.array(F.substring(text, 1, 80)))
+
+
+BRACKETS = lambda: Rule("punctuation.unbalanced", "error", _unbalanced, lambda t, m: (m, F.substring(t, 1, 80)), masked=False, prose=False)
+QUOTES = lambda: Rule("punctuation.unbalanced-quotes", "warning", _quotes, lambda t, m: (m, F.lit(None)), masked=False, prose=False)
+RANGE_DASHES = lambda: Rule("dash.range", "info", _ranges, lambda t, m: (around(t, m, 18), F.regexp_replace(m, r"\s*-\s*", "–")))
+UNIT_SPACES = lambda: Rule("unit.spacing", "info", _measures, lambda t, m: (around(t, m, 18), F.regexp_replace(m, r"^([\d.]+)", "$1 ")))
+DOUBLED = lambda: Rule("word.doubled", "error", matches(r"(?i)\b(the|of|and|is|in)\s+\1\b"), lambda t, m: (around(t, m, 24), F.regexp_extract(m, r"^\w+", 0)), masked=False, prose=False)
+
+
 def unbalanced_brackets(p: DataFrame) -> DataFrame:
     """MS-4: parentheses and brackets without a partner; a label such as `a)` needs none."""
-    each = p.filter(F.col("text").rlike(r"[()\[\]]")).select("doc_id", "idx", "text", F.explode(F.array(F.struct(F.lit("parenthesis").alias("name"), unbalanced(F.col("text"), "(", ")").alias("u")), F.struct(F.lit("bracket").alias("name"), unbalanced(F.col("text"), "[", "]").alias("u")))).alias("x"))
-    bad = each.filter("x.u.depth > 0 OR x.u.stray > 0")
-    return finding(bad, "punctuation.unbalanced", "error", F.concat_ws(" ", "x.name", F.col("x.u.depth").cast("string"), F.col("x.u.stray").cast("string")), F.substring("text", 1, 80))
+    return apply_rules(p, BRACKETS())
 
 
 def unbalanced_quotes(p: DataFrame) -> DataFrame:
     """MS-5: as many opening as closing curly quotes."""
-    count = lambda q: F.regexp_count("text", F.lit(q))
-    return finding(p.filter(count("“") != count("”")), "punctuation.unbalanced-quotes", "warning", F.substring("text", 1, 80))
+    return apply_rules(p, QUOTES())
 
 
 def hyphen_ranges(p: DataFrame) -> DataFrame:
     """MS-6: an ascending number range with a hyphen; no telephone numbers or identifiers."""
-    found = hits(_masked(_prose(p)), r"(?<![\w-])(?<!\+\s{0,3})\d+\s*-\s*\d+(?![\w-])")
-    low, high = F.regexp_extract("match", r"^\d+", 0), F.regexp_extract("match", r"\d+$", 0)
-    real = (low.cast("decimal(38,0)") < high.cast("decimal(38,0)")) & ~((F.length(low) >= 4) & (F.length(high) >= 4)) & (F.length(high) - F.length(low) < 3)
-    return finding(found.filter(real), "dash.range", "info", around(F.col("text"), F.col("match"), 18), F.concat(low, F.lit("–"), high))
+    return apply_rules(p, RANGE_DASHES())
 
 
 def unit_spacing(p: DataFrame) -> DataFrame:
     """MS-7: a number and its unit without a space; decades and designations aside."""
-    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    found = hits(_masked(_prose(p)), rf"(?<![\w.])(?<![A-Za-z]-)\d+(?:\.\d+)?(?:{units})\b")
-    number, unit = F.regexp_extract("match", r"^[\d.]+", 0), F.regexp_extract("match", r"[^\d.]+$", 0)
-    return finding(found.filter(~P.is_not_a_measurement(F.lit(""), number, unit)), "unit.spacing", "info", around(F.col("text"), F.col("match"), 18), F.concat(number, F.lit(" "), unit))
+    return apply_rules(p, UNIT_SPACES())
 
 
 def doubled_words(p: DataFrame) -> DataFrame:
     """MS-8: a small word that stands twice."""
-    pattern = r"(?i)\b(the|of|and|is|in)\s+\1\b"
-    return finding(hits(p, pattern), "word.doubled", "error", around(F.col("text"), F.col("match"), 24), F.regexp_extract("match", r"^\w+", 0))
+    return apply_rules(p, DOUBLED())
 
 
 def binomials(p: DataFrame) -> DataFrame:
@@ -234,12 +292,9 @@ def length_checks(p: DataFrame) -> DataFrame:
     return keys.union(title)
 
 
-MECHANICAL = (double_spaces, space_before_punctuation, space_after_punctuation, unbalanced_brackets, unbalanced_quotes, hyphen_ranges, unit_spacing, doubled_words)
+MECHANICAL = (DOUBLE_SPACES, SPACE_BEFORE, SPACE_AFTER, BRACKETS, QUOTES, RANGE_DASHES, UNIT_SPACES, DOUBLED)
 
 
 def mechanical(p: DataFrame) -> DataFrame:
-    """All of MS-1 to MS-8 over p."""
-    found = None
-    for scan in MECHANICAL:
-        found = scan(p) if found is None else found.unionByName(scan(p))
-    return found
+    """All of MS-1 to MS-8 over p, in one pass."""
+    return apply_rules(p, *[rule() for rule in MECHANICAL])

@@ -26,7 +26,9 @@ def unpaired(original: DataFrame, edited: DataFrame) -> DataFrame:
 def zones(p: DataFrame) -> DataFrame:
     """p with `zone`: front, abstract, body or references, from the first heading of each kind in its document."""
     folded = F.lower(F.regexp_replace(F.trim("text"), r"^[\d.\s]+|[:.\-–—\s]+$", ""))
-    marks = p.groupBy("doc_id").agg(
+    # few paragraphs name a heading at all; the rest skip the costly pattern and the aggregate
+    named = p.filter(F.col("text").rlike("(?i)abstract|introduction|background|reference|bibliography"))
+    marks = named.groupBy("doc_id").agg(
         F.min(F.when(folded == "abstract", F.col("idx"))).alias("abstract_at"),
         F.min(F.when(folded.isin("introduction", "background"), F.col("idx"))).alias("body_at"),
         F.min(F.when(folded.rlike("^(list of )?references?$|^bibliography$"), F.col("idx"))).alias("references_at"),
@@ -38,7 +40,7 @@ def zones(p: DataFrame) -> DataFrame:
         .when(F.col("body_at").isNull(), "body")
         .otherwise("front")
     )
-    return p.join(marks, "doc_id").select("doc_id", "idx", "text", zone.alias("zone"))
+    return p.join(marks, "doc_id", "left").select("doc_id", "idx", "text", zone.alias("zone"))
 
 
 def chunks(p: DataFrame, size: int = 5) -> DataFrame:
