@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint_index, line_dedup, mixing, ngram_lm, quality, rules, simhash, sketch, suffix_dedup
+from . import bpe, fingerprint_index, line_dedup, mixing, ngram_lm, packing, quality, rules, simhash, sketch, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mixing, op2_lm_scoring, op3_quality_classifier, op4_substring_dedup, op5_suffix_array_dedup, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash)
+    made = (op1_mixing, op2_lm_scoring, op3_quality_classifier, op4_substring_dedup, op5_suffix_array_dedup, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash, op13_packing)
     return {f.__name__: f for f in made}
 
 
