@@ -166,12 +166,12 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str
 
 
 class Words:
-    """The words of a batch: byte ranges, and for each row the range of its words."""
+    """The words of a batch: byte ranges, and for each row the range of its words; space: which bytes stand between words."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
-        self.buf, self.off = buf, off
+    def __init__(self, buf: np.ndarray, off: np.ndarray, space: np.ndarray = IS_SPACE):
+        self.buf, self.off, self.space = buf, off, space
         n = len(buf)
-        word = ~IS_SPACE[buf]
+        word = ~space[buf]
         edge = np.zeros(n + 1, bool)
         edge[off] = True
         before = np.zeros(n + 1, bool)
@@ -197,7 +197,7 @@ class Words:
         end = np.cumsum(size + 1) - 1
         start = end - size
         spaced = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
-        inside = self.buf[~IS_SPACE[self.buf]]
+        inside = self.buf[~self.space[self.buf]]
         spaced[np.arange(len(inside)) + np.repeat(np.arange(len(size)), size)] = LOWER[inside] if lower else inside
         return spaced.tobytes(), start, end
 
