@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint_index, line_dedup, mixing, ngram_lm, packing, quality, resample, rules, simhash, sketch, suffix_dedup
+from . import bpe, collocations, fingerprint_index, line_dedup, mixing, ngram_lm, packing, quality, resample, rules, simhash, sketch, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +57,18 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(documents(spark, sf_dir))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mixing, op2_lm_scoring, op3_quality_classifier, op4_substring_dedup, op5_suffix_array_dedup, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash, op11_resampling, op13_packing)
+    made = (op1_mixing, op2_lm_scoring, op3_quality_classifier, op4_substring_dedup, op5_suffix_array_dedup, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_line_dedup, op10_simhash, op11_resampling, op12_collocations, op13_packing)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op9_line_dedup": line_dedup.SQL, "op11_resampling": resample.SQL}
+    return {"op1_mixing": mixing.SQL, "op9_line_dedup": line_dedup.SQL, "op11_resampling": resample.SQL, "op12_collocations": collocations.SQL}
