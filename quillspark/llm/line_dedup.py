@@ -15,7 +15,8 @@ Lines without a word are kept and take no part, so a run reaches over them.
 Edge cases: a null text stays null and has no lines; an empty one is one empty
 line; rows equal in id and text are one document with one result; null ids come
 first; an empty table gives an empty table; extra columns of any name stay as
-they are.
+they are.  A very long text is one row with its lines' hashes: time and memory
+grow with its lines.
 """
 
 from __future__ import annotations
@@ -40,46 +41,55 @@ def worded_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("mark"), found.alias("ls"))
 
 
-def fingerprints(lines: DataFrame, words: int = WORDS, run: int = RUN) -> DataFrame:
-    """lines with `ws`: each window's start, its lines' number k, and the place and hash (at, h) of its selected line."""
-    ls, size = F.col("ls"), F.size("ls")
+def windows(ls: Column, words: int = WORDS, run: int = RUN) -> Column:
+    """Each line's window, null where the text ends before: its lines' number k, its selected line's place and hash (at, h), its content's hash, and the lines around.
 
-    def window(start: Column) -> Column:
-        n = lambda j: F.coalesce(F.try_element_at(ls, start + j + 1)["n"], F.lit(0))
-        k = reduce(lambda w, j: w.when(sum((n(i) for i in range(1, j)), n(0)) >= words, j), range(2, run), F.when(n(0) >= words, 1)).when(start + run <= size, run)
-        k = F.when(start + k <= size, k)
-        least = F.array_min(F.transform(F.slice(ls, start + 1, F.coalesce(k, F.lit(1))), lambda x, j: F.struct(x["h"].alias("h"), (start + j).alias("at"))))
-        return F.struct(start.alias("start"), k.alias("k"), least["at"].alias("at"), least["h"].alias("h"))
+    around: the REACH lines before the start, and those from it to REACH behind
+    the longest window; null where there are none.  Lines are got by their place
+    and the array is bound once, so that a text costs what its lines do.
+    """
 
-    every = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), window)).otherwise(F.array())
-    return lines.withColumn("ws", F.filter(every, lambda w: w["k"].isNotNull()))
+    def window(ls: Column, start: Column) -> Column:
+        line = lambda j: F.get(ls, start + j)
+        n = lambda j: F.coalesce(line(j)["n"], F.lit(0))
+        k = reduce(lambda w, j: w.when(sum((n(i) for i in range(1, j)), n(0)) >= words, j), range(2, run), F.when(n(0) >= words, 1)).when(line(run - 1).isNotNull(), run)
+        return F.struct(start.alias("start"), F.when(line(k - 1).isNotNull(), k).alias("k"))
+
+    def filled(ls: Column, w: Column) -> Column:
+        start, k = w["start"], w["k"]
+        line = lambda j: F.get(ls, start + j)
+        own = [F.when(k > j, F.struct(line(j)["h"].alias("h"), (start + j).alias("at"))) for j in range(run)]
+        least = F.least(*own) if run > 1 else own[0]
+        content = F.xxhash64(k, *[F.when(k > j, line(j)["g"]) for j in range(run)])
+        around = F.array(*[F.struct(line(j)["i"].alias("i"), line(j)["h"].alias("h")) for j in range(-REACH, run + REACH)])
+        return F.struct(start.alias("start"), k.alias("k"), least["at"].alias("at"), least["h"].alias("h"), content.alias("window"), around.alias("around"))
+
+    places = lambda ls: F.when(F.size(ls) > 0, F.sequence(F.lit(0), F.size(ls) - 1)).otherwise(F.array().cast("array<int>"))
+    whole = lambda ls: F.transform(F.filter(F.transform(places(ls), lambda j: window(ls, j)), lambda w: w["k"].isNotNull()), lambda w: filled(ls, w))
+    return F.get(F.transform(F.array(ls), whole), F.lit(0))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", words: int = WORDS, run: int = RUN) -> DataFrame:
     """(doc, mark, gone): for each document with any, the places of the lines that later repeats cover."""
-    lines = materialise(fingerprints(worded_lines(docs, text), words, run), "lines")
-    selected = lines.select(F.explode(F.array_distinct(F.transform("ws", lambda w: F.struct(w["at"], w["h"])))).alias("w")).select("w.h")
-    again = selected.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    each = lines.select("doc", "mark", "ls", F.explode("ws").alias("w")).select("doc", "mark", "ls", "w.*")
-    before = F.least("start", F.lit(REACH))
-    around = F.slice("ls", F.col("start") - before + 1, before + F.col("k") + REACH)
-    content = F.xxhash64(F.transform(F.slice("ls", F.col("start") + 1, F.col("k")), lambda x: x["g"]))
-    windows = each.select("doc", "mark", "start", "k", "h", content.alias("window"), before.alias("before"), F.transform(around, lambda x: F.struct(x["i"], x["h"])).alias("around"))
-    found = materialise(windows.join(again, "h"), "line-windows")
-    first = found.groupBy("h", "window").agg(F.min(F.struct("doc", "mark", "start", "before", "around")).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    lines = materialise(worded_lines(docs, text), "lines")
+    # a place has one hash, so the distinct places that a text's windows select are its fingerprints
+    chosen = F.transform(F.array("ls"), lambda ls: F.transform(F.array_distinct(F.transform(windows(ls, words, run), lambda w: w["at"])), lambda at: F.get(ls, at)["h"]))
+    again = lines.select(F.explode(F.get(chosen, F.lit(0))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    each = lines.select("doc", "mark", F.explode(windows(F.col("ls"), words, run)).alias("w")).select("doc", "mark", "w.start", "w.k", "w.h", "w.window", "w.around")
+    found = materialise(each.join(again, "h"), "line-windows")
+    first = found.groupBy("h", "window").agg(F.min(F.struct("doc", "mark", "start", "around")).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
     later = found.join(first, ["h", "window"]).filter(~F.struct("doc", "mark", "start").eqNullSafe(F.struct("first.doc", "first.mark", "first.start")))
 
-    def equal(place: Column, other: Column) -> Column:
-        mine = lambda rows, at: F.when(at > 0, F.try_element_at(rows, F.greatest(at, F.lit(1)))["h"])  # noqa: E731  places count from 1
-        return F.coalesce(mine(F.col("around"), place) == mine(F.col("first.around"), other), F.lit(False))
+    def equal(place: Column) -> Column:
+        return F.coalesce(F.get("around", place)["h"] == F.get("first.around", place)["h"], F.lit(False))
 
     def length(sides: list[Column]) -> Column:
         """How many of the neighbours, nearest first, are equal without a gap."""
         return sum((reduce(lambda a, b: a & b, sides[: j + 1]).cast("int") for j in range(len(sides))), F.lit(0))
 
-    left = length([equal(F.col("before") - j, F.col("first.before") - j) for j in range(REACH)])
-    right = length([equal(F.col("before") + F.col("k") + j, F.col("first.before") + F.col("k") + j) for j in range(1, REACH + 1)])
-    extended = F.slice("around", F.col("before") - F.col("left") + 1, F.col("left") + F.col("k") + F.col("right"))
+    left = length([equal(F.lit(REACH - j)) for j in range(1, REACH + 1)])
+    right = length([equal(REACH + F.col("k") + j) for j in range(REACH)])
+    extended = F.slice("around", REACH - F.col("left") + 1, F.col("left") + F.col("k") + F.col("right"))
     ranges = later.withColumns({"left": left, "right": right}).select("doc", "mark", F.explode(F.transform(extended, lambda x: x["i"])).alias("line"))
     return ranges.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone"))
 
@@ -97,8 +107,12 @@ def drop_repeated_lines(docs: DataFrame, name: str = "lines", text: str = "text"
     both = left.join(right.hint("merge"), F.col(o)["doc"].eqNullSafe(F.col(p)["doc"]) & (F.col(o)["mark"] == F.col(p)["mark"]), "left")
     whole = F.col(d)[text]
     lines = F.split(whole, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g))
-    left_text = F.when(F.col(g).isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
+
+    def stay(lines: Column) -> Column:  # the array is bound once, not split for each line
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    left_text = F.when(F.col(g).isNull(), whole).otherwise(F.get(F.transform(F.array(lines), stay), F.lit(0)))
     n = F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     removed = F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("bigint")
     made = F.struct(left_text.alias("text"), n.alias("n_lines"), removed.alias("n_removed"))
