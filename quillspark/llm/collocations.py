@@ -43,8 +43,8 @@ from .storage import delete, materialise, written
 SUPPORT, LONGEST, COVER, TOP = 30, 4, 80, 2000
 SHARDS = 8
 #: Runs of words for each slot of a shard, and that a task holds before it sends them on.
-SLOT, HELD = 4 << 20, 4 << 20
-TOGETHER = 4 << 20
+SLOT, HELD = 4 << 20, 3 << 20
+TOGETHER = 2 << 20
 SCALE = 2_000_000
 
 ENDS_PIECE = np.zeros(256, bool)
