@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ PAGE = {"width_in": 8.27, "height_in": 11.69, "left_in": 1.0, "right_in": 1.0, "
 PAGE_TOLERANCE = 0.02
 BODY_FONT, BODY_SIZE, BODY_ALIGN, BODY_INDENT, BODY_SHARE, BODY_CHARS = "Times New Roman", 11.0, "justify", 0.15, 0.30, 120
 ARTWORK = (9.0, 6.0)
+# Words that stay small in a heading of capitalised words.
+TITLE_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with", "into", "over", "vs")
 BULLETS, NUMBERS = ("B1", "B2", "B3", "B4"), ("N1", "N2", "N3")
 
 
@@ -37,19 +41,22 @@ def case_of(text: Column) -> Column:
     )
 
 
-def dominant(runs: DataFrame) -> DataFrame:
-    """AG-17: (doc_id, idx, font, size): the font and size of most characters; ties go to the lesser name or size."""
-    weigh = lambda c: runs.filter(F.col(c).isNotNull()).groupBy("doc_id", "idx", c).agg(F.sum(F.length("text")).alias("n"))
+PARAGRAPH = ("doc_id", "idx")
+
+
+def dominant(runs: DataFrame, keys: Sequence[str] = PARAGRAPH) -> DataFrame:
+    """AG-17: (keys, font, size): the font and size of most characters; ties go to the lesser name or size."""
+    weigh = lambda c: runs.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.sum(F.length("text")).alias("n"))
     fonts, sizes = weigh("font_name"), weigh("font_size_pt")
-    top = lambda df, c, name: df.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy(F.desc("n"), c))).filter("k = 1").select("doc_id", "idx", F.col(c).alias(name))
-    return top(fonts, "font_name", "font").join(top(sizes, "font_size_pt", "size"), ["doc_id", "idx"], "full_outer")
+    top = lambda df, c, name: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), c))).filter("k = 1").select(*keys, F.col(c).alias(name))
+    return top(fonts, "font_name", "font").join(top(sizes, "font_size_pt", "size"), [*keys], "full_outer")
 
 
-def weight(runs: DataFrame) -> DataFrame:
-    """AG-18: (doc_id, idx, bold, italic) of visible text: null where no run states it, else true only if every run is."""
+def weight(runs: DataFrame, keys: Sequence[str] = PARAGRAPH) -> DataFrame:
+    """AG-18: (keys, bold, italic) of visible text: null where no run states it, else true only if every run is."""
     some = runs.filter("trim(text) <> ''")
     three = lambda c: F.when(F.count(c) == 0, None).otherwise(F.bool_and(F.coalesce(c, F.lit(False)))).alias(c)
-    return some.groupBy("doc_id", "idx").agg(three("bold"), three("italic"))
+    return some.groupBy(*keys).agg(three("bold"), three("italic"))
 
 
 def headings(formats: DataFrame, weights: DataFrame) -> DataFrame:
@@ -86,6 +93,15 @@ def listings(formats: DataFrame) -> DataFrame:
     return first.select("doc_id", "idx", rule.alias("rule")).filter("rule IS NOT NULL")
 
 
+def auto_numbered(p: DataFrame, labels: DataFrame) -> DataFrame:
+    """WN-16: (doc_id, idx, label): headings whose number isn't typed but made by list numbering: short lines in title or upper case without an end mark.  labels: (doc_id, idx, label)."""
+    text = F.trim("text")
+    words = F.split(text, r"\s+")
+    titled = F.forall(F.filter(words, lambda w: w.rlike(r"^\p{L}")), lambda w: w.rlike(r"^\p{Lu}") | F.lower(w).isin(*TITLE_WORDS))
+    like = (text != "") & (F.length(text) <= 70) & ~text.rlike(r"[.!?,;]$") & (F.size(words) <= 9) & (((text == F.upper(text)) & text.rlike(r"\p{L}")) | titled)
+    return p.join(labels, ["doc_id", "idx"]).filter(like).select("doc_id", "idx", "label")
+
+
 def page_geometry(sections: DataFrame) -> DataFrame:
     """JN-29: (doc_id, section_no, side, got): page sizes and margins off the house's by more than the tolerance."""
     sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("got"), F.lit(v).alias("want")) for k, v in PAGE.items()]))

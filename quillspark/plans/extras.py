@@ -21,20 +21,29 @@ SPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 NO_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """(path, length, content): a Word package for each document of paragraphs (doc_id, idx, xml)."""
+def packed(rows: DataFrame, parts: Column | None = None) -> DataFrame:
+    """(path, length, content): a Word package for each document of paragraphs (doc_id, idx, xml), and with the members of their column `parts`, if there is one.
+
+    parts: members of every package, array<struct<name, data>> over doc_id.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, paragraphs in zip(batch["doc_id"], batch["ps"], strict=True):
+            for doc_id, paragraphs, parts in zip(batch["doc_id"], batch["ps"], batch["parts"], strict=True):
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr("word/document.xml", f"<w:document {SPACE}><w:body>{''.join(x['xml'] for x in paragraphs)}</w:body></w:document>")
+                    for part in parts:
+                        z.writestr(part["name"], bytes(part["data"]))
                 out.append((f"store/paper-{doc_id}.docx", len(data.getvalue()), data.getvalue()))
             yield pd.DataFrame(out, columns=["path", "length", "content"])
 
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "xml"))).alias("ps"))
+    kind = "array<struct<name:string,data:binary>>"
+    own = F.flatten(F.collect_list("parts")) if "parts" in rows.columns else F.array().cast(kind)
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "xml"))).alias("ps"), own.alias("parts"))
+    if parts is not None:
+        per = per.withColumn("parts", F.concat("parts", parts.cast(kind)))
     return per.mapInPandas(run, "path string, length long, content binary")
 
 
@@ -63,12 +72,19 @@ def tracked_revisions(spark: SparkSession, d: str) -> DataFrame:
     return packages.by_document(packages.revisions_from_tracked(made))
 
 
+#: First bytes that other kinds of files have, by doc_id % 9 from 3 on, and what they are.
+OTHERS = (("255044462D312E37", "PDF"), ("D0CF11E0A1B11AE1", "old Word"), ("7B5C72746631", "RTF"), ("3C3F786D6C20", "XML"), ("3C21444F4354595045", "HTML"), ("00010203", "not an Office file"))
+
+
 def package_triage(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-4: packages of which some are cut, empty, or of another kind."""
-    made = packed(manuscripts(spark, d).filter("idx < 2").select("doc_id", "idx", F.lit("<w:p/>").alias("xml")))
-    number = F.regexp_extract("path", r"(\d+)\.docx", 1).cast("bigint") % 4
-    content = F.when(number == 1, F.concat(F.lit("%PDF-1.7 ").cast("binary"), "content")).when(number == 2, F.substring("content", 1, 40)).when(number == 3, F.lit("").cast("binary")).otherwise(F.col("content"))
-    changed = made.select("path", content.alias("content")).withColumn("length", F.length("content").cast("bigint"))
+    """SRC-4: the manuscripts' packages, of which some are cut, empty, or of another kind."""
+    xml = F.concat(F.lit("<w:p><w:r><w:t>"), _escaped(clean("text")), F.lit("</w:t></w:r></w:p>"))
+    made = packed(manuscripts(spark, d).select("doc_id", "idx", xml.alias("xml")))
+    number = F.regexp_extract("path", r"(\d+)\.docx", 1).cast("bigint") % 9
+    content = F.when(number == 1, F.substring("content", 1, 40)).when(number == 2, F.lit("").cast("binary"))
+    for k, (first, _) in enumerate(OTHERS, 3):
+        content = content.when(number == k, F.concat(F.unhex(F.lit(first)), F.col("content")))
+    changed = made.select("path", content.otherwise(F.col("content")).alias("content")).withColumn("length", F.length("content").cast("bigint"))
     return packages.by_document(packages.triage_files(changed))
 
 
@@ -155,7 +171,7 @@ ROWS = f"""WITH {MADE} SELECT concat('c', CAST(k AS STRING)) AS code, concat(CAS
 SQL = {
     "package_paragraphs": f"SELECT doc_id, idx, regexp_replace(text, '{CONTROL}', ' ', 'g') AS text FROM p",
     "tracked_revisions": f"SELECT doc_id, idx, regexp_replace(original, '{CONTROL}', ' ', 'g') AS original, regexp_replace(edited, '{CONTROL}', ' ', 'g') AS edited FROM r",
-    "package_triage": "SELECT doc_id, doc_id % 4 = 0 AS ok, CASE doc_id % 4 WHEN 1 THEN 'PDF' WHEN 2 THEN 'damaged' WHEN 3 THEN 'empty' END AS reason FROM (SELECT DISTINCT doc_id FROM p) q",
+    "package_triage": f"SELECT doc_id, doc_id % 9 = 0 AS ok, CASE doc_id % 9 WHEN 1 THEN 'damaged' WHEN 2 THEN 'empty' {' '.join(f"WHEN {k} THEN '{what}'" for k, (_, what) in enumerate(OTHERS, 3))} END AS reason FROM (SELECT DISTINCT doc_id FROM p) q",
     "sink_daily": "SELECT CAST(ts AS DATE) AS date, count(*) + CASE WHEN day(CAST(ts AS DATE)) % 2 = 0 THEN 1 ELSE 0 END AS n FROM events GROUP BY CAST(ts AS DATE)",
     "sink_findings": f"WITH f AS (SELECT doc_id, idx, 'words' AS family, 'word.doubled' AS rule, len(regexp_extract_all({ASCII}, '{DOUBLED}')) AS k FROM p UNION ALL SELECT doc_id, idx, 'marks', 'punctuation.unbalanced-quotes', (len(regexp_extract_all(text, '“')) <> len(regexp_extract_all(text, '”')))::INT FROM p) SELECT doc_id, family, rule, CAST(sum(k) AS BIGINT) AS n, min(idx) + 1 AS first FROM f WHERE k > 0 GROUP BY ALL",
     "sink_retained": "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 10 DAY",

@@ -2,6 +2,8 @@
 
 A file is read and unzipped in the task that holds it; its members leave as XML
 text, and Spark's XPath functions make the tables.  Namespace prefixes are cut.
+Tables nest: how deep a paragraph stands is a running sum over the tags that open
+and close.  Text boxes aren't part of the text.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import styles
+from .pictures import header
+
 # First bytes of other formats.
 SIGNATURES = (("25504446", "PDF"), ("D0CF11E0A1B11AE1", "old Word"), ("7B5C727466", "RTF"), ("3C3F786D6C", "XML"), ("3C68746D6C", "HTML"), ("3C21444F43545950", "HTML"))
 EMU_PER_INCH = 914400
@@ -34,8 +39,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for name in z.namelist():
                         xml = None
                         if name.endswith((".xml", ".rels")):
-                            xml = re.sub(r"\sxmlns(:\w+)?=\"[^\"]*\"", "", re.sub(r"<(/?)\w+:", r"<\1", z.read(name).decode("utf-8", "replace")))
-                            xml = re.sub(r"(\s)\w+:(\w+=)", r"\1\2", xml)
+                            xml = _clean(z.read(name))
                         rows.append((path, name, xml))
             except zipfile.BadZipFile:
                 rows.append((path, None, None))
@@ -67,10 +71,84 @@ def triage_files(packages: DataFrame) -> DataFrame:
     return both.select("path", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
+MEDIA = "array<struct<name:string,fmt:string,px_w:int,px_h:int,kb:int>>"
+PARTS = {"document": "word/document.xml", "styles": "word/styles.xml", "numbering": "word/numbering.xml", "rels": "word/_rels/document.xml.rels"}
+
+
+def _clean(data: bytes) -> str:
+    """XML without namespaces."""
+    bare = re.sub(r"\sxmlns(:\w+)?=\"[^\"]*\"", "", re.sub(r"<(/?)\w+:", r"<\1", data.decode("utf-8", "replace")))
+    return re.sub(r"(\s)\w+:(\w+=)", r"\1\2", re.sub(r"^<\?xml[^>]*\?>", "", bare.lstrip("\ufeff")))
+
+
+def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = set(z.namelist())
+                    row = {"path": path} | {k: _clean(z.read(n)) if n in names else None for k, n in PARTS.items()}
+                    row["media"] = []
+                    for info in z.infolist():
+                        if info.filename.startswith("word/media/"):
+                            fmt, width, height = header(z.read(info)) or (None, None, None)
+                            row["media"].append({"name": info.filename, "fmt": fmt, "px_w": width, "px_h": height, "kb": info.file_size // 1024})
+                    rows.append(row)
+            except zipfile.BadZipFile:
+                continue
+        yield pd.DataFrame(rows, columns=["path", *PARTS, "media"])
+
+
+def opened(packages: DataFrame) -> DataFrame:
+    """(path, document, styles, numbering, rels, media): one row for each readable package, its parts as XML and its pictures' sizes."""
+    return packages.filter(F.substring("content", 1, 2) == F.lit("PK").cast("binary")).select("path", "content").mapInPandas(_opened, f"path string, {', '.join(f'{k} string' for k in PARTS)}, media {MEDIA}")
+
+
+TAGS = "tbl|tr|tc|p"
+
+
+def blocks(packages: DataFrame) -> DataFrame:
+    """(path, pos, xml, kind, depth, table_no, row, col, para_no, look, levels): paragraphs and tables' heads, in order.
+
+    depth counts the tables around a block.  table_no numbers tables, nested ones
+    too, as they open; row, col and para_no count within the innermost table, whose
+    opening is the last one at that depth.  look: the paragraph style with what it
+    inherits; levels: the package's list levels.
+    """
+    text = F.regexp_replace("document", r"(?s)<txbxContent(?: [^>]*)?>.*?</txbxContent>", "")
+    text = F.regexp_replace(text, rf"<({TAGS})((?: [^>]*?)?)/>", "<$1$2></$1>")
+    pieces = F.split(text, rf"(?=<(?:{TAGS})[ >])|(?<=</(?:{TAGS})>)")
+    font, size = styles.defaults(F.col("styles"))
+    sheet = packages.select("path", pieces.alias("pieces"), styles.declared(F.coalesce("styles", F.lit("<styles/>"))).alias("declared"), font.alias("font"), size.alias("size"), styles.list_levels(F.coalesce("numbering", F.lit("<numbering/>"))).alias("levels"))
+    sheet = sheet.select("path", "pieces", "levels", "font", "size", styles.resolved(F.col("declared"), F.col("font"), F.col("size")).alias("known"))
+    plain = styles.first_of(F.col("known"), lambda s: s["by_default"] & (s["kind"] == "paragraph"))
+
+    def with_style(xml: Column) -> Column:
+        named = styles.at(F.regexp_extract(xml, r"<pStyle [^>]*/>", 0), "/pStyle/@val")
+        wanted = F.coalesce(styles.first_of(F.col("known"), lambda s: s["id"] == named), plain)
+        return F.struct(xml.alias("xml"), F.when(xml.rlike(r"^<p[ >]"), wanted).alias("look"))
+
+    each = sheet.select("path", "levels", "font", "size", F.posexplode(F.transform("pieces", with_style)).alias("pos", "b")).select("path", "levels", "font", "size", "pos", "b.xml", "b.look")
+    kind, closes = F.regexp_extract("xml", rf"^<({TAGS})[ >]", 1), F.regexp_extract("xml", rf"</({TAGS})>$", 1)
+    order = Window.partitionBy("path").orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    opened_tables = F.count(F.when(F.col("kind") == "tbl", 1)).over(order)
+    closed = F.coalesce(F.count(F.when(F.col("closes") == "tbl", 1)).over(before), F.lit(0))
+    deep = each.withColumns({"kind": kind, "closes": closes}).withColumns({"n_opened": opened_tables, "depth": (opened_tables - closed).cast("int")})
+    inner = lambda *keys: Window.partitionBy("path", *keys).orderBy("pos")
+    count = lambda what, *keys: (F.count(F.when(F.col("kind") == what, 1)).over(inner(*keys)) - 1).cast("int")
+    inside = F.col("depth") > 0
+    deep = deep.withColumn("table_no", F.when(inside, F.max(F.when(F.col("kind") == "tbl", F.col("n_opened") - 1)).over(inner("depth"))).cast("int"))
+    deep = deep.withColumn("row", F.when(inside, count("tr", "table_no")))
+    deep = deep.withColumn("col", F.when(inside, count("tc", "table_no", "row")))
+    deep = deep.withColumn("para_no", count("p", "table_no", "row", "col"))
+    return deep.withColumn("n_body", F.count(F.when((F.col("kind") == "p") & ~inside, 1)).over(order)).filter("kind IN ('p', 'tbl')")
+
+
 def _paragraph_xml(packages: DataFrame) -> DataFrame:
     """(path, idx, xml): body paragraphs outside tables."""
-    body = members(packages).filter("member = 'word/document.xml'").select("path", F.regexp_replace("xml", r"(?s)<tbl>.*?</tbl>|<tbl .*?</tbl>", "").alias("xml"))
-    return body.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<p(?: [^>]*)?/>|<p(?: [^>]*)?>.*?</p>"), F.lit(0))).alias("idx", "xml"))
+    return blocks(opened(packages)).filter("kind = 'p' AND depth = 0").select("path", F.col("para_no").alias("idx"), "xml")
 
 
 def _text(xml: Column, path: str) -> Column:
@@ -88,34 +166,78 @@ def by_document(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce(number.cast("bigint"), F.xxhash64("path")).alias("doc_id"), *[c for c in rows.columns if c != "path"])
 
 
-def tables_of(packages: DataFrame) -> dict[str, DataFrame]:
-    """SRC-2: paragraphs, runs, para_format, cells, sections and images of packages (path, content), keyed by path."""
-    document = members(packages).filter("member = 'word/document.xml'").select("path", "xml")
-    para = _paragraph_xml(packages)
-    on = lambda c, name: F.when(F.size(F.xpath(c, F.lit(f"/r/rPr/{name}"))) == 0, None).otherwise(~F.coalesce(F.xpath_string(c, F.lit(f"/r/rPr/{name}/@val")).isin("0", "false"), F.lit(False)))
-    run = para.select("path", "idx", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<r(?: [^>]*)?>.*?</r>"), F.lit(0))).alias("run_no", "r"))
+def runs_of(blocks: DataFrame, *keys: str) -> DataFrame:
+    """(path, keys, run_no, text, bold, italic, underline, superscript, subscript, font_name, font_size_pt): a paragraph's runs; fonts that a run doesn't state come from its style."""
+    on = lambda name: F.when(F.size(F.xpath("r", F.lit(f"/r/rPr/{name}"))) == 0, None).otherwise(~F.coalesce(F.xpath_string("r", F.lit(f"/r/rPr/{name}/@val")).isin("0", "false", "none"), F.lit(False)))
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace("xml", r"<tab/>", "<t>\t</t>"), r"<(?:br|cr)(?: [^>]*)?/>", "<t>\n</t>"), r"<noBreakHyphen/>", "<t>-</t>")
+    run = blocks.select("path", *keys, "look", "font", "size", F.posexplode(F.regexp_extract_all(marks, F.lit(r"(?s)<r(?: [^>]*)?>.*?</r>"), F.lit(0))).alias("run_no", "r"))
     raised = F.xpath_string("r", F.lit("/r/rPr/vertAlign/@val"))
-    runs = run.select(
-        "path", "idx", "run_no", _text(F.col("r"), "/r/t/text()").alias("text"), on("r", "b").alias("bold"), on("r", "i").alias("italic"), on("r", "u").alias("underline"),
-        (raised == "superscript").alias("superscript"), (raised == "subscript").alias("subscript"), F.nullif(F.xpath_string("r", F.lit("/r/rPr/rFonts/@ascii")), F.lit("")).alias("font_name"),
-        (F.nullif(F.xpath_string("r", F.lit("/r/rPr/sz/@val")), F.lit("")).cast("double") / 2).alias("font_size_pt"),
+    size = F.round(styles.at(F.col("r"), "/r/rPr/sz/@val").cast("double") / 2, 1)
+    return run.select(
+        "path", *keys, "run_no", _text(F.col("r"), "/r/t/text()").alias("text"), on("b").alias("bold"), on("i").alias("italic"), on("u").alias("underline"),
+        (raised == "superscript").alias("superscript"), (raised == "subscript").alias("subscript"), F.coalesce(styles.at(F.col("r"), "/r/rPr/rFonts/@ascii"), F.col("look.font"), F.col("font")).alias("font_name"), F.coalesce(size, F.col("look.size"), F.col("size")).alias("font_size_pt"),
     )
-    some = lambda p: F.nullif(F.xpath_string("xml", F.lit(p)), F.lit(""))
-    level = F.coalesce(some("/p/pPr/outlineLvl/@val").cast("int"), F.nullif(F.regexp_extract(F.coalesce(some("/p/pPr/pStyle/@val"), F.lit("")), r"(?i)^Heading\s*([1-9])$", 1), F.lit("")).cast("int") - 1)
-    formats = para.select("path", "idx", some("/p/pPr/pStyle/@val").alias("style"), level.alias("outline_level"), some("/p/pPr/jc/@val").alias("alignment"), some("/p/pPr/numPr/numId/@val").alias("num_id"), (some("/p/pPr/ind/@firstLine").cast("double") / 1440).alias("first_line_in"))
-    table = document.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<tbl(?: [^>]*)?>.*?</tbl>"), F.lit(0))).alias("table_no", "t"))
-    row = table.select("path", "table_no", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?s)<tr(?: [^>]*)?>.*?</tr>"), F.lit(0))).alias("row", "r"))
-    cell = row.select("path", "table_no", "row", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?s)<tc(?: [^>]*)?>.*?</tc>"), F.lit(0))).alias("col", "c"))
-    section = document.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<sectPr(?: [^>]*)?>.*?</sectPr>"), F.lit(0))).alias("section_no", "s"))
+
+
+def tables_of(packages: DataFrame) -> dict[str, DataFrame]:
+    """SRC-2: paragraphs, runs, para_format, cells, cell_runs, tables, sections, images, list levels, parts and rels of packages (path, content), keyed by path."""
+    whole = opened(packages)
+    block = blocks(whole)
+    para = block.filter("kind = 'p' AND depth = 0").withColumn("idx", F.col("para_no"))
+    runs = runs_of(para, "idx")
+    some = lambda p: styles.at(F.col("xml"), p)
+    own = some("/p/pPr/outlineLvl/@val")
+    level = F.coalesce(F.when(own.rlike("^[0-8]$"), own.cast("int")), F.col("look.level"), F.when(F.col("look.id").isNull(), styles.heading_level(some("/p/pPr/pStyle/@val"))))  # without a style sheet the id is the name
+    # Newer names of alignments.
+    align = F.coalesce(*[F.when(some("/p/pPr/jc/@val") == new, old) for new, old in (("start", "left"), ("end", "right"), ("both", "justify"))], some("/p/pPr/jc/@val"))
+    num_id, num_level = F.coalesce(some("/p/pPr/numPr/numId/@val"), F.col("look.num_id")), F.when(some("/p/pPr/numPr/numId/@val").isNotNull(), some("/p/pPr/numPr/ilvl/@val").cast("int")).otherwise(F.col("look.num_level"))
+    inches = lambda p: F.round(some(p).cast("double") / 1440, 3)
+    points = lambda p: F.round(some(p).cast("double") / 20, 1)
+    formats = para.select(
+        "path", "idx", F.col("look.name").alias("style"), level.alias("outline_level"), align.alias("alignment"), num_id.alias("num_id"), styles.listing(F.col("levels"), num_id, F.coalesce(num_level, F.lit(0))).alias("listing"),
+        F.coalesce(inches("/p/pPr/ind/@firstLine"), -inches("/p/pPr/ind/@hanging")).alias("first_line_in"), F.coalesce(inches("/p/pPr/ind/@left"), inches("/p/pPr/ind/@start")).alias("left_indent_in"),
+        points("/p/pPr/spacing/@before").alias("space_before_pt"), points("/p/pPr/spacing/@after").alias("space_after_pt"), F.when(F.coalesce(some("/p/pPr/spacing/@lineRule"), F.lit("auto")) == "auto", some("/p/pPr/spacing/@line").cast("double") / 240).alias("line_spacing"),
+    )
+    place = ["table_no", "row", "col", "para_no"]
+    in_cells = block.filter("kind = 'p' AND depth > 0")
+    cell_runs = runs_of(in_cells, *place)
+    texts = in_cells.select("path", "depth", *place, _text(F.col("xml"), "//t/text()").alias("text")).groupBy("path", "table_no", "depth", "row", "col")
+    cells = texts.agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda x: x["text"]), "\n"), r"^\s+|\s+$", "").alias("text"))
+    heads = block.filter("kind = 'tbl'").withColumn("xml", F.concat("xml", F.lit("</tbl>")))
+    border = "/tbl/tblPr/tblBorders/*[self::top or self::left or self::bottom or self::right or self::insideH or self::insideV]"
+    kinds, sizes = F.array_sort(F.array_distinct(F.xpath("xml", F.lit(f"{border}/@val")))), F.transform(F.filter(F.xpath("xml", F.lit(f"{border}/@sz")), lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("int") / 8)
+    edge = lambda side: F.round(some(f"/tbl/tblPr/tblCellMar/{side}/@w").cast("int") / 1440, 3).alias(f"margin_{side}_in")
+    tables = heads.select(
+        "path", "table_no", "depth", (F.col("n_body") - 1).cast("int").alias("after_idx"), F.coalesce(some("/tbl/tblPr/tblStyle/@val"), F.lit("")).alias("style"),
+        F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).when(F.size(kinds) > 1, F.concat(F.lit("mixed:"), F.array_join(kinds, ","))).alias("border_style"), F.array_max(sizes).alias("border_size_pt"), *map(edge, ("top", "bottom", "left", "right")),
+    )
+    section = whole.select("path", F.posexplode(styles.elements(F.col("document"), "sectPr")).alias("section_no", "s"))
     inch = lambda p: F.round(F.xpath_double("s", F.lit(p)) / 1440, 3)
-    image = document.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<extent [^>]*/>"), F.lit(0))).alias("image_no", "e"))
+    # links and files are looked up before the pictures become rows, and worked out once for a package
+    base = lambda x: F.substring_index(x, "/", -1)
+    links = F.transform(styles.elements(F.coalesce("rels", F.lit("")), "Relationship"), lambda x: F.struct(styles.at(x, "/Relationship/@Id").alias("id"), base(styles.at(x, "/Relationship/@Target")).alias("name")))
+    files = F.transform("media", lambda m: F.struct(base(m["name"]).alias("name"), m.alias("m")))
+
+    def picture(d: Column, both: Column) -> Column:
+        link = F.regexp_extract(d, r"<blip [^>]*?\bembed=\"([^\"]*)\"", 1)
+        name = styles.first_of(both["links"], lambda x: x["id"] == link)["name"]
+        extent = F.regexp_extract(d, r"<extent [^>]*/>", 0)
+        inches = lambda side: (styles.at(extent, f"/extent/@{side}").cast("double") / EMU_PER_INCH)
+        return F.struct(inches("cx").alias("in_w"), inches("cy").alias("in_h"), styles.first_of(both["files"], lambda x: x["name"] == name)["m"].alias("m"))
+
+    drawings = F.regexp_extract_all("document", F.lit(r"(?s)<inline(?: [^>]*)?>.*?</inline>"), F.lit(0))
+    pictures = F.get(F.transform(F.array(F.struct(links.alias("links"), files.alias("files"))), lambda both: F.transform(drawings, lambda d: picture(d, both))), F.lit(0))
+    seen = whole.select("path", F.posexplode(pictures).alias("image_no", "i")).select("path", "image_no", "i.in_w", "i.in_h", "i.m")
     return {
         "paragraphs": paragraph_text(runs),
         "runs": runs,
         "para_format": formats,
-        "cells": cell.select("path", "table_no", "row", "col", _text(F.col("c"), "//t/text()").alias("text")),
+        "cells": cells,
+        "cell_runs": cell_runs,
+        "tables": tables,
         "sections": section.select("path", "section_no", inch("/sectPr/pgSz/@w").alias("width_in"), inch("/sectPr/pgSz/@h").alias("height_in"), inch("/sectPr/pgMar/@left").alias("left_in"), inch("/sectPr/pgMar/@right").alias("right_in"), inch("/sectPr/pgMar/@top").alias("top_in"), inch("/sectPr/pgMar/@bottom").alias("bottom_in")),
-        "images": image.select("path", "image_no", (F.xpath_double("e", F.lit("/extent/@cx")) / EMU_PER_INCH).alias("in_w"), (F.xpath_double("e", F.lit("/extent/@cy")) / EMU_PER_INCH).alias("in_h")),
+        "images": seen.select("path", "image_no", "in_w", "in_h", "m.fmt", "m.px_w", "m.px_h", "m.kb"),
+        "list_levels": whole.select("path", F.explode(styles.list_levels(F.coalesce("numbering", F.lit("<numbering/>")))).alias("v")).select("path", "v.*"),
         "parts": members(packages).select("path", "member"),
         "rels": members(packages).filter(F.col("member").endswith(".rels")).select("path", F.explode(F.xpath("xml", F.lit("//Relationship/@Target"))).alias("target")),
     }
@@ -123,8 +245,6 @@ def tables_of(packages: DataFrame) -> dict[str, DataFrame]:
 
 def paragraph_text(runs: DataFrame, key: str = "path") -> DataFrame:
     """SRC-2b: (key, idx, text) from runs in order; adjacent superscript numbers behind a letter or punctuation become one `[45, 48]`."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key, "idx").orderBy("run_no")
     number = F.coalesce("superscript", F.lit(False)) & F.col("text").rlike(r"^[\d,\s–-]+$")
     before = F.coalesce(F.lag("text").over(order), F.lit(""))
