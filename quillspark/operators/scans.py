@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rewrites as R
+from ..functions import spans
 from ..functions.wordlists import ABBREVIATED, GENERA
 
 # Units that take a space.
@@ -271,17 +272,38 @@ def citation_numbers(p: DataFrame) -> DataFrame:
     return part.select("doc_id", "idx", "group", F.explode(F.when((high >= low) & (high - low <= 20), F.sequence(low, high)).otherwise(F.array(low, high))).alias("n")).distinct()
 
 
-SLOT = r"\(([A-Z][A-Za-z'’-]+)(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-z'’-]+)?,?\s+((?:19|20)\d{2})[a-z]?\)|([A-Z][A-Za-z'’-]+)(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-z'’-]+)?\s+\(((?:19|20)\d{2})[a-z]?\)"
+NAME = r"[A-Z][A-Za-zÀ-ÿ'’-]+"
+DATED = r"(?:19|20)\d{2}[a-z]?"
+#: The three ways to cite: names with a year in brackets, both in brackets, and bracketed numbers.
+SLOTS = (
+    ("author-date", rf"{NAME}(?:\s+(?:et\s+al\.?|and|&)(?:\s+{NAME})?)*(?:['’]?s)?\s*\({DATED}\)"),
+    ("author-date", rf"\([A-Z][^()]{{1,110}}?(?<![A-Za-z0-9]){DATED}\)"),
+    ("number", r"\[\s*\d{1,3}(?:\s*[,;–—-]\s*\d{1,3})*\s*\]"),
+)
+SPANS = "array<struct<start:int,end:int,match:string,kind:string>>"
+
+
+def slots_of(text: Column) -> Column:
+    """WN-12: a text's citations in order, array<struct<start, end, match, kind>>; where several ways match, the leftmost and longest stays."""
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(spans.found(text, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(kind).alias("kind")))
+
+    return spans.longest(F.concat(*[of(*way) for way in SLOTS]), SPANS)
 
 
 def citation_slots(p: DataFrame) -> DataFrame:
-    """MS-19, WN-12: (doc_id, idx, slot_no, kind, surname, year, written): citations in text order; of overlapping ones the longest, leftmost stays."""
-    both = rf"{SLOT}|\[\d+(?:\s*[,–-]\s*\d+)*\]"
-    prose = p.filter(~P.is_reference_block(F.col("text")) & F.col("text").rlike(both))
-    each = prose.select("doc_id", "idx", F.posexplode(F.regexp_extract_all("text", F.lit(both), F.lit(0))).alias("slot_no", "written"))
-    number = F.col("written").rlike(r"^\[")
-    surname = F.regexp_extract("written", r"^\(?([A-Z][A-Za-z'’-]+)", 1)
-    return each.select("doc_id", "idx", "slot_no", F.when(number, "number").otherwise("author-date").alias("kind"), F.when(~number, surname).alias("surname"), F.when(~number, F.regexp_extract("written", r"((?:19|20)\d{2})", 1)).alias("year"), "written")
+    """MS-19, WN-12: (doc_id, idx, slot_no, kind, surname, year, written, start): citations in text order, overlaps resolved.
+
+    Of several works in one pair of brackets the first is named, with its own year.
+    """
+    prose = p.filter(~P.is_reference_block(F.col("text")) & F.col("text").rlike(r"(?:19|20)\d{2}[a-z]?\)|\[\s*\d"))
+    each = prose.select("doc_id", "idx", F.posexplode(slots_of(F.col("text"))).alias("slot_no", "s")).select("doc_id", "idx", "slot_no", "s.kind", F.col("s.match").alias("written"), F.col("s.start").alias("start"))
+    named = F.when(F.col("kind") == "author-date", F.col("written"))
+    surname = F.nullif(F.regexp_extract(named, rf"^\(?({NAME})", 1), F.lit(""))
+    years = F.regexp_extract_all(named, F.lit(r"((?:19|20)\d{2})(?!\d)"), F.lit(1))
+    year = F.when(F.contains(named, F.lit(";")), F.get(years, 0)).otherwise(F.element_at(years, -1))
+    return each.select("doc_id", "idx", "slot_no", "kind", surname.alias("surname"), year.alias("year"), "written", "start")
 
 
 def length_checks(p: DataFrame) -> DataFrame:

@@ -60,6 +60,25 @@ def refs_of(spark, d) -> DataFrame:
     return references.group_entries(references.reference_lines(manuscripts(spark, d)))
 
 
+def _moved(spark, d) -> DataFrame:
+    """Revisions of lists of five entries: of every third document the third comes first, of every next one the second is gone."""
+    p = manuscripts(spark, d)
+    start = p.filter("text = 'References'").groupBy("doc_id").agg(F.min("idx").alias("at"))
+    entry = p.join(start, "doc_id").withColumn("k", F.col("idx") - F.col("at"))
+    place = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("k") == 3, 1).when(F.col("k").isin(1, 2), F.col("k") + 1).otherwise(F.col("k"))).otherwise(F.col("k"))
+    now = entry.select("doc_id", (F.col("at") + place).alias("idx"), F.when((F.col("doc_id") % 3 == 1) & (F.col("k") == 2), "").otherwise(F.col("text")).alias("edited"))
+    return p.select("doc_id", "idx", F.col("text").alias("original")).join(now, ["doc_id", "idx"])
+
+
+#: Citations of Quill, unless a name within 60 characters before is a word of the list or begins one.
+NEAR_NAMES = """WITH h AS (SELECT doc_id, min(idx) AS at FROM p WHERE text = 'References' GROUP BY doc_id), l AS (
+    SELECT DISTINCT p.doc_id, replace(lower(unnest(regexp_extract_all(p.text, '[A-Za-zÀ-ÿ''’-]{3,}'))), '’', '''') AS w FROM p JOIN h ON h.doc_id = p.doc_id AND p.idx > h.at
+  ), c AS (SELECT p.doc_id, p.idx, p.text, strpos(p.text, '(Quill et al., 2019)') - 1 AS s FROM p JOIN h ON h.doc_id = p.doc_id AND p.idx < h.at WHERE contains(p.text, '(Quill et al., 2019)')
+  ), n AS (SELECT doc_id, idx, replace(lower(unnest(list_append(regexp_extract_all(substr(text, greatest(s - 60, 0) + 1, least(s, 60) + 1), '[A-Z][A-Za-zÀ-ÿ''’-]{2,}'), 'quill'))), '’', '''') AS name FROM c
+  ), k AS (SELECT DISTINCT n.doc_id, n.idx FROM n JOIN l ON l.doc_id = n.doc_id AND (n.name = l.w OR (length(n.name) >= 4 AND length(l.w) >= 4 AND (starts_with(n.name, l.w) OR starts_with(l.w, n.name)))))
+  SELECT c.doc_id, c.idx, CAST(0 AS INTEGER) AS slot_no, 'Quill' AS surname, '2019' AS year, replace(c.text, 'Jones (2020)', '[8]') AS restored FROM c ANTI JOIN k ON k.doc_id = c.doc_id AND k.idx = c.idx"""
+
+
 def hit_sql(pattern: str, where: str = "", text: str = ASCII) -> str:
     return f"SELECT doc_id, idx, CAST(len(regexp_extract_all({text}, '{pattern}')) AS BIGINT) AS hits FROM p WHERE len(regexp_extract_all({text}, '{pattern}')) > 0 {where}"
 
@@ -178,7 +197,12 @@ def queries() -> dict[str, Query]:
     add("guard_hyphens", (over_r(guards.hyphenation), "SELECT doc_id, idx, 'preserve_author_hyphenation' AS guard, substr(original, 1, 80) AS snippet, original AS restored FROM r WHERE contains(original, 'co-author') AND contains(edited, 'coauthor')"))
     add("guard_protected", (over_r(guards.protected_text), None))
     add("guard_equations", (lambda s, d: guards.equations(revisions(s, d).selectExpr("doc_id", "idx", "replace(original, 'Eq. (4)', '￼') AS original", "CASE WHEN doc_id % 2 = 0 THEN original ELSE replace(edited, 'Eq. (4)', '￼') END AS edited")), "SELECT doc_id, idx, 'keep_every_equation' AS guard, substr(o, 1, 80) AS snippet, o AS restored FROM (SELECT doc_id, idx, replace(original, 'Eq. (4)', '￼') AS o, CASE WHEN doc_id % 2 = 0 THEN original ELSE replace(edited, 'Eq. (4)', '￼') END AS e FROM r) t WHERE length(o) - length(replace(o, '￼', '')) <> length(e) - length(replace(e, '￼', ''))"))
-    add("guard_bylines", (over_r(guards.byline_names), "SELECT doc_id, idx, 'restore_front_matter_names' AS guard, original AS snippet, original AS restored FROM r WHERE idx = 1 AND original <> edited AND edited <> ''"))
+    add("guard_bylines", (over_r(guards.byline_names), "SELECT doc_id, idx, 'restore_front_matter_names' AS guard, original AS snippet, original AS restored FROM r WHERE idx = 1 AND original <> edited"))
+    add("guard_stars", (lambda s, d: guards.byline_names(manuscripts(s, d).selectExpr("doc_id", "idx", "CASE WHEN idx IN (0, 5) THEN concat('*1 Institute number ', doc_id) ELSE text END AS original", "CASE WHEN idx IN (0, 5) THEN concat(CASE WHEN doc_id % 2 = 0 THEN ' 1' ELSE '* 1' END, ' Institute number ', doc_id) ELSE text END AS edited")), "SELECT doc_id, idx, 'restore_front_matter_names' AS guard, concat('*1 Institute number ', doc_id) AS snippet, concat('*1 Institute number ', doc_id) AS restored FROM p WHERE idx = 0 AND doc_id % 2 = 0"))
+    signs = "CASE doc_id % 3 WHEN 0 THEN ' 5 μm or 6 μm' WHEN 1 THEN ' 5 µm or 6 µm' ELSE ' 5 µm or 6 μm, 7 µm' END"
+    add("guard_twins_mixed", (lambda s, d: guards.invisible_twins(manuscripts(s, d).selectExpr("doc_id", "idx", "concat(text, ' 5 µm or 6 μm') AS original", f"concat('So ', text, {signs}) AS edited")), "SELECT doc_id, idx, 'follow_the_author_on_invisible_twins' AS guard, substr(concat(text, ' 5 µm or 6 μm'), 1, 80) AS snippet, concat('So ', text, ' 5 µm or 6 μm') AS restored FROM p WHERE doc_id % 3 < 2"))
+    add("guard_locants", (lambda s, d: guards.invented_locants(manuscripts(s, d).selectExpr("doc_id", "idx", "concat(text, ' of DTDA and 1,3-BPDA') AS original", "concat(text, CASE doc_id % 3 WHEN 0 THEN ' of 4,4′-DTDA and 1,3-BPDA' WHEN 1 THEN ' of DTDA and the 1,3-BPDA' ELSE ' of 2-DTDA, 3-DTDA and 1,3-BPDA' END) AS edited")), "SELECT doc_id, idx, 'refuse_invented_expansions' AS guard, substr(concat(text, ' of DTDA and 1,3-BPDA'), 1, 80) AS snippet, concat(text, CASE doc_id % 3 WHEN 0 THEN ' of DTDA and 1,3-BPDA' ELSE ' of DTDA, DTDA and 1,3-BPDA' END) AS restored FROM p WHERE doc_id % 3 <> 1"))
+    add("entry_moves", (lambda s, d: guards.entry_moves(_moved(s, d)), "SELECT DISTINCT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 3 ELSE 2 END AS INTEGER) AS ref_no, CAST(CASE doc_id % 3 WHEN 0 THEN 1 END AS INTEGER) AS now_no, CASE doc_id % 3 WHEN 0 THEN 'moved' ELSE 'lost' END AS change FROM p WHERE doc_id % 3 < 2"))
     add("guard_entry_numbers", (lambda s, d: guards.entry_numbers(revisions(s, d).withColumn("edited", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("edited", r"^\[\d\]\. ", "")).otherwise(F.col("edited")))), None))
     add("guard_compounds", (lambda s, d: guards.closed_compounds(revisions(s, d).withColumn("edited", F.replace("original", F.lit("Introduction"), F.lit("Intro duction")))), None))
     add("guard_captions", (lambda s, d: guards.caption_values(revisions(s, d).selectExpr("doc_id", "idx", "CASE WHEN original LIKE 'Figure 3. What%' THEN 'Figure 3. Plot for T4 at 80 g' ELSE original END AS original", "CASE WHEN original LIKE 'Figure 3. What%' THEN 'Figure 3. Plot for T5 at 80 g' ELSE original END AS edited")), "SELECT doc_id, idx, 'keep_caption_values' AS guard, 'Figure 3. Plot for T4 at 80 g' AS snippet, 'Figure 3. Plot for T4 at 80 g' AS restored FROM p WHERE text LIKE 'Figure 3. What%'"))
@@ -189,7 +213,7 @@ def queries() -> dict[str, Query]:
     add("guard_all", (over_r(guards.run_guards), None))
     add("guard_restored", (over_r(lambda r: guards.restored(r).groupBy("doc_id").agg(F.count("*").alias("n"))), "SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id"))
     add("missing_tokens", (over_r(guards.missing_tokens), None))
-    add("dangling_citations", (over_r(lambda r: guards.dangling_citations(r.withColumn("edited", F.replace(F.replace("original", F.lit("(Quill et al., 2019)"), F.lit("[9]")), F.lit("Jones (2020)"), F.lit("[8]"))))), "SELECT doc_id, idx, CAST(0 AS INTEGER) AS slot_no, 'Quill' AS surname, '2019' AS year FROM p WHERE contains(text, '(Quill et al., 2019)')"))
+    add("dangling_citations", (over_r(lambda r: guards.dangling_citations(r.withColumn("edited", F.replace(F.replace("original", F.lit("(Quill et al., 2019)"), F.lit("[9]")), F.lit("Jones (2020)"), F.lit("[8]"))))), NEAR_NAMES))
     add("references_lost", (over_r(guards.references_lost), None))
     add("propagate_changes", (over_r(guards.propagate_changes), None))
     add("first_use", (over_r(guards.first_use), None))
@@ -222,7 +246,7 @@ def queries() -> dict[str, Query]:
     add("ms16_resolution", (lambda s, d: scans.image_resolution(structure.table(s, d, structure.IMAGES)), f"WITH i AS ({structure.duck(structure.IMAGES)}), x AS (SELECT doc_id, image_no, CAST(round_even(least(px_w / in_w, px_h / in_h), 0) AS INTEGER) AS dpi FROM i WHERE in_w > 0.5 AND in_h > 0.5) SELECT doc_id, image_no, 'image.resolution' AS rule, CASE WHEN dpi < 150 THEN 'error' ELSE 'warning' END AS severity, dpi FROM x WHERE dpi < 300"))
     add("ms17_sentences", (over(lambda p: scans.sentences(p).groupBy("doc_id").agg(F.count("*").alias("n"))), None))
     add("ms18_citation_numbers", (over(lambda p: scans.citation_numbers(p)), f"WITH {NUMBERED} SELECT doc_id, idx, CAST(grp AS INTEGER) AS \"group\", n FROM cites"))
-    add("ms19_citation_slots", (over(lambda p: scans.citation_slots(p).drop("slot_no")), f"SELECT doc_id, idx, 'author-date' AS kind, s AS surname, y AS year, w AS written FROM p, (SELECT unnest(['Quill', 'Jones', 'Brown']) AS s, unnest(['2019', '2020', '2018']) AS y, unnest(['(Quill et al., 2019)', 'Jones (2020)', '(Brown, 2018)']) AS w) x WHERE contains(text, w) UNION ALL SELECT doc_id, idx, 'number', NULL, NULL, unnest(regexp_extract_all(text, '\\[\\d+(?:\\s*[,–-]\\s*\\d+)*\\]')) FROM p WHERE NOT {IS_REF}"))
+    add("ms19_citation_slots", (over(lambda p: scans.citation_slots(p).drop("slot_no", "start")), f"SELECT doc_id, idx, 'author-date' AS kind, s AS surname, y AS year, w AS written FROM p, (SELECT unnest(['Quill', 'Jones', 'Brown']) AS s, unnest(['2019', '2020', '2018']) AS y, unnest(['(Quill et al., 2019)', 'Jones (2020)', '(Brown, 2018)']) AS w) x WHERE contains(text, w) UNION ALL SELECT doc_id, idx, 'number', NULL, NULL, unnest(regexp_extract_all(text, '\\[\\d+(?:\\s*[,–-]\\s*\\d+)*\\]')) FROM p WHERE NOT {IS_REF}"))
     add("ms20_lengths", (over(lambda p: scans.length_checks(p).select("doc_id", "idx", "rule", "fragment")), "SELECT doc_id, idx, 'keywords.count' AS rule, CASE WHEN doc_id % 3 = 0 THEN '3' ELSE '2' END AS fragment FROM p WHERE starts_with(text, 'Keywords:') UNION ALL SELECT doc_id, idx, 'title.length', CAST(length(text) AS STRING) FROM p WHERE idx = 0 AND length(text) > 60"))
     add("ms9_species", (lambda s, d: scans.species_italic(manuscripts(s, d).withColumn("text", F.when(F.col("idx") % 4 == 0, F.concat(F.lit("Oryza sativa and "), "text")).otherwise(F.col("text"))), structure.table(s, d, structure.RUNS).selectExpr("doc_id", "idx", "run_no * 40 AS start", "run_no * 40 + length(text) AS end", "italic")).select("doc_id", "idx", "fragment"), f"WITH f AS (SELECT doc_id, min(idx) AS idx FROM p WHERE idx % 4 = 0 GROUP BY doc_id), x AS ({structure.duck(structure.RUNS)}) SELECT f.doc_id, f.idx, 'Oryza sativa' AS fragment FROM f JOIN x ON f.doc_id = x.doc_id AND f.idx = x.idx AND x.run_no = 0 WHERE NOT coalesce(italic, false)"))
     add("mechanical_summary", (_mechanical_summary, _SUMMARY))
