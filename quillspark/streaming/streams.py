@@ -79,7 +79,7 @@ class StallProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = max(int(df["ts"].max().timestamp() * 1000) for df in rows)
+        seen = max(df["ts"].max().value // 1_000_000 for df in rows)
         if self.last.exists():
             seen = max(seen, self.last.get()[0])
         self.last.update((seen,))
@@ -115,7 +115,7 @@ class FeedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = list(self.events.get()) if self.events.exists() else []
         for df in rows:
-            held += [(int(t.timestamp() * 1000), x) for t, x in zip(df["ts"], df["text"], strict=True)]
+            held += [(t.value // 1_000_000, x) for t, x in zip(df["ts"], df["text"], strict=True)]
         held = sorted((int(a), b) for a, b in held)[-self.size :]
         self.events.put(held)
         yield pd.DataFrame({"job_id": [key[0]], "events": [[b for _, b in held]]})
