@@ -71,15 +71,29 @@ def missing_fields(text: Column) -> Column:
     return F.array_compact(F.array(*lacks))
 
 
+def lacks_title(text: Column) -> Column:
+    """RF-1: whether no part of an entry says what the work is: three words of three letters or more, other than a year, an address or a note of access."""
+    parts = F.transform(F.split(F.trim(text), r"(?<![A-Z])\.\s+(?=[A-Z\"'“])"), lambda s: F.regexp_replace(s, r"^[ .]+|[ .]+$", ""))
+    word = r"[A-Za-z][A-Za-z'-]{2,}"
+    tells = lambda s: ~s.rlike(rf"^(?:{P.YEAR})$|(?i)https?://|www\.|^(?:available|accessed|retrieved|cited|online|doi)\b") & (F.regexp_count(s, F.lit(word)) >= 3)
+    return ~F.exists(parts, tells)
+
+
+def lacks_chapter_pages(text: Column) -> Column:
+    """RF-1: whether an entry in an edited book gives no page range."""
+    return text.rlike(r"(?i)\bin\s*:|\b(?:editors?|eds?\.)(?![A-Za-z])") & ~text.rlike(r"\d\s*[-–—]\s*\d")
+
+
 #: What makes a line a citation: a year from 1800 on, an identifier or address, pages, a volume, further authors.
 CITES = (r"\b(?:1[89]|20)\d\d\b", r"\b10\.\d{4,9}/", r"(?i)https?://|www\.", P.SIGNALS["pages"], P.SIGNALS["volume"], P.SIGNALS["more authors"])
 
 
 def incomplete_refs(refs: DataFrame) -> DataFrame:
-    """RF-1: (doc_id, ref_no, idx, missing) of entries with gaps; fragments and lines without a citation signal are passed over."""
+    """RF-1: (doc_id, ref_no, idx, missing) of entries with gaps: a title, authors, year, volume/issue, pages, a chapter's pages; fragments and lines without a citation signal are passed over."""
     t = F.col("text")
     real = (F.length(t) >= 30) & ((F.length(t) >= 120) | t.rlike(P.YEAR)) & P.any_of(t, *CITES)
-    return refs.filter(real).withColumn("missing", missing_fields(t)).filter(F.size("missing") > 0).select("doc_id", "ref_no", "idx", "missing")
+    lacks = F.concat(F.array_compact(F.array(F.when(lacks_title(t), "title"))), missing_fields(t), F.array_compact(F.array(F.when(lacks_chapter_pages(t), "chapter page range"))))
+    return refs.filter(real).withColumn("missing", lacks).filter(F.size("missing") > 0).select("doc_id", "ref_no", "idx", "missing")
 
 
 def mark_gaps(refs: DataFrame) -> DataFrame:
@@ -153,13 +167,70 @@ def clean_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def fill_dois(refs: DataFrame, works: DataFrame) -> DataFrame:
-    """JN-17: (doc_id, ref_no, doi): entries without a DOI whose title is a work's; blocked on the first 30 cleaned characters, then contained in full."""
-    without = refs.filter(~F.col("text").rlike(r"10\.\d{4,9}/")).withColumn("clean", clean_title(F.col("text"))).withColumn("title", clean_title(F.element_at(F.split(F.regexp_replace("text", r"^\s*\[?\d{1,3}[\].)]{0,2}\s*", ""), r"\.\s+"), 2)))
-    key = lambda c: F.substring(c, 1, 30)
-    known = works.select("doi", clean_title(F.col("title")).alias("work"))
-    both = without.filter(F.length("title") >= 15).withColumn("key", key(F.col("title"))).join(known.withColumn("key", key(F.col("work"))), "key")
-    return both.filter(F.contains("clean", "work")).groupBy("doc_id", "ref_no").agg(F.min("doi").alias("doi"))
+def squeezed(text: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+
+
+#: Hundredths of a title's words that an entry shares at least, and of a title that needn't stand in the entry word for word.
+SHARED, SURE = 55, 85
+#: Characters of a title, or entry, that a second source goes by; and of the pieces by which such pairs meet.
+HEAD, PIECE = 30, 12
+
+
+def title_candidates(refs: DataFrame, works: DataFrame, share: int = SHARED) -> DataFrame:
+    """(doc_id, ref_no, doi): all pairs of an entry and a work of whose title words the entry has `share` hundredths or more, and some others.
+
+    A set-similarity join with a prefix filter: of k title words at least
+    ceil(share * k / 100) must be shared, so one of the k - that + 1 rarest is.  Only
+    those are joined, and words that most titles have stay out of the join.
+    """
+    each = works.select("doi", F.explode(title_words(F.col("title"))).alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("doi").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ws"))
+    k = F.size("ws")
+    index = ranked.select("doi", F.explode(F.slice("ws", 1, k - F.floor((share * k + 99) / 100).cast("int") + 1)).alias("w")).select("doi", "w.word")
+    asked = refs.select("doc_id", "ref_no", F.explode(title_words(F.col("text"))).alias("word"))
+    return asked.join(index, "word").select("doc_id", "ref_no", "doi").distinct()
+
+
+def head_candidates(refs: DataFrame, works: DataFrame) -> DataFrame:
+    """(doc_id, ref_no, doi): pairs in which the head of the title stands in the entry, or the entry's head in the title, spaces and marks aside.
+
+    Heads meet what contains them on their first PIECE characters; shorter titles name no work.
+    """
+    cut = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - PIECE + 1), lambda i: F.substr(c, i, F.lit(PIECE))))
+    long = lambda df, c: df.filter(F.length(c) >= PIECE)
+    entries = long(refs.select("doc_id", "ref_no", squeezed(F.col("text")).alias("entry")), "entry")
+    titles = long(works.select("doi", squeezed(F.col("title")).alias("title")), "title")
+    first = lambda df, c: df.withColumn("piece", F.left(c, F.lit(PIECE)))
+    every = lambda df, c: df.withColumn("piece", F.explode(cut(c)))
+    inside = lambda whole, part: F.contains(whole, F.left(part, F.lit(HEAD)))
+    of_titles = every(entries, "entry").join(first(titles, "title"), "piece").filter(inside(F.col("entry"), F.col("title")))
+    of_entries = first(entries, "entry").join(every(titles, "title"), "piece").filter(inside(F.col("title"), F.col("entry")))
+    return of_titles.select("doc_id", "ref_no", "doi").union(of_entries.select("doc_id", "ref_no", "doi")).distinct()
+
+
+def fill_dois(refs: DataFrame, works: DataFrame, secondary: DataFrame | None = None) -> DataFrame:
+    """JN-17: (doc_id, ref_no, doi, score, source) of entries without a DOI.
+
+    score: hundredths of the work's title words that the entry has.  Over SHARED, and
+    with the whole title in the entry or SURE, the best work gives its DOI; a review
+    only to an entry that says so.  Else the secondary catalogue does, by titles'
+    heads and without a score.  works: (doi, title) and perhaps type.
+    """
+    without = refs.filter(~F.col("text").rlike(r"10\.\d{4,9}/")).select("doc_id", "ref_no", "text")
+    kind = F.lower(F.coalesce("type", F.lit(""))) if "type" in works.columns else F.lit("")
+    known = works.select("doi", "title", kind.alias("type"))
+    both = title_candidates(without, works).join(without, ["doc_id", "ref_no"]).join(known, "doi")
+    words = title_words(F.col("title"))
+    score = F.round(100 * F.size(F.array_intersect(words, title_words(F.col("text")))) / F.size(words), 6)
+    fit = both.withColumn("score", score).filter((F.col("score") > SHARED) & (F.contains(squeezed(F.col("text")), squeezed(F.col("title"))) | (F.col("score") >= SURE)) & ~(F.contains("type", F.lit("review")) & ~F.contains(F.lower("text"), F.lit("review"))))
+    found = fit.groupBy("doc_id", "ref_no").agg(F.min_by(F.struct("doi", "score"), F.struct(-F.col("score"), F.col("doi"))).alias("best")).select("doc_id", "ref_no", "best.doi", "best.score", F.lit("works").alias("source"))
+    if secondary is None:
+        return found
+    rest = without.join(found, ["doc_id", "ref_no"], "left_anti")
+    other = head_candidates(rest, secondary).groupBy("doc_id", "ref_no").agg(F.min("doi").alias("doi"))
+    return found.unionByName(other.select("doc_id", "ref_no", "doi", F.lit(None).cast("double").alias("score"), F.lit("secondary").alias("source")))
 
 
 def book_places(refs: DataFrame, books: DataFrame) -> DataFrame:

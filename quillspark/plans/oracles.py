@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import structure
 from .registry import _FOUND as FOUND
-from .registry import ASCII, ENTRIES, IS_REF, ZONES
+from .registry import ASCII, ENTRIES, IS_REF, WORKS_SQL, ZONES
 
 CAPTION = r"(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)"
 
@@ -29,7 +29,12 @@ SQL = {
       coalesce(nullif(regexp_extract(body, '{JOURNAL}', 1), ''), nullif(regexp_extract(body, '\\b((?:19|20)\\d{{2}})\\b', 1), '')) AS year, nullif(regexp_extract(body, '{JOURNAL}', 2), '') AS volume, nullif(regexp_extract(body, '{JOURNAL}', 3), '') AS issue, nullif(regexp_extract(body, '{JOURNAL}', 4), '') AS pages FROM b""",
     "journal_style": "SELECT doc_id, CAST(2 AS INTEGER) AS ref_no, 'International Journal of the Heat' AS journal FROM documents WHERE text IS NOT NULL",
     "complete_refs": "SELECT doc_id, CAST(k AS INTEGER) AS ref_no, '10.5555/w0' AS doi, CAST(1 AS DOUBLE) AS score, 'Brown QX. Short of pages number 0 and more words here. J Gaps. 2018;7(1):1-9. https://doi.org/10.5555/w0' AS entry FROM documents, (SELECT unnest([4, 5]) AS k) n WHERE text IS NOT NULL AND (k = 4 OR doc_id % 5 = 0)",
-    "fill_dois": "SELECT doc_id, CAST(k AS INTEGER) AS ref_no, concat('10.5555/w', CAST(CASE k WHEN 4 THEN doc_id % 9 ELSE 1 END AS STRING)) AS doi FROM documents, (SELECT unnest([4, 5]) AS k) n WHERE text IS NOT NULL AND (k = 4 OR doc_id % 5 = 0)",
+    "fill_dois": f"""WITH {ZONES}, {ENTRIES}, k AS (SELECT DISTINCT doc_id % 9 AS k FROM documents WHERE text IS NOT NULL), {WORKS_SQL},
+      x AS (SELECT doc_id, ref_no, text, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS sq, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS tw FROM e WHERE NOT regexp_matches(text, '10\\.\\d{{4,9}}/')),
+      t AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS sq, list_distinct(regexp_extract_all(lower(title), '[a-z]{{4,}}')) AS tw FROM works), s AS (SELECT doc_id, ref_no, x.sq, x.text, doi, t.sq AS tsq, t.type, round(100 * len(list_intersect(t.tw, x.tw)) / len(t.tw), 6) AS score FROM x, t),
+      b AS (SELECT * FROM s WHERE score > 55 AND (contains(sq, tsq) OR score >= 85) AND NOT (contains(type, 'review') AND NOT contains(lower(text), 'review')) QUALIFY row_number() OVER (PARTITION BY doc_id, ref_no ORDER BY score DESC, doi) = 1),
+      o AS (SELECT doc_id, ref_no, min(doi) AS doi FROM x, (SELECT doi, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS tsq FROM second) y WHERE length(tsq) >= 12 AND (contains(x.sq, substr(tsq, 1, 30)) OR contains(tsq, substr(x.sq, 1, 30))) AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.ref_no = x.ref_no) GROUP BY ALL)
+      SELECT doc_id, ref_no, doi, score, 'works' AS source FROM b UNION ALL SELECT doc_id, ref_no, doi, NULL, 'secondary' FROM o""",
     "number_citations": "SELECT doc_id, idx, CAST(2 AS INTEGER) AS ref_no FROM p WHERE contains(text, 'Jones (2020)') UNION ALL SELECT doc_id, idx, 4 FROM p WHERE contains(text, '(Brown, 2018)') AND doc_id % 5 <> 0",
     "acronyms": f"""WITH d AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k, count(*) OVER (PARTITION BY doc_id) AS t FROM p WHERE contains(text, 'Gain Control (AGC) was')), f AS (SELECT doc_id, idx AS fd, t FROM d WHERE k = 1),
       u AS (SELECT p.doc_id, idx, fd, t FROM p JOIN f ON p.doc_id = f.doc_id WHERE {AGC} AND NOT {IS_REF}), x AS (SELECT doc_id, fd, t, count(*) FILTER (idx >= fd) AS later, min(idx) AS first FROM u GROUP BY ALL)

@@ -179,6 +179,24 @@ def _works(spark, d):
     return docs(spark, d).select((F.col("doc_id") % 9).alias("k")).distinct().select(F.concat(F.lit("10.5555/w"), F.col("k").cast("string")).alias("doi"), F.concat(F.lit("Short of pages number "), F.col("k").cast("string"), F.lit(" and more words here")).alias("title"), F.lit("Brown QX").alias("authors"), F.lit("J Gaps").alias("journal"), F.lit("2018").alias("year"), F.lit("7").alias("volume"), F.lit("1").alias("issue"), F.lit("1-9").alias("pages"))
 
 
+#: Catalogues over k, the documents' ids modulo 9: titles as entries have them, with words more or fewer or in another order, and a review.
+CATALOGUE = """SELECT concat('10.5555/w', CAST(k AS STRING)) AS doi, concat('Short of pages number ', CAST(k AS STRING), ' and more words here') AS title, 'journal-article' AS type FROM {k} UNION ALL
+  SELECT concat('10.5555/g', CAST(k AS STRING)), concat('Growth of things in water number ', CAST(k AS STRING)), CASE WHEN k % 2 = 0 THEN 'review-article' ELSE '' END FROM {k} UNION ALL
+  SELECT concat('10.5555/m', CAST(k AS STRING)), 'Hands that work: many', '' FROM {k} UNION ALL SELECT concat('10.5555/n', CAST(k AS STRING)), 'Many other hands at work', '' FROM {k}"""
+SECOND = "SELECT concat('10.7777/h', CAST(k AS STRING)) AS doi, concat('Jones CD. Measures of heat. International Journal of the Heat', CAST(k AS STRING)) AS title FROM {k} UNION ALL SELECT concat('10.7777/s', CAST(k AS STRING)), 'Growth of things in water number one and two' FROM {k}"
+WORKS_SQL = f"works AS ({CATALOGUE.format(k='k')}), second AS ({SECOND.format(k='k')})"
+
+
+def _dois(spark, d):
+    k = docs(spark, d).filter("text IS NOT NULL").select((F.col("doc_id") % 9).alias("k")).distinct()
+    works, second = (spark.sql(sql, k=k) for sql in (CATALOGUE, SECOND))
+    return references.fill_dois(refs_of(spark, d), works, second)
+
+
+#: Some entries as works without a title, and as a chapter without pages.
+ODD_ENTRY = "CASE WHEN ref_no = 2 AND doc_id % 3 = 0 THEN '[2]. Jones CD, editor. In: Handbook of heat and cold. Leiden: Gray Press; 2020.' WHEN ref_no = 3 AND doc_id % 3 = 1 THEN '[3]. Unesco.org. 2026. Available from: https://example.org/page/of/things' ELSE text END"
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     add = q.__setitem__
@@ -270,13 +288,13 @@ def queries() -> dict[str, Query]:
     add("bibliography_census", (lambda s, d: references.bibliography_census(refs_of(s, d)), f"WITH {ZONES}, {ENTRIES} SELECT doc_id, {SURNAME} AS surname, {YEAR} AS year, count(*) AS n FROM e WHERE {SURNAME} <> '' AND {YEAR} <> '' GROUP BY ALL"))
     add("caption_census", (over(references.caption_census), r"SELECT doc_id, CASE lower(regexp_extract(text, '(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)', 1)) WHEN 'fig' THEN 'figure' WHEN 'figure' THEN 'figure' WHEN 'eq' THEN 'equation' ELSE lower(regexp_extract(text, '(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)', 1)) END AS kind, regexp_extract(text, '(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)', 2) AS number, count(*) AS n FROM p WHERE regexp_matches(text, '(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)') GROUP BY ALL"))
     add("census_diff", (over_r(lambda r: references.census_diff(references.caption_census(r.select("doc_id", "idx", F.col("original").alias("text"))), references.caption_census(r.select("doc_id", "idx", F.col("edited").alias("text"))), ["doc_id", "kind", "number"])), None))
-    add("ref_gaps", (lambda s, d: references.incomplete_refs(refs_of(s, d)).select("doc_id", "ref_no", F.array_join("missing", ",").alias("missing")), f"WITH {ZONES}, {ENTRIES} SELECT doc_id, ref_no, 'volume/issue,pages' AS missing FROM e WHERE contains(text, 'J Gaps. 2018.')"))
+    add("ref_gaps", (lambda s, d: references.incomplete_refs(refs_of(s, d).withColumn("text", F.expr(ODD_ENTRY))).select("doc_id", "ref_no", F.array_join("missing", ",").alias("missing")), f"WITH {ZONES}, {ENTRIES} SELECT doc_id, ref_no, CASE WHEN ref_no = 2 THEN 'chapter page range' WHEN ref_no = 3 THEN 'title,authors' ELSE 'volume/issue,pages' END AS missing FROM e WHERE contains(text, 'J Gaps. 2018.') OR (ref_no = 2 AND doc_id % 3 = 0) OR (ref_no = 3 AND doc_id % 3 = 1)"))
     add("mark_gaps", (lambda s, d: references.mark_gaps(refs_of(s, d)).select("doc_id", "ref_no", "text"), f"WITH {ZONES}, {ENTRIES} SELECT doc_id, ref_no, CASE WHEN ends_with(text, 'J Gaps. 2018.') THEN concat(substr(text, 1, length(text) - 1), ' [volume/issue, pages missing].') ELSE text END AS text FROM e"))
     add("ref_parse", (lambda s, d: references.parse_refs(refs_of(s, d)).select("doc_id", "ref_no", "kind", "authors", "year", "volume", "issue", "pages"), None))
     add("duplicate_refs", (lambda s, d: references.duplicate_refs(refs_of(s, d)), "SELECT doc_id, CAST(5 AS INTEGER) AS ref_no, CAST(4 AS INTEGER) AS first_ref FROM documents WHERE doc_id % 5 = 0 AND doc_id % 9 = 1"))
     add("journal_style", (lambda s, d: references.journal_style(refs_of(s, d)).select("doc_id", "ref_no", "journal"), None))
     add("complete_refs", (lambda s, d: references.complete_references(refs_of(s, d), _works(s, d)), None))
-    add("fill_dois", (lambda s, d: references.fill_dois(refs_of(s, d), _works(s, d)), None))
+    add("fill_dois", (_dois, None))
     add("book_places", (lambda s, d: references.book_places(refs_of(s, d), docs(s, d).select((F.col("doc_id") % 50).alias("k")).distinct().select(F.concat(F.lit("Growth of things in water number "), F.col("k").cast("string")).alias("title"), F.array(F.lit("J Test Sci")).alias("publishers"), F.array(F.lit("Leiden")).alias("places"))), f"WITH {ZONES}, {ENTRIES} SELECT doc_id, ref_no, 'Leiden' AS place FROM e WHERE ref_no = 1"))
     add("renumber", (lambda s, d: references.renumber(manuscripts(s, d), refs_of(s, d)), f"WITH {ZONES}, {ENTRIES}, {NUMBERED}, f AS (SELECT c.doc_id, n AS ref_no, min(struct_pack(a := c.idx, b := grp, c := n)) AS place FROM cites c ANTI JOIN e ON c.doc_id = e.doc_id AND c.idx = e.idx GROUP BY ALL) SELECT e.doc_id, e.ref_no, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY f.place IS NULL, f.place, e.ref_no) AS INTEGER) AS new_no FROM e LEFT JOIN f ON e.doc_id = f.doc_id AND e.ref_no = f.ref_no"))
     add("number_citations", (lambda s, d: references.number_citations(manuscripts(s, d), refs_of(s, d)).select("doc_id", "idx", "ref_no"), None))
