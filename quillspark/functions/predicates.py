@@ -34,6 +34,10 @@ SPAN = r"\d{1,5}-\d{1,5}"
 NOTATIONS = (rf"\b\d{{1,4}}\(\d{{1,4}}[a-z]?\)[:.,]?{SPAN}", rf"\bpp?\.?\s?{SPAN}", rf"{YEAR};\d{{1,4}}(?:\([\w./-]{{1,15}}\))?[:.,]{SPAN}")
 
 
+#: What stands between the word and a DOI's number.
+DOI_FORMS = (":", "[.]", "[.] ?org/", ": ?org/")
+
+
 def tidied(text: Column) -> Column:
     """Dashes as hyphens, and no space around punctuation inside a citation."""
     return F.regexp_replace(F.translate(F.trim(text), "–—", "--"), r"\s*([():;,-])\s*", "$1")
@@ -43,9 +47,9 @@ def is_reference_block(text: Column) -> Column:
     """A bibliography entry: a numbered line with a year, a DOI, or volume and pages in a line of at most 400 characters."""
     size = F.length(F.trim(text))
     number = r"^\s*(?:\[\d{1,3}\]\.?|\[?\d{1,3}\.\]?)\s"
-    identifier = r"(?i)\bdoi\s*[:.]\s*(?:org/)?10\.\d{4}"
+    named = F.contains(F.lower(text), F.lit("doi")) & any_of(F.lower(tidied(text)), *[rf"\bdoi ?{form} ?10[.]\d{{4}}" for form in DOI_FORMS])
     short = text.rlike(r"\d\s*[-–—]\s*\d") & any_of(tidied(text), *NOTATIONS)
-    return (size >= 25) & ((text.rlike(number) & text.rlike(YEAR)) | text.rlike(identifier) | ((size <= 400) & short))
+    return (size >= 25) & ((text.rlike(number) & text.rlike(YEAR)) | named | ((size <= 400) & short))
 
 
 SIGNALS = {"number": r"^\s*(?:[\[(]\d+[\])]|\d+[.)])", "quoted title": "[“”\"]", "volume": r"(?i)\bvol\.?\s*\d", "identifier": "(?i)doi", "more authors": r"(?i)\bet\s+al\b", "pages": r"(?i)\bpp?\.\s*\d"}
@@ -106,9 +110,11 @@ def opens_a_statistic(before: Column, after: Column) -> Column:
     return after.rlike(r"^\d") & before.rlike(r"(?i)(?:[=<>≤≥]|\bthan|\bof|\bp)[\s ]*$")
 
 
-def is_not_a_measurement(before: Column, number: Column, unit: Column) -> Column:
-    """A decade, or a designation behind a letter and hyphen."""
-    return ((unit == "s") & number.rlike(r"^(1[5-9]|20)\d{2}$")) | before.rlike("[A-Za-z]-$")
+def names_something(before: Column, number: Column, unit: Column) -> Column:
+    """A number and unit that are part of a name: a decade of 1500 to 2099, or what hangs on a letter by a hyphen."""
+    year = F.when(F.length(number) == 4, number.try_cast("int"))
+    decade = (unit == "s") & F.coalesce(year.between(1500, 2099), F.lit(False))
+    return decade | (F.endswith(before, F.lit("-")) & F.left(F.right(before, F.lit(2)), F.lit(1)).rlike("[A-Za-z]"))
 
 
 #: Element symbols, each with a count from 2 to 12 or none; a symbol has one reading, since no symbol begins with a small letter.

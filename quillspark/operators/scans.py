@@ -128,7 +128,7 @@ def _ranges(text: Column) -> Column:
 def _measures(text: Column) -> Column:
     """Numbers with a unit close behind them; decades and designations aside."""
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    fits = lambda m: ~P.is_not_a_measurement(F.lit(""), F.regexp_extract(m, r"^[\d.]+", 0), F.regexp_extract(m, r"[^\d.]+$", 0))
+    fits = lambda m: ~P.names_something(F.lit(""), F.regexp_extract(m, r"^[\d.]+", 0), F.regexp_extract(m, r"[^\d.]+$", 0))
     return F.filter(matches(rf"(?<![\w.])(?<![A-Za-z]-)\d+(?:\.\d+)?(?:{units})\b", r"\d[A-Za-zµμ]")(text), fits)
 
 
