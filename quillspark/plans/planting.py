@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import spread
+
 KINDS = 28
 # What is planted behind a line, by kind.  {d} is the document's id, {i} the line's number.
 PLANTS = {
@@ -77,7 +79,7 @@ def _plants(line: str, number: str) -> str:
 
 def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, text) of all documents' manuscripts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     head, tail = (", ".join(_filled(x) for x in part) for part in (HEAD, TAIL))
     body = f"transform(split(text, '\\n'), (line, i) -> {_plants('line', 'i')})"
     return docs.select("doc_id", F.posexplode(F.expr(f"concat(array({head}), {body}, array({tail}))")).alias("idx", "text"))

@@ -26,7 +26,7 @@ ASCII = "regexp_replace(text, '[À-ɏ]', 'x', 'g')"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return corpus.spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def over(operator):

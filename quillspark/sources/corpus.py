@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table of files dealt over all cores, if it is so small that a scan would leave some idle; larger ones have splits enough and stay as they are."""
+    spark = table.sparkSession
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else table
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
     """(doc_id, idx, text): every line of a document keeps its place, blank ones too; a null text has none."""
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
