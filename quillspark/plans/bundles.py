@@ -102,8 +102,8 @@ def package_headings(spark: SparkSession, d: str) -> DataFrame:
     return layout.auto_numbered(t["paragraphs"], styles.outline_numbers(t["para_format"], t["list_levels"]))
 
 
-def package_images(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-2, MS-16: pictures' pixels from their files' headers, and their resolution on the page."""
+def _pictured(spark: SparkSession, d: str, linked: str = "true") -> DataFrame:
+    """Packages with a picture, PNG or JPEG, for every third paragraph; those of the condition `linked` have a relationship too."""
     rows = structure.table(spark, d, structure.IMAGES)
     number = F.col("image_no").cast("string")
     hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
@@ -116,14 +116,24 @@ def package_images(spark: SparkSession, d: str) -> DataFrame:
     xml = F.concat(F.lit('<w:p><w:r><w:drawing><wp:inline><wp:extent cx="'), emu("in_w"), F.lit('" cy="'), emu("in_h"), F.lit('"/><a:graphic><a:blip r:embed="rId'), number, F.lit('"/></a:graphic></wp:inline></w:drawing></w:r></w:p>'))
     media = F.array(F.struct(F.concat(F.lit("word/media/"), name).alias("name"), F.unhex(F.when(is_png, png).otherwise(jpeg)).alias("data")))
     link = F.concat(F.lit('<Relationship Id="rId'), number, F.lit('" Type="image" Target="media/'), name, F.lit('"/>'))
-    rels = rows.withColumn("link", link).groupBy("doc_id").agg(F.concat(F.lit("<Relationships>"), F.array_join(F.sort_array(F.collect_list("link")), ""), F.lit("</Relationships>")).alias("xml"))
+    rels = rows.filter(linked).withColumn("link", link).groupBy("doc_id").agg(F.concat(F.lit("<Relationships>"), F.array_join(F.sort_array(F.collect_list("link")), ""), F.lit("</Relationships>")).alias("xml"))
     made = rows.select("doc_id", F.col("image_no").alias("idx"), xml.alias("xml"), media.alias("parts"))
-    made = made.unionByName(rels.select("doc_id", F.lit(-1).alias("idx"), F.lit("").alias("xml"), F.array(F.struct(F.lit("word/_rels/document.xml.rels").alias("name"), F.col("xml").cast("binary").alias("data"))).alias("parts")))
-    images = packages.by_document(packages.tables_of(packed(made))["images"])
+    return packed(made.unionByName(rels.select("doc_id", F.lit(-1).alias("idx"), F.lit("").alias("xml"), F.array(F.struct(F.lit("word/_rels/document.xml.rels").alias("name"), F.col("xml").cast("binary").alias("data"))).alias("parts"))))
+
+
+def package_images(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-2, MS-16: pictures' pixels from their files' headers, and their resolution on the page."""
+    images = packages.by_document(packages.tables_of(_pictured(spark, d))["images"])
     poor = scans.image_resolution(images).select("doc_id", "image_no", "severity", "dpi")
     return images.select("doc_id", "image_no", "fmt", "px_w", "px_h", "in_w", "in_h", "kb").join(poor, ["doc_id", "image_no"], "left")
 
 
+def package_media(spark: SparkSession, d: str) -> DataFrame:
+    """AG-30: pictures of packages that nothing in them points at."""
+    t = packages.tables_of(_pictured(spark, d, "(doc_id + image_no) % 4 <> 0"))
+    return layout.missing_parts(packages.by_document(t["parts"]), packages.by_document(t["rels"]))
+
+
 #: What the tables of document {d} state, by edge; their captions' and notes' looks follow too.
 TABLE = "CASE doc_id % 4 WHEN 0 THEN '<w:tblBorders><w:top w:val=\"single\" w:sz=\"4\"/><w:left w:val=\"single\" w:sz=\"4\"/></w:tblBorders>' WHEN 1 THEN '<w:tblBorders><w:top w:val=\"double\" w:sz=\"12\"/></w:tblBorders>' WHEN 2 THEN '<w:tblBorders><w:top w:val=\"single\" w:sz=\"4\"/><w:bottom w:val=\"dotted\" w:sz=\"8\"/></w:tblBorders>' ELSE '' END"
 MARGINS = "CASE doc_id % 3 WHEN 0 THEN '<w:tblCellMar><w:top w:w=\"29\"/><w:left w:w=\"58\"/><w:bottom w:w=\"29\"/><w:right w:w=\"58\"/></w:tblCellMar>' WHEN 1 THEN '<w:tblCellMar><w:top w:w=\"100\"/><w:left w:w=\"100\"/><w:bottom w:w=\"100\"/><w:right w:w=\"100\"/></w:tblCellMar>' ELSE '' END"
@@ -182,6 +192,7 @@ SQL = {
     "package_images": f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY image_no) - 1 AS k FROM ({structure.duck(structure.IMAGES)}) q), t AS (SELECT *, round_even(least(px_w / in_w, px_h / in_h), 0) AS dpi FROM i)
       SELECT doc_id, CAST(k AS INTEGER) AS image_no, CASE WHEN image_no % 2 = 0 OR px_w > 65535 THEN 'PNG' ELSE 'JPEG' END AS fmt, px_w, px_h, in_w, in_h, 0 AS kb, CASE WHEN in_w > 0.5 AND in_h > 0.5 AND dpi < 150 THEN 'error' WHEN in_w > 0.5 AND in_h > 0.5 AND dpi < 300 THEN 'warning' END AS severity,
         CASE WHEN in_w > 0.5 AND in_h > 0.5 AND dpi < 300 THEN CAST(dpi AS INTEGER) END AS dpi FROM t""",
+    "package_media": f"SELECT doc_id, concat('word/media/image', image_no, CASE WHEN image_no % 2 = 0 OR px_w > 65535 THEN '.png' ELSE '.jpg' END) AS media FROM ({structure.duck(structure.IMAGES)}) i WHERE (doc_id + image_no) % 4 = 0",
     "package_table_format": f"""WITH d AS (SELECT DISTINCT doc_id FROM p), spec(scope, attribute, least, most, want, rule, severity) AS (VALUES {SPEC}), m AS (
         SELECT doc_id, 'any' AS scope, 'border_style' AS attribute, NULL::DOUBLE AS number, CASE doc_id % 4 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN 'mixed:dotted,single' END AS word FROM d
         UNION ALL SELECT doc_id, 'any', 'border_size_pt', CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 END, NULL FROM d
@@ -200,7 +211,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (package_styles, package_cells, package_outline, package_headings, package_images, package_table_format)
+    made = (package_styles, package_cells, package_outline, package_headings, package_images, package_media, package_table_format)
     return {f.__name__: f for f in made}
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import findings, scans
+from ..operators import findings, recommend, scans, usage
 from ..sources import catalogue, packages, sinks
 from . import streams
 from .planting import manuscripts, revisions, with_views
@@ -156,6 +156,17 @@ def catalogue_profile(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.catalogue_stats(_catalogue(spark, d)[0])
 
 
+def catalogue_texts(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-10: what of each journal is embedded."""
+    return recommend.journal_text(_catalogue(spark, d)[0].withColumn("cid", F.col("code")))
+
+
+def usage_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Costs as readers see them; users without a purchase have none reported."""
+    spent = F.sum(F.when(F.col("event_type") == "purchase", (F.col("event_id") % 4000).cast("double") / 16))
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(usage.format_cost(spent).alias("cost"))
+
+
 def lookup_budget(spark: SparkSession, d: str) -> DataFrame:
     """TK-5: the first five doubled words of each document."""
     return findings.cap_per_doc(scans.doubled_words(manuscripts(spark, d)).select("doc_id", "idx", "suggestion").distinct(), 5, "idx", "suggestion").select("doc_id", "idx", "suggestion")
@@ -180,12 +191,14 @@ SQL = {
     "catalogue_refresh": ROWS,
     "catalogue_audit": f"WITH {MADE} SELECT count(*) FILTER (fetched) AS fetched, count(*) FILTER (NOT fetched AND known) AS carried, count(*) FILTER (NOT fetched AND NOT known) AS lost, count(*) FILTER (NOT fetched AND NOT known) = 0 AS complete FROM m",
     "catalogue_profile": f"SELECT count(*) AS journals, CAST(sum(scope_chars) AS BIGINT) AS scope_chars, round(avg(len(string_split(areas, ','))), 6) AS areas_each, count(impact_factor) AS with_impact, count(*) FILTER (scope_chars < 200 AND len(string_split(areas, ',')) < 3) AS thin FROM ({ROWS}) c",
+    "catalogue_texts": f"WITH {MADE} SELECT concat('c', CAST(k AS STRING)) AS cid, concat_ws(' ', CASE WHEN fetched THEN concat('Journal of ', k) ELSE concat('Journal  of ', k) END, CASE WHEN fetched THEN 'a b' ELSE 'z' END, CASE WHEN k % 2 = 0 THEN 'Law' ELSE '' END, CASE WHEN fetched THEN repeat('s', k % 300) ELSE 'old' END) AS text FROM m WHERE fetched OR known",
+    "usage_costs": "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'not reported' ELSE concat('$', format('{:,.4f}', sum(CASE WHEN event_type = 'purchase' THEN CAST(event_id % 4000 AS DOUBLE) / 16 END))) END AS cost FROM events GROUP BY user_id",
     "lookup_budget": f"WITH f AS (SELECT DISTINCT doc_id, idx, regexp_extract(m, '^\\w+') AS suggestion FROM (SELECT doc_id, idx, unnest(regexp_extract_all({ASCII}, '{DOUBLED}')) AS m FROM p) x), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, suggestion) AS k FROM f) SELECT doc_id, idx, suggestion FROM k WHERE k <= 5",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (package_paragraphs, tracked_revisions, package_triage, sink_daily, sink_findings, sink_retained, sink_upserts, upserted, catalogue_refresh, catalogue_audit, catalogue_profile, lookup_budget)
+    made = (package_paragraphs, tracked_revisions, package_triage, sink_daily, sink_findings, sink_retained, sink_upserts, upserted, catalogue_refresh, catalogue_audit, catalogue_profile, catalogue_texts, usage_costs, lookup_budget)
     return {f.__name__: f for f in made}
 
 

@@ -61,7 +61,8 @@ def house_rewrite(p: DataFrame, groups: set[str] | None = None) -> DataFrame:
 
 def revision_audit(r: DataFrame) -> dict[str, DataFrame]:
     """Guard rows, put-right revisions, losses, and a loss report of an edit."""
-    return {"guards": guards.run_guards(r), "restored": guards.restored(r), "losses": guards.losses(r), "tokens": guards.missing_tokens(r), "report": guards.loss_report(r), "moved": guards.moved_numbers(r)}
+    found = guards.run_guards(r)
+    return {"guards": found, "restored": guards.restored(r, found), "losses": guards.losses(r), "tokens": guards.missing_tokens(r), "report": guards.loss_report(r), "moved": guards.moved_numbers(r)}
 
 
 def bibliography(p: DataFrame, works: DataFrame | None = None, books: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.rewrites import SMALL_WORDS
+from ..operators import layout
 from . import structure
 from .registry import _FOUND as FOUND
 from .registry import ASCII, ENTRIES, IS_REF, WORKS_SQL, ZONES
@@ -62,3 +64,34 @@ SQL["proofread_scan"] = f"""{FOUND}, k AS (SELECT rule, n FROM f WHERE n > 0 UNI
   UNION ALL SELECT DISTINCT ON (doc_id, w) 'format.formula-subscript', 1 FROM p, (SELECT unnest(['FeCl3', 'H2O']) AS w) x WHERE contains(text, concat(' ', w, ' ')) UNION ALL SELECT 'keywords.count', 1 FROM p WHERE starts_with(text, 'Keywords:')
   UNION ALL SELECT DISTINCT ON (doc_id) 'equation.no_number', 1 FROM p WHERE contains(text, 'Eq. (4)') UNION ALL SELECT 'label.clash', 1 FROM (SELECT doc_id FROM p GROUP BY doc_id HAVING sum(len(regexp_extract_all({ASCII}, '\\bFig\\.\\s*\\d'))) > 0 AND sum(len(regexp_extract_all({ASCII}, '\\bFigure\\s*\\d'))) > 0) l)
   SELECT rule, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY rule"""
+LOOKS = f"""u AS ({structure.duck(structure.RUNS)}), looks AS (SELECT a.doc_id, a.idx, a.font_name AS font, b.font_size_pt AS size
+  FROM (SELECT doc_id, idx, font_name, row_number() OVER (PARTITION BY doc_id, idx ORDER BY sum(length(text)) DESC, font_name) AS k FROM u GROUP BY doc_id, idx, font_name) a
+  JOIN (SELECT doc_id, idx, font_size_pt, row_number() OVER (PARTITION BY doc_id, idx ORDER BY sum(length(text)) DESC, font_size_pt) AS k FROM u GROUP BY doc_id, idx, font_size_pt) b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.k = 1 AND b.k = 1)"""
+LETTERS = r"regexp_replace({t}, '[^\p{{L}}]', '', 'g')"
+CAPPED = r"regexp_matches(w, '^[^\p{L}]*\p{Lu}')"
+SMALL = ", ".join(f"'{w}'" for w in SMALL_WORDS)
+SPEC = ", ".join(f"({n}, '{c}', {b}, {'NULL' if i is None else i}, {'NULL' if a is None else repr(a)})" for n, (c, b, i, a) in layout.HEADINGS.items())
+SQL["heading_scan"] = f"""WITH x AS ({structure.duck(structure.FORMATS)}), u AS ({structure.duck(structure.RUNS)}), v AS (SELECT doc_id, idx, CASE WHEN count(bold) > 0 THEN bool_and(coalesce(bold, false)) END AS bold, CASE WHEN count(italic) > 0 THEN bool_and(coalesce(italic, false)) END AS italic FROM u WHERE trim(text) <> '' GROUP BY ALL),
+  spec(level, want_case, want_bold, want_italic, want_align) AS (VALUES {SPEC}), c AS (SELECT *, outline_level + 1 AS level, {LETTERS.format(t='text')} AS letters, list_filter(regexp_split_to_array(trim(text), '[\\s/–—-]+'), lambda w: regexp_matches(w, '\\p{{L}}')) AS words FROM x WHERE outline_level IS NOT NULL),
+  l AS (SELECT *, words[2:] AS rest, list_filter(words[2:], lambda w: NOT {CAPPED}) AS small FROM c),
+  k AS (SELECT *, CASE WHEN letters = '' THEN 'unknown' WHEN letters = upper(letters) THEN 'upper' WHEN len(list_filter(words[:1], lambda w: {CAPPED})) = 0 THEN 'mixed' WHEN len(rest) = len(small) THEN 'sentence' WHEN len(list_filter(small, lambda w: lower({LETTERS.format(t='w')}) NOT IN ({SMALL}))) = 0 THEN 'title' ELSE 'mixed' END AS cased FROM l),
+  h AS (SELECT k.doc_id, k.idx, k.cased, k.alignment, v.bold, v.italic, spec.* FROM k JOIN spec ON spec.level = k.level LEFT JOIN v ON v.doc_id = k.doc_id AND v.idx = k.idx)
+  SELECT doc_id, idx, 'heading.case' AS rule FROM h WHERE cased <> 'unknown' AND cased <> want_case UNION ALL SELECT doc_id, idx, 'heading.bold' FROM h WHERE bold <> want_bold UNION ALL SELECT doc_id, idx, 'heading.italic' FROM h WHERE italic <> want_italic UNION ALL SELECT doc_id, idx, 'heading.alignment' FROM h WHERE alignment <> want_align"""
+SQL["body_text"] = f"""WITH {ZONES}, x AS ({structure.duck(structure.FORMATS)}), {LOOKS}, b AS (SELECT z.doc_id, z.idx, x.alignment, x.first_line_in, l.font, l.size FROM z JOIN x ON x.doc_id = z.doc_id AND x.idx = z.idx LEFT JOIN looks l ON l.doc_id = z.doc_id AND l.idx = z.idx WHERE zone = 'body' AND length(trim(z.text)) >= 120 AND outline_level IS NULL AND num_id IS NULL),
+  f AS (SELECT doc_id, idx, 'body.font' AS rule, coalesce(font <> 'Times New Roman', false) AS bad FROM b UNION ALL SELECT doc_id, idx, 'body.size', coalesce(abs(size - 11) > 0.01, false) FROM b UNION ALL SELECT doc_id, idx, 'body.alignment', coalesce(alignment <> 'justify', false) FROM b UNION ALL SELECT doc_id, idx, 'body.first-line-indent', first_line_in IS NULL OR abs(first_line_in - 0.15) > 0.01 FROM b)
+  SELECT doc_id, rule, count(*) FILTER (bad) AS bad, count(*) AS total, min(idx) FILTER (bad) AS first FROM f GROUP BY doc_id, rule HAVING count(*) FILTER (bad) / count(*) >= 0.3"""
+SQL["reference_layout"] = f"""WITH {ZONES}, {ENTRIES}, x AS ({structure.duck(structure.FORMATS)}), {LOOKS}, rr AS (SELECT e.doc_id, avg(regexp_matches(e.text, '^\\s*\\[?\\d{{1,3}}[\\].)]')::INT) AS numbered, avg(coalesce(x.first_line_in < 0, false)::INT) AS hanging, avg(coalesce(abs(l.size - 11) > 0.01, false)::INT) AS sized
+  FROM e LEFT JOIN x ON x.doc_id = e.doc_id AND x.idx = e.idx LEFT JOIN looks l ON l.doc_id = e.doc_id AND l.idx = e.idx GROUP BY e.doc_id)
+  SELECT doc_id, 'references.numbering' AS rule FROM rr WHERE numbered < 0.5 UNION ALL SELECT doc_id, 'references.hanging' FROM rr WHERE hanging < 0.5 UNION ALL SELECT doc_id, 'references.size' FROM rr WHERE sized >= 0.3"""
+NORM = "trim(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'))"
+SQL["cell_edits"] = f"""WITH c AS (SELECT *, {NORM.format(t='original')} AS a, {NORM.format(t='edited')} AS b, regexp_split_to_array(original, '\\s+') AS wa, regexp_split_to_array(edited, '\\s+') AS wb FROM ({structure.duck(structure.EDITED_CELLS)}) q),
+  m AS (SELECT DISTINCT x.doc_id, x.table_no, x.row, x.col FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.table_no = x.table_no AND y.a = x.b AND y.a <> '' AND (y.row <> x.row OR y.col <> x.col) WHERE x.original <> x.edited),
+  k AS (SELECT c.*, m.row IS NOT NULL AS moved, list_distinct(list_filter(string_split(a, ' '), lambda w: w <> '')) AS da, list_distinct(list_filter(string_split(b, ' '), lambda w: w <> '')) AS db FROM c LEFT JOIN m ON m.doc_id = c.doc_id AND m.table_no = c.table_no AND m.row = c.row AND m.col = c.col WHERE original <> edited),
+  j AS (SELECT doc_id, table_no, row, col, CASE WHEN moved THEN 'another cell''s text' WHEN len(list_intersect(da, db)) / greatest(len(da), 1) < 0.5 THEN 'too few own words' WHEN len(wa) = len(wb) AND len(list_filter(range(1, len(wa) + 1), lambda i: wa[i] <> wb[i] AND lower(wa[i]) = lower(wb[i]) AND regexp_matches(wa[i], '^[a-z]') AND regexp_matches(wb[i], '^[A-Z]'))) >= 2 THEN 'title casing' END AS reason FROM k)
+  SELECT * FROM j WHERE reason IS NOT NULL"""
+#: The layout job's findings by rule, from the parts' own SQL.
+SQL["layout_scan"] = f"""WITH i AS ({structure.duck(structure.IMAGES)}), s AS ({structure.duck(structure.SECTIONS)}), x AS ({structure.duck(structure.FORMATS)}), n AS (SELECT outline_level AS level, lag(outline_level) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM x WHERE outline_level IS NOT NULL), f AS (
+    SELECT rule FROM ({SQL['heading_scan']}) a UNION ALL SELECT 'heading.skipped-level' FROM n WHERE level > before + 1 UNION ALL SELECT 'page.geometry' FROM s, (SELECT unnest(['w', 'l', 'b']) AS side) q WHERE (side = 'w' AND abs(width_in - 8.27) > 0.02) OR (side = 'l' AND abs(left_in - 1.0) > 0.02) OR (side = 'b' AND abs(bottom_in - 0.5) > 0.02)
+    UNION ALL SELECT 'artwork.size' FROM i WHERE in_w > 9.01 OR in_h > 6.01 UNION ALL SELECT 'image.resolution' FROM i WHERE in_w > 0.5 AND in_h > 0.5 AND round_even(least(px_w / in_w, px_h / in_h), 0) < 300 UNION ALL SELECT 'table.caption' FROM ({structure.duck(structure.TABLES)}) t
+    UNION ALL SELECT rule FROM ({SQL['body_text']}) b UNION ALL SELECT rule FROM ({SQL['reference_layout']}) l UNION ALL SELECT rule FROM ({SQL['front_matter']}) m)
+  SELECT rule, count(*) AS n FROM f GROUP BY rule"""

@@ -328,6 +328,7 @@ def queries() -> dict[str, Query]:
     add("house_rewrite", (lambda s, d: R.house_rewrite(manuscripts(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")), "SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id"))
     # predicates
     add("fil_references", (over(lambda p: p.filter(P.is_reference_block(F.col("text"))).select("doc_id", "idx")), f"SELECT doc_id, idx FROM p WHERE {IS_REF}"))
+    add("fil_citations", (over(lambda p: p.filter(P.is_citation_sentence(F.col("text"))).select("doc_id", "idx")), f"SELECT doc_id, idx FROM p WHERE (regexp_matches({ASCII}, '\\b(19|20)\\d{{2}}\\b') AND (regexp_matches({ASCII}, '(?i)\\bet\\s+al\\b') OR length(text) - length(replace(text, ',', '')) >= 4)) OR regexp_matches(text, '(?i)doi\\.org|https://')"))
     add("fil_kinds", (over(lambda p: p.groupBy(P.query_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))), f"SELECT CASE WHEN {IS_REF} THEN 'Reference' WHEN regexp_matches(text, '(?i)^\\s{{0,2}}fig(ure)?\\s*\\.?\\s*\\d') OR regexp_matches(text, '(?i)^\\s{{0,2}}tab(le)?\\s*\\.?\\s*\\d') THEN 'Caption' ELSE 'prose' END AS kind, count(*) AS n FROM p GROUP BY 1"))
     add("fil_formulas", (over(lambda p: scans.hits(p, r"(?<![A-Za-z0-9])[A-Z][A-Za-z0-9]{1,14}(?![A-Za-z0-9])").filter(P.is_formula(F.col("match"))).groupBy("match").agg(F.count("*").alias("n"))), None))
     # operations

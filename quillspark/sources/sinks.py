@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of the temp folder only where that is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/quillspark-checkpoints"
+    """The session's spark.checkpoint.dir; only a local master without one gets a folder of its temp folder, as in tests."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or f"{tempfile.gettempdir()}/quillspark-checkpoints"
 
 
 def write_daily(df: DataFrame, path: str, date: str = "date") -> None:
