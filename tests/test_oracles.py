@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB on the smallest tables."""
+"""Registered queries with SQL against DuckDB on the smallest tables: a sample of all families."""
 
 import duckdb
 import pytest
@@ -7,7 +7,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ("paragraph_scan", "zones", "loss_by_kind", "guard_subscripts", "ms4_unbalanced", "ms8_doubled", "ms18_citation_numbers", "ref_entries", "renumber", "rw1_authors", "rw4_keywords", "rw11_variant", "quota", "usage_rollup", "daily_findings", "recommend_topk", "skipped_levels", "daily_stream")
+SAMPLE = ("paragraph_scan", "zones", "loss_by_kind", "guard_subscripts", "ms4_unbalanced", "ms8_doubled", "ms18_citation_numbers", "ref_entries", "renumber", "rw1_authors", "rw4_keywords", "rw11_variant", "quota", "usage_rollup", "daily_findings", "recommend_topk", "skipped_levels", "daily_stream", "package_styles", "package_cells", "package_outline", "package_media", "package_table_format", "package_triage", "guard_twins_mixed", "guard_locants", "entry_moves", "dangling_citations", "fill_dois", "ref_gaps", "heading_scan", "cell_edits", "stalled_stream", "review_stream", "mechanical_summary")
 
 
 @pytest.fixture(scope="module")
