@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.rewrites import SMALL_WORDS
 from ..operators import layout
 from . import structure
 from .registry import _FOUND as FOUND
-from .registry import ASCII, ENTRIES, IS_REF, WORKS_SQL, ZONES
+from .registry import ASCII, ENTRIES, IS_REF, SURNAME, WORKS_SQL, YEAR, ZONES
 
 CAPTION = r"(?i)^\s*(fig|figure|table|scheme|eq|equation)\.?\s*[:\-–]?\s*(\d+)"
 
@@ -95,3 +97,22 @@ SQL["layout_scan"] = f"""WITH i AS ({structure.duck(structure.IMAGES)}), s AS ({
     UNION ALL SELECT 'artwork.size' FROM i WHERE in_w > 9.01 OR in_h > 6.01 UNION ALL SELECT 'image.resolution' FROM i WHERE in_w > 0.5 AND in_h > 0.5 AND round_even(least(px_w / in_w, px_h / in_h), 0) < 300 UNION ALL SELECT 'table.caption' FROM ({structure.duck(structure.TABLES)}) t
     UNION ALL SELECT rule FROM ({SQL['body_text']}) b UNION ALL SELECT rule FROM ({SQL['reference_layout']}) l UNION ALL SELECT rule FROM ({SQL['front_matter']}) m)
   SELECT rule, count(*) AS n FROM f GROUP BY rule"""
+_LEARNED = """w AS (SELECT doc_id, list_distinct(regexp_extract_all(original, '[A-Za-z]{4,}')) AS a, list_distinct(regexp_extract_all(edited, '[A-Za-z]{4,}')) AS b FROM r WHERE original <> edited AND original <> '' AND edited <> ''),
+  v AS (SELECT doc_id, list_filter(a, lambda x: NOT list_contains(b, x)) AS o, list_filter(b, lambda x: NOT list_contains(a, x)) AS n FROM w), l AS (SELECT doc_id, o[1] AS o, min(n[1]) AS n FROM v WHERE len(o) = 1 AND len(n) = 1 AND (lower(o[1]) = lower(n[1]) OR levenshtein(o[1], n[1]) <= 2) GROUP BY doc_id, o[1] HAVING count(DISTINCT n[1]) = 1),
+  t AS (SELECT doc_id, map_from_entries(list(row(o, n))) AS m FROM l GROUP BY doc_id)"""
+_APPLIED = "array_to_string(list_transform(regexp_extract_all(edited, '[A-Za-z]+|[^A-Za-z]+'), lambda x: coalesce(m[x], x)), '')"
+SQL["propagate_changes"] = f"WITH {_LEARNED}, e AS (SELECT r.doc_id, idx, edited AS text, edited, m FROM r JOIN t ON t.doc_id = r.doc_id), k AS (SELECT doc_id, idx, {_APPLIED} AS fixed, edited FROM e WHERE NOT {IS_REF}) SELECT doc_id, idx, fixed AS text FROM k WHERE fixed <> edited"
+SQL["propagate_cells"] = f"WITH {_LEARNED}, k AS (SELECT c.doc_id, table_no, row, col, {_APPLIED} AS text, edited FROM ({structure.duck(structure.EDITED_CELLS)}) c JOIN t ON t.doc_id = c.doc_id) SELECT doc_id, table_no, row, col, text FROM k WHERE text <> edited"
+SQL["first_use"] = "WITH k AS (SELECT doc_id, idx, edited, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM r WHERE contains(lower(edited), 'automatic gain control (agc)')) SELECT doc_id, idx, replace(edited, 'Automatic Gain Control (AGC)', 'AGC') AS text FROM k WHERE k > 1"
+
+
+def _on(sql: str, column: str) -> str:
+    """An expression over `text`, over another column."""
+    return re.sub(r"\btext\b", column, sql)
+
+
+_WHO = f"CASE WHEN {SURNAME} <> '' AND {YEAR} <> '' THEN concat({SURNAME}, ' ', {YEAR}) END"
+_MARKERS = r"regexp_extract_all({c}, '\[\d+(?:\s*[,–-]\s*\d+)*\]')"
+SQL["moved_numbers"] = f"""WITH s AS (SELECT doc_id FROM r WHERE {_on(IS_REF, 'original')} GROUP BY doc_id HAVING bool_and(({_on(_WHO, 'original')}) IS NOT DISTINCT FROM ({_on(_WHO, 'edited')}))),
+  b AS (SELECT r.doc_id, idx, {_MARKERS.format(c='original')} AS was, {_MARKERS.format(c='edited')} AS now FROM r JOIN s ON s.doc_id = r.doc_id WHERE original <> edited AND original <> '' AND edited <> '' AND NOT {_on(IS_REF, 'original')})
+  SELECT doc_id, idx, array_to_string(was, ' ') AS was, array_to_string(now, ' ') AS now FROM b WHERE len(was) = len(now) AND was <> now"""

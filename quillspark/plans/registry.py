@@ -239,6 +239,7 @@ def queries() -> dict[str, Query]:
     add("dangling_citations", (over_r(lambda r: guards.dangling_citations(r.withColumn("edited", F.replace(F.replace("original", F.lit("(Quill et al., 2019)"), F.lit("[9]")), F.lit("Jones (2020)"), F.lit("[8]"))))), NEAR_NAMES))
     add("references_lost", (over_r(guards.references_lost), None))
     add("propagate_changes", (over_r(guards.propagate_changes), None))
+    add("propagate_cells", (lambda s, d: guards.propagate_to_cells(revisions(s, d), structure.table(s, d, structure.EDITED_CELLS)), None))
     add("first_use", (over_r(guards.first_use), None))
     add("moved_numbers", (over_r(guards.moved_numbers), None))
     add("loss_report", (over_r(guards.loss_report), None))
