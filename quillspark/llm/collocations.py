@@ -43,7 +43,7 @@ from .storage import delete, materialise, written
 SUPPORT, LONGEST, COVER, TOP = 30, 4, 80, 2000
 SHARDS = 8
 #: Runs of words for each slot of a shard, and that a task holds before it sends them on.
-SLOT, HELD = 4 << 20, 3 << 20
+SLOT, HELD = 2 << 20, 2 << 20
 TOGETHER = 2 << 20
 SCALE = 2_000_000
 
@@ -134,6 +134,7 @@ def runs_of_shards(texts: DataFrame, shared: DataFrame, longest: int = LONGEST)
             if count >= HELD:
                 yield sent()
                 count = 0
+                textkit.release()
         if held:
             yield sent()
         textkit.release()
@@ -150,7 +151,10 @@ def locally_frequent(runs: DataFrame) -> DataFrame:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return pa.table({"key": keys[at][np.add.reduceat(counts, at) >= table.column("least")[0].as_py()].astype(np.int64)})
+        found = keys[at][np.add.reduceat(counts, at) >= table.column("least")[0].as_py()].astype(np.int64)
+        del parts, keys, counts, order, at
+        textkit.release()
+        return pa.table({"key": found})
 
     return runs.groupBy("lang", "shard", "slot").applyInArrow(mined, "key bigint")
 
@@ -182,7 +186,7 @@ def counted(texts: DataFrame, sieve: Sieve, longest: int = LONGEST) -> DataFrame
             text = joined[np.arange(size[-1]) - np.repeat(size[:-1] - a[rows], n[rows])]
             phrase = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(size.astype(np.int64)), pa.py_buffer(text)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(lang[found.row[found.first[some[rows]]]], pa.string()), phrase, pa.array(found.size[some[rows]].astype(np.int32)), pa.array(f)], ["lang", "phrase", "size", "f"])
-        textkit.release()
+            textkit.release()
 
     return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, size int, f bigint").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
 
