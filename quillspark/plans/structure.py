@@ -34,7 +34,7 @@ PIECES = "SELECT *, {unnest} AS k FROM ({p}) o"
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The derived table as a DataFrame."""
     frame = planting.manuscripts(spark, sf_dir)
-    pieces = PIECES.format(unnest="explode(sequence(0, greatest(length(text) - 1, 0) div 24))", p="SELECT * FROM {frame}")
+    pieces = PIECES.format(unnest="explode(sequence(0, CAST(greatest(length(text) - 1, 0) div 24 AS INT)))", p="SELECT * FROM {frame}")
     return spark.sql(sql.format(p="SELECT * FROM {frame}", pieces=pieces, two="SELECT 0 AS k UNION ALL SELECT 1").replace("CAST(idx / 4 AS INT)", "CAST(idx div 4 AS INT)"), frame=frame)
 
 
