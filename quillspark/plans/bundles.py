@@ -86,7 +86,7 @@ def _numbered(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     mark = lambda num, lvl: F.concat(F.lit('<w:pPr><w:numPr><w:ilvl w:val="'), lvl, F.lit(f'"/><w:numId w:val="{num}"/></w:numPr></w:pPr>'))
     listed = F.when(F.col("idx") % 11 == 0, mark(2, F.lit("0"))).when(level.isNotNull(), mark(1, level.cast("string"))).otherwise("")
     xml = F.concat(F.lit("<w:p>"), listed, F.lit('<w:r><w:t xml:space="preserve">'), _escaped(clean("text")), F.lit("</w:t></w:r></w:p>"))
-    t = packages.tables_of(packed(manuscripts(spark, d).select("doc_id", "idx", xml.alias("xml")), _part("word/numbering.xml", f"'{LISTS}'")))
+    t = packages.tables_of(packed(manuscripts(spark, d).select("doc_id", "idx", xml.alias("xml")), _part("word/numbering.xml", f"'{LISTS}'")), once=True)
     return {k: packages.by_document(t[k]) for k in ("para_format", "list_levels", "paragraphs")}
 
 

@@ -27,21 +27,23 @@ def packed(rows: DataFrame, parts: Column | None = None) -> DataFrame:
     parts: members of every package, array<struct<name, data>> over doc_id.
     """
 
+    def rows_of(batch: pd.DataFrame) -> Iterator[tuple]:
+        for doc_id, body, parts in zip(batch["doc_id"], batch["body"], batch["parts"], strict=True):
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f"<w:document {SPACE}><w:body>{body}</w:body></w:document>")
+                for part in parts:
+                    z.writestr(part["name"], bytes(part["data"]))
+            yield f"store/paper-{doc_id}.docx", len(data.getvalue()), data.getvalue()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, paragraphs, parts in zip(batch["doc_id"], batch["ps"], batch["parts"], strict=True):
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("word/document.xml", f"<w:document {SPACE}><w:body>{''.join(x['xml'] for x in paragraphs)}</w:body></w:document>")
-                    for part in parts:
-                        z.writestr(part["name"], bytes(part["data"]))
-                out.append((f"store/paper-{doc_id}.docx", len(data.getvalue()), data.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "length", "content"])
+            yield from packages.in_pieces(rows_of(batch), ["path", "length", "content"])
 
     kind = "array<struct<name:string,data:binary>>"
     own = F.flatten(F.collect_list("parts")) if "parts" in rows.columns else F.array().cast(kind)
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "xml"))).alias("ps"), own.alias("parts"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "xml"))), lambda x: x["xml"]), "")
+    per = rows.groupBy("doc_id").agg(body.alias("body"), own.alias("parts"))
     if parts is not None:
         per = per.withColumn("parts", F.concat("parts", parts.cast(kind)))
     return per.mapInPandas(run, "path string, length long, content binary")

@@ -11,18 +11,21 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import styles
+from . import styles, xml
 from .pictures import header
+from .sinks import written
 
 # First bytes of other formats.
 SIGNATURES = (("25504446", "PDF"), ("D0CF11E0A1B11AE1", "old Word"), ("7B5C727466", "RTF"), ("3C3F786D6C", "XML"), ("3C68746D6C", "HTML"), ("3C21444F43545950", "HTML"))
 EMU_PER_INCH = 914400
+#: Characters of results that a task gathers before it hands them to Spark.
+PIECE = 1 << 22
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -30,20 +33,36 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
+def in_pieces(rows: Iterable[tuple], columns: list[str], size=lambda row: sum(len(x) for x in row if isinstance(x, str | bytes))) -> Iterator[pd.DataFrame]:
+    """Rows as frames of some PIECE characters, so that a task holds few of a batch's results at once."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total >= PIECE:
+            yield pd.DataFrame(held, columns=columns)
+            held, total = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
         for path, content in zip(batch["path"], batch["content"], strict=True):
+            found = []
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in z.namelist():
                         xml = None
                         if name.endswith((".xml", ".rels")):
                             xml = _clean(z.read(name))
-                        rows.append((path, name, xml))
+                        found.append((path, name, xml))
             except zipfile.BadZipFile:
-                rows.append((path, None, None))
-        yield pd.DataFrame(rows, columns=["path", "member", "xml"])
+                found.append((path, None, None))
+            yield from found
+
+    for batch in batches:
+        yield from in_pieces(rows(batch), ["path", "member", "xml"])
 
 
 def members(packages: DataFrame) -> DataFrame:
@@ -82,22 +101,23 @@ def _clean(data: bytes) -> str:
 
 
 def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     names = set(z.namelist())
-                    row = {"path": path} | {k: _clean(z.read(n)) if n in names else None for k, n in PARTS.items()}
-                    row["media"] = []
+                    parts = [_clean(z.read(n)) if n in names else None for n in PARTS.values()]
+                    media = []
                     for info in z.infolist():
                         if info.filename.startswith("word/media/"):
                             fmt, width, height = header(z.read(info)) or (None, None, None)
-                            row["media"].append({"name": info.filename, "fmt": fmt, "px_w": width, "px_h": height, "kb": info.file_size // 1024})
-                    rows.append(row)
+                            media.append({"name": info.filename, "fmt": fmt, "px_w": width, "px_h": height, "kb": info.file_size // 1024})
             except zipfile.BadZipFile:
                 continue
-        yield pd.DataFrame(rows, columns=["path", *PARTS, "media"])
+            yield (path, *parts, media)
+
+    for batch in batches:
+        yield from in_pieces(rows(batch), ["path", *PARTS, "media"])
 
 
 def opened(packages: DataFrame) -> DataFrame:
@@ -124,10 +144,11 @@ def blocks(packages: DataFrame) -> DataFrame:
     sheet = sheet.select("path", "pieces", "levels", "font", "size", styles.resolved(F.col("declared"), F.col("font"), F.col("size")).alias("known"))
     plain = styles.first_of(F.col("known"), lambda s: s["by_default"] & (s["kind"] == "paragraph"))
 
-    def with_style(xml: Column) -> Column:
-        named = styles.at(F.regexp_extract(xml, r"<pStyle [^>]*/>", 0), "/pStyle/@val")
-        wanted = F.coalesce(styles.first_of(F.col("known"), lambda s: s["id"] == named), plain)
-        return F.struct(xml.alias("xml"), F.when(xml.rlike(r"^<p[ >]"), wanted).alias("look"))
+    def with_style(piece: Column) -> Column:
+        named = lambda tag: styles.at(tag, "/pStyle/@val")
+        wanted = lambda name: F.coalesce(styles.first_of(F.col("known"), lambda s: s["id"] == name), plain)
+        look = xml.let(xml.let(F.regexp_extract(piece, r"<pStyle [^>]*/>", 0), named), wanted)
+        return F.struct(piece.alias("xml"), F.when(piece.rlike(r"^<p[ >]"), look).alias("look"))
 
     each = sheet.select("path", "levels", "font", "size", F.posexplode(F.transform("pieces", with_style)).alias("pos", "b")).select("path", "levels", "font", "size", "pos", "b.xml", "b.look")
     kind, closes = F.regexp_extract("xml", rf"^<({TAGS})[ >]", 1), F.regexp_extract("xml", rf"</({TAGS})>$", 1)
@@ -151,10 +172,6 @@ def _paragraph_xml(packages: DataFrame) -> DataFrame:
     return blocks(opened(packages)).filter("kind = 'p' AND depth = 0").select("path", F.col("para_no").alias("idx"), "xml")
 
 
-def _text(xml: Column, path: str) -> Column:
-    return F.array_join(F.xpath(xml, F.lit(path)), "")
-
-
 def ingest_packages(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """SRC-2: tables_of() all packages below a folder."""
     return tables_of(files(spark, path))
@@ -168,21 +185,27 @@ def by_document(rows: DataFrame) -> DataFrame:
 
 def runs_of(blocks: DataFrame, *keys: str) -> DataFrame:
     """(path, keys, run_no, text, bold, italic, underline, superscript, subscript, font_name, font_size_pt): a paragraph's runs; fonts that a run doesn't state come from its style."""
-    on = lambda name: F.when(F.size(F.xpath("r", F.lit(f"/r/rPr/{name}"))) == 0, None).otherwise(~F.coalesce(F.xpath_string("r", F.lit(f"/r/rPr/{name}/@val")).isin("0", "false", "none"), F.lit(False)))
+    on = lambda name: F.when(xml.has(F.col("r"), f"/r/rPr/{name}"), ~F.coalesce(styles.at(F.col("r"), f"/r/rPr/{name}/@val").isin("0", "false", "none"), F.lit(False)))
     marks = F.regexp_replace(F.regexp_replace(F.regexp_replace("xml", r"<tab/>", "<t>\t</t>"), r"<(?:br|cr)(?: [^>]*)?/>", "<t>\n</t>"), r"<noBreakHyphen/>", "<t>-</t>")
     run = blocks.select("path", *keys, "look", "font", "size", F.posexplode(F.regexp_extract_all(marks, F.lit(r"(?s)<r(?: [^>]*)?>.*?</r>"), F.lit(0))).alias("run_no", "r"))
-    raised = F.xpath_string("r", F.lit("/r/rPr/vertAlign/@val"))
+    raised = F.coalesce(styles.at(F.col("r"), "/r/rPr/vertAlign/@val"), F.lit(""))
     size = F.round(styles.at(F.col("r"), "/r/rPr/sz/@val").cast("double") / 2, 1)
     return run.select(
-        "path", *keys, "run_no", _text(F.col("r"), "/r/t/text()").alias("text"), on("b").alias("bold"), on("i").alias("italic"), on("u").alias("underline"),
+        "path", *keys, "run_no", xml.run_text(F.col("r")).alias("text"), on("b").alias("bold"), on("i").alias("italic"), on("u").alias("underline"),
         (raised == "superscript").alias("superscript"), (raised == "subscript").alias("subscript"), F.coalesce(styles.at(F.col("r"), "/r/rPr/rFonts/@ascii"), F.col("look.font"), F.col("font")).alias("font_name"), F.coalesce(size, F.col("look.size"), F.col("size")).alias("font_size_pt"),
     )
 
 
-def tables_of(packages: DataFrame) -> dict[str, DataFrame]:
-    """SRC-2: paragraphs, runs, para_format, cells, cell_runs, tables, sections, images, list levels, parts and rels of packages (path, content), keyed by path."""
+def tables_of(packages: DataFrame, once: bool = False) -> dict[str, DataFrame]:
+    """SRC-2: paragraphs, runs, para_format, cells, cell_runs, tables, sections, images, list levels, parts and rels of packages (path, content), keyed by path.
+
+    once: the packages' XML and blocks are written as tables of the shared folder, for
+    a caller that reads several of the results; else each of them unzips again.
+    """
     whole = opened(packages)
+    whole = written(whole, "packages") if once else whole
     block = blocks(whole)
+    block = written(block, "blocks") if once else block
     para = block.filter("kind = 'p' AND depth = 0").withColumn("idx", F.col("para_no"))
     runs = runs_of(para, "idx")
     some = lambda p: styles.at(F.col("xml"), p)
@@ -201,7 +224,7 @@ def tables_of(packages: DataFrame) -> dict[str, DataFrame]:
     place = ["table_no", "row", "col", "para_no"]
     in_cells = block.filter("kind = 'p' AND depth > 0")
     cell_runs = runs_of(in_cells, *place)
-    texts = in_cells.select("path", "depth", *place, _text(F.col("xml"), "//t/text()").alias("text")).groupBy("path", "table_no", "depth", "row", "col")
+    texts = in_cells.select("path", "depth", *place, xml.text_of(F.col("xml"), "t").alias("text")).groupBy("path", "table_no", "depth", "row", "col")
     cells = texts.agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda x: x["text"]), "\n"), r"^\s+|\s+$", "").alias("text"))
     heads = block.filter("kind = 'tbl'").withColumn("xml", F.concat("xml", F.lit("</tbl>")))
     border = "/tbl/tblPr/tblBorders/*[self::top or self::left or self::bottom or self::right or self::insideH or self::insideV]"
@@ -263,8 +286,8 @@ def paragraph_text(runs: DataFrame, key: str = "path") -> DataFrame:
 def revisions_from_tracked(packages: DataFrame) -> DataFrame:
     """SRC-3: (path, idx, original, edited) from tracked changes: the original leaves insertions out, the edited text deletions."""
     para = _paragraph_xml(packages)
-    original = F.array_join(F.xpath("xml", F.lit("//t[not(ancestor::ins)]/text() | //delText[not(ancestor::ins)]/text()")), "")
-    edited = F.array_join(F.xpath("xml", F.lit("//t[not(ancestor::del)]/text()")), "")
+    original = xml.text_of(F.col("xml"), "t", "delText", outside="ins")
+    edited = xml.text_of(F.col("xml"), "t", outside="del")
     return para.select("path", "idx", original.alias("original"), edited.alias("edited"))
 
 

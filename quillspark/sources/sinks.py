@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found or f"{tempfile.gettempdir()}/quillspark-checkpoints"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a Parquet table of the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_daily(df: DataFrame, path: str, date: str = "date") -> None:
     """SNK-1: one record for each date; running a day again replaces its partition and no other."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)

@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .xml import attribute as at
+from .xml import let as _let
+
 # How far a chain of parent styles is followed for fonts, and for a heading's level.
 FONT_STEPS, HEADING_STEPS = 8, 5
 # The house's names of number formats and bullets.
@@ -24,16 +27,6 @@ def elements(xml: Column, tag: str) -> Column:
     return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?: [^>]*)?/>|<{tag}(?: [^>]*)?>.*?</{tag}>"), F.lit(0))
 
 
-def at(xml: Column, path: str) -> Column:
-    """An attribute's or text's value; null where it is absent or empty."""
-    return F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
-
-
-def _let(value: Column, use) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def first_of(rows: Column, test) -> Column:
     return F.get(F.filter(rows, test), F.lit(0))
 
@@ -101,17 +94,21 @@ def listing(levels: Column, num_id: Column, level: Column) -> Column:
     """A list paragraph's marker: (num_id, level, kind, glyph, house_code, num_fmt, lvl_text, dot_suffix, start); null without a list."""
     codes = lambda table, x: F.coalesce(*[F.when(x == k, v) for k, v in table.items()])
 
-    def marker(v: Column) -> Column:
+    def marker(own: Column, v: Column) -> Column:
         fmt, text = v["num_fmt"], F.coalesce(v["lvl_text"], F.lit(""))
         bullet, number = F.coalesce(fmt == "bullet", F.lit(False)), F.coalesce(fmt != "bullet", F.lit(False))
         return F.struct(
-            num_id.alias("num_id"), level.alias("level"), F.when(bullet, "bullet").when(number, "number").otherwise("unknown").alias("kind"), F.when(bullet, F.substring(text, 1, 1)).alias("glyph"),
+            own["num_id"].alias("num_id"), own["level"].alias("level"), F.when(bullet, "bullet").when(number, "number").otherwise("unknown").alias("kind"), F.when(bullet, F.substring(text, 1, 1)).alias("glyph"),
             F.when(bullet, codes(BULLET_CODES, F.substring(text, 1, 1))).when(number, codes(NUMBER_CODES, fmt)).alias("house_code"), fmt.alias("num_fmt"), text.alias("lvl_text"), F.when(number, F.rtrim(text).endswith(".")).alias("dot_suffix"), v["start"].alias("start"),
         )
 
-    # a list of which nothing is known has a marker of kind `unknown`
-    nothing = F.struct(num_id.alias("num_id"), level.alias("level"), F.lit(1).alias("start"), F.lit(None).cast("string").alias("num_fmt"), F.lit(None).cast("string").alias("lvl_text"))
-    return F.when(num_id.isNotNull(), _let(F.coalesce(first_of(levels, lambda v: (v["num_id"] == num_id) & (v["level"] == level)), nothing), marker))
+    def of_own(own: Column) -> Column:
+        # a list of which nothing is known has a marker of kind `unknown`
+        nothing = F.struct(own["num_id"].alias("num_id"), own["level"].alias("level"), F.lit(1).alias("start"), F.lit(None).cast("string").alias("num_fmt"), F.lit(None).cast("string").alias("lvl_text"))
+        known = first_of(levels, lambda v: (v["num_id"] == own["num_id"]) & (v["level"] == own["level"]))
+        return F.when(own["num_id"].isNotNull(), _let(F.coalesce(known, nothing), lambda v: marker(own, v)))
+
+    return _let(F.struct(num_id.alias("num_id"), level.alias("level")), of_own)
 
 
 def _roman(n: Column) -> Column:
@@ -145,7 +142,10 @@ def outline_numbers(formats: DataFrame, levels: DataFrame, key: str = "doc_id")
 
     def shown(label: Column, k: int) -> Column:
         mark = first_of(F.coalesce("known", F.array()), lambda v: v["level"] == k)
-        text = _let(mark, lambda v: printed(F.greatest(F.col(f"c{k}"), F.lit(1)).cast("int") + F.coalesce(v["start"], F.lit(1)) - 1, F.coalesce(v["num_fmt"], F.lit("decimal"))))
+        pattern = F.col("listing.lvl_text")
+        # a percent sign before another may meet the number of that one
+        named = F.contains(pattern, F.lit(f"%{k + 1}")) | F.contains(pattern, F.lit("%%"))
+        text = F.when(named, _let(mark, lambda v: printed(F.greatest(F.col(f"c{k}"), F.lit(1)).cast("int") + F.coalesce(v["start"], F.lit(1)) - 1, F.coalesce(v["num_fmt"], F.lit("decimal"))))).otherwise("")
         return F.replace(label, F.lit(f"%{k + 1}"), text)
 
     return both.select(key, "idx", "level", reduce(shown, range(LEVELS), F.col("listing.lvl_text")).alias("label"))
