@@ -154,7 +154,7 @@ def package_table_format(spark: SparkSession, d: str) -> DataFrame:
     note = F.concat(F.lit("<w:p>"), run(house, say("CASE WHEN doc_id % 6 = 0 THEN '22' ELSE '18' END"), plain, F.lit("Note: as counted")), F.lit("</w:p>"))
     last = p.groupBy("doc_id").agg(F.max("idx").alias("last"))
     xml = F.concat(F.when(head, start).otherwise(""), cell, F.when(F.col("idx") == F.col("last"), F.concat(F.lit("</w:tbl>"), note)).otherwise(""))
-    t = packages.tables_of(packed(p.join(last, "doc_id").select("doc_id", "idx", xml.alias("xml"))))
+    t = packages.tables_of(packed(p.join(last, "doc_id").select("doc_id", "idx", xml.alias("xml"))), once=True)
     own = {k: packages.by_document(t[k]) for k in ("tables", "cell_runs", "paragraphs", "runs")}
     return table_rules.table_format(table_rules.measurements(own["tables"], own["cell_runs"], own["paragraphs"], own["runs"]))
 
