@@ -51,7 +51,7 @@ def package_styles(spark: SparkSession, d: str) -> DataFrame:
     style = F.coalesce(F.concat(F.lit('<w:pPr><w:pStyle w:val="'), chosen, F.lit('"/></w:pPr>')), F.lit(""))
     own = F.when((F.col("doc_id") + F.col("idx")) % 5 == 0, '<w:rPr><w:rFonts w:ascii="Georgia"/><w:sz w:val="16"/></w:rPr>').otherwise("")
     xml = F.concat(F.lit("<w:p>"), style, F.lit("<w:r>"), own, F.lit('<w:t xml:space="preserve">'), _escaped(clean("text")), F.lit("</w:t></w:r></w:p>"))
-    t = packages.tables_of(packed(manuscripts(spark, d).select("doc_id", "idx", xml.alias("xml")), _part("word/styles.xml", _sheet_xml())))
+    t = packages.tables_of(packed(manuscripts(spark, d).select("doc_id", "idx", xml.alias("xml")), _part("word/styles.xml", _sheet_xml())), once=True)
     both = t["runs"].join(t["para_format"], ["path", "idx"])
     return packages.by_document(both.select("path", "idx", "style", "outline_level", F.col("font_name").alias("font"), F.col("font_size_pt").alias("size"), F.length("text").alias("n_chars")))
 
