@@ -128,6 +128,23 @@ def opened(packages: DataFrame) -> DataFrame:
 TAGS = "tbl|tr|tc|p"
 
 
+def _pieces() -> Column:
+    """A document's XML, cut before and behind the tags of blocks."""
+    text = F.regexp_replace("document", r"(?s)<txbxContent(?: [^>]*)?>.*?</txbxContent>", "")
+    text = F.regexp_replace(text, rf"<({TAGS})((?: [^>]*?)?)/>", "<$1$2></$1>")
+    return F.split(text, rf"(?=<(?:{TAGS})[ >])|(?<=</(?:{TAGS})>)")
+
+
+def _nested(each: DataFrame) -> DataFrame:
+    """each (path, pos, xml) with the kind of block, how many tables have opened, and the depth."""
+    kind, closes = F.regexp_extract("xml", rf"^<({TAGS})[ >]", 1), F.regexp_extract("xml", rf"</({TAGS})>$", 1)
+    order = Window.partitionBy("path").orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    opened_tables = F.count(F.when(F.col("kind") == "tbl", 1)).over(order)
+    closed = F.coalesce(F.count(F.when(F.col("closes") == "tbl", 1)).over(before), F.lit(0))
+    return each.withColumns({"kind": kind, "closes": closes}).withColumns({"n_opened": opened_tables, "depth": (opened_tables - closed).cast("int")})
+
+
 def blocks(packages: DataFrame) -> DataFrame:
     """(path, pos, xml, kind, depth, table_no, row, col, para_no, look, levels): paragraphs and tables' heads, in order.
 
@@ -136,11 +153,8 @@ def blocks(packages: DataFrame) -> DataFrame:
     opening is the last one at that depth.  look: the paragraph style with what it
     inherits; levels: the package's list levels.
     """
-    text = F.regexp_replace("document", r"(?s)<txbxContent(?: [^>]*)?>.*?</txbxContent>", "")
-    text = F.regexp_replace(text, rf"<({TAGS})((?: [^>]*?)?)/>", "<$1$2></$1>")
-    pieces = F.split(text, rf"(?=<(?:{TAGS})[ >])|(?<=</(?:{TAGS})>)")
     font, size = styles.defaults(F.col("styles"))
-    sheet = packages.select("path", pieces.alias("pieces"), styles.declared(F.coalesce("styles", F.lit("<styles/>"))).alias("declared"), font.alias("font"), size.alias("size"), styles.list_levels(F.coalesce("numbering", F.lit("<numbering/>"))).alias("levels"))
+    sheet = packages.select("path", _pieces().alias("pieces"), styles.declared(F.coalesce("styles", F.lit("<styles/>"))).alias("declared"), font.alias("font"), size.alias("size"), styles.list_levels(F.coalesce("numbering", F.lit("<numbering/>"))).alias("levels"))
     sheet = sheet.select("path", "pieces", "levels", "font", "size", styles.resolved(F.col("declared"), F.col("font"), F.col("size")).alias("known"))
     plain = styles.first_of(F.col("known"), lambda s: s["by_default"] & (s["kind"] == "paragraph"))
 
@@ -151,12 +165,8 @@ def blocks(packages: DataFrame) -> DataFrame:
         return F.struct(piece.alias("xml"), F.when(piece.rlike(r"^<p[ >]"), look).alias("look"))
 
     each = sheet.select("path", "levels", "font", "size", F.posexplode(F.transform("pieces", with_style)).alias("pos", "b")).select("path", "levels", "font", "size", "pos", "b.xml", "b.look")
-    kind, closes = F.regexp_extract("xml", rf"^<({TAGS})[ >]", 1), F.regexp_extract("xml", rf"</({TAGS})>$", 1)
+    deep = _nested(each)
     order = Window.partitionBy("path").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    opened_tables = F.count(F.when(F.col("kind") == "tbl", 1)).over(order)
-    closed = F.coalesce(F.count(F.when(F.col("closes") == "tbl", 1)).over(before), F.lit(0))
-    deep = each.withColumns({"kind": kind, "closes": closes}).withColumns({"n_opened": opened_tables, "depth": (opened_tables - closed).cast("int")})
     inner = lambda *keys: Window.partitionBy("path", *keys).orderBy("pos")
     count = lambda what, *keys: (F.count(F.when(F.col("kind") == what, 1)).over(inner(*keys)) - 1).cast("int")
     inside = F.col("depth") > 0
@@ -168,8 +178,10 @@ def blocks(packages: DataFrame) -> DataFrame:
 
 
 def _paragraph_xml(packages: DataFrame) -> DataFrame:
-    """(path, idx, xml): body paragraphs outside tables."""
-    return blocks(opened(packages)).filter("kind = 'p' AND depth = 0").select("path", F.col("para_no").alias("idx"), "xml")
+    """(path, idx, xml): body paragraphs outside tables, numbered as in blocks(), which needs their place in tables and their style too."""
+    each = opened(packages).select("path", F.posexplode(_pieces()).alias("pos", "xml"))
+    body = _nested(each).filter("kind = 'p' AND depth = 0")
+    return body.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1).cast("int").alias("idx"), "xml")
 
 
 def ingest_packages(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 VALUE = r"[^\"<>&\t\r\n]*+"
 ATTRIBUTES = rf"(?:\s++[\w.:-]++=\"{VALUE}\")*+\s*+"
 #: Markup that patterns leave to XPath: comments, sections, instructions, line ends that a parser changes, and other entities than these.
-ODD = r"<[!?]|\r|&(?!(?:lt|gt|quot|apos|amp|#13|#10|#9);)"
+MARKUP = ("<!", "<?", "\r")
+OTHER_ENTITY = r"&(?!(?:lt|gt|quot|apos|amp|#13|#10|#9);)"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#13;", "\r"), ("&#10;", "\n"), ("&#9;", "\t"), ("&amp;", "&"))
 
 
@@ -57,6 +58,13 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def _odd(xml: Column) -> Column:
+    odd = F.contains(xml, F.lit("&")) & xml.rlike(OTHER_ENTITY)
+    for mark in MARKUP:
+        odd = odd | F.contains(xml, F.lit(mark))
+    return odd
+
+
 def _inner(xml: Column, tags: str) -> Column:
     found = F.array_join(F.regexp_extract_all(xml, F.lit(rf"<(?:{tags}){ATTRIBUTES}>([^<]*+)</(?:{tags})>"), F.lit(1)), "")
     return F.when(F.contains(found, F.lit("&")), unescaped(found)).otherwise(found)
@@ -70,17 +78,17 @@ def _no_plain(tags: str) -> str:
 def run_text(run: Column) -> Column:
     """The text of a run's own `t` elements."""
     plain = rf"^<r{ATTRIBUTES}>(?:<rPr{ATTRIBUTES}>(?:<[\w.-]++{ATTRIBUTES}/>)*+</rPr>)?+(?:<t{ATTRIBUTES}>[^<]*+</t>|<[\w.-]++{ATTRIBUTES}/>)*+</r>$"
-    return F.when(run.rlike(plain) & ~run.rlike(ODD), _inner(run, "t")).otherwise(F.array_join(F.xpath(run, F.lit("/r/t/text()")), ""))
+    return F.when(run.rlike(plain) & ~_odd(run), _inner(run, "t")).otherwise(F.array_join(F.xpath(run, F.lit("/r/t/text()")), ""))
 
 
 def text_of(xml: Column, *tags: str, outside: str | None = None) -> Column:
     """The text of all elements of these names, at any depth, but for what is within elements of the name `outside`."""
-    left = xml if outside is None else F.regexp_replace(xml, rf"(?s)<{outside}{ATTRIBUTES}>.*?</{outside}>", "")
+    left = xml if outside is None else F.regexp_replace(xml, rf"<{outside}{ATTRIBUTES}>[^<]*+(?:<(?!/{outside}>)[^<]*+)*+</{outside}>", "")
     names = "|".join(tags)
     within = "" if outside is None else f"[not(ancestor::{outside})]"
     parsed = F.array_join(F.xpath(xml, F.lit(" | ".join(f"//{t}{within}/text()" for t in tags))), "")
     # an end tag that is left closes an element with another of its kind in it, or one whose tag isn't plain
-    odd = xml.rlike(ODD) | xml.rlike(_no_plain(names))
+    odd = _odd(xml) | xml.rlike(_no_plain(names))
     if outside is not None:
         odd = odd | F.contains(left, F.lit(f"</{outside}"))
     return F.when(odd, parsed).otherwise(_inner(left, names))
