@@ -112,6 +112,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
                 if len(rows):
                     out = every.take(pa.array(rows)) if extra else every
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array(p[rows].astype(np.int32)), pa.array(np.full(len(rows), extra))], ["doc_id", "text", "part", "extra"])
+        textkit.release()
 
     placed = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     return placed.mapInArrow(place, "doc_id bigint, text string, part int, extra boolean")
@@ -132,12 +133,14 @@ def edited_likeness(docs: DataFrame, k: int = K, size: int = SHINGLE, parts: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the rows since the last one done; the first waits for its next
-        for batch in textkit.pieces(batches, 2 << 20):
+        for batch in textkit.pieces(batches, 1 << 20):
             held += list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "extra")), strict=True))
             yield from done(held, False)
             held = held[-1:]
         if held:
             yield from done(held, True)
+        held = []
+        textkit.release()
 
     def done(rows: list[tuple], over: bool) -> Iterator[pa.RecordBatch]:
         todo = []
