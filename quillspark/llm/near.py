@@ -1,14 +1,14 @@
 """Near copies at a Jaccard likeness of LIKENESS or more over sets of word shingles.
 
-64 bits of SimHash cannot tell a likeness of 0.8: such texts differ in about 10
-bits of 64, and pieces short enough to survive that are shared by chance.  So
-the fingerprint is longer: BANDS positional pieces, each a hash of ROWS least
-values of the shingle set.  Two texts share a piece with the chance
+What is compared are the links of a method of 64-bit fingerprints (SimHash in the
+pipeline) and, since such texts differ in about 10 bits of 64, which it cannot
+tell, those of a longer fingerprint: BANDS positional pieces, each a hash of ROWS
+least values of the shingle set.  Two texts share a piece with the chance
 likeness**ROWS, and none of 40 at 0.8 with the chance 5e-6.
 
-Pieces only say what is compared: texts that share one, and chains of them, form
-a block, and within a block links are decided by the exact likeness of the
-shingle sets.  A block of much text is cut into chunks, which some of its texts
+Both only say what is compared: texts that they link, and chains of them, form a
+block, and within a block links are decided by the exact likeness of the shingle
+sets.  A block of much text is cut into chunks, which some of its texts
 visit all; after that only texts outside the block's largest component have to
 meet every chunk, so a large group of near copies costs what its texts do.  No
 task holds more than two chunks.  What leaves a task is a spanning forest of its
@@ -20,7 +20,7 @@ start, those without words included; fewer words than a shingle make one of all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,12 +152,22 @@ def compared(members: DataFrame, size: int = SHINGLE) -> DataFrame:
     return members.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
 
 
-def links(rows: DataFrame, prints: DataFrame, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect marks exactly as the links among texts that share a piece, or a chain of them, do."""
+def bit_links(rows: DataFrame, linked_bits: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) among the marks of rows (mark, bits) whose bits are equal or linked by linked_bits(table of distinct bits)."""
+    held = materialise(rows.select("mark", "bits").distinct(), "near-bits")
+    least = materialise(held.groupBy("bits").agg(F.min("mark").alias("least")), "near-bit-marks")
+    same = held.join(least, "bits").filter("mark <> least").select(F.col("mark").alias("a"), F.col("least").alias("b"))
+    ends = [least.select(F.col("bits").alias(x), F.col("least").alias(f"{x}_mark")) for x in ("a", "b")]
+    over = linked_bits(least.select("bits")).join(ends[0], "a").join(ends[1], "b").select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"))
+    return same.union(over)
+
+
+def links(rows: DataFrame, prints: DataFrame, size: int = SHINGLE, chunk: int = CHUNK, more: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) that connect marks exactly as the links among texts that share a piece or an edge of `more`, or a chain of them, do."""
     each = prints.select("mark", F.explode("pieces").alias("piece"))
     least = each.groupBy("piece").agg(F.min("mark").alias("least"), F.count("*").alias("n")).filter("n > 1")
     star = each.join(least, "piece").filter("mark <> least").select(F.col("mark").alias("a"), F.col("least").alias("b"))
-    blocks = components(star, "near-blocks").withColumnRenamed("node", "mark")
+    blocks = components(star if more is None else star.union(more), "near-blocks").withColumnRenamed("node", "mark")
     known = materialise(prints.select("mark", "row", "bytes").join(blocks, "mark"), "near-members")
     texts = Sieve(known, "mark").passed(rows.select("row", "mark", "text"), "mark")
     cut = materialise(known.groupBy("root").agg(F.greatest(F.ceil(F.sum("bytes") / chunk), F.lit(1)).cast("int").alias("parts"), F.count("*").alias("n")), "near-cuts")
@@ -181,15 +191,20 @@ def links(rows: DataFrame, prints: DataFrame, size: int = SHINGLE, chunk: int =
     return found.union(meet(asks.union(told).distinct()))
 
 
-def least_of_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id): of each component of near copies the least id; null ids are passed over."""
+def least_of_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE, chunk: int = CHUNK, bits: tuple[Callable, Callable] | None = None) -> DataFrame:
+    """(doc_id): of each component of near copies the least id; null ids are passed over.
+
+    bits: a method's fingerprints(docs, name), which adds a struct with the field `bits`, and its links(table of bits), edges (a, b) among those.
+    """
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = attach(base, "near", "struct<mark:bigint,pieces:array<bigint>>", lambda buf, off: entries(buf, off, size))
+    if bits:
+        found = bits[0](found, "coarse")
     with scratch(docs.sparkSession):
-        rows = materialise(found.select("row", "doc_id", "text", "near.mark", "near.pieces"), "near")
+        rows = materialise(found.select("row", "doc_id", "text", "near.mark", "near.pieces", *(["coarse.bits"] if bits else [])), "near")
         # equal sets have equal pieces; the text is that of one of them
         one = rows.groupBy("mark").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("pieces").alias("pieces"), F.max(F.octet_length("text")).alias("bytes"))
         prints = materialise(one, "near-prints")
-        whole = components(links(rows, prints, size, chunk), "near-links").withColumnRenamed("node", "mark")
+        whole = components(links(rows, prints, size, chunk, bit_links(rows, bits[1]) if bits else None), "near-links").withColumnRenamed("node", "mark")
         rooted = prints.select("mark", "least").join(whole, "mark", "left")
         return kept(rooted.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("least").alias("doc_id")).select("doc_id"), "near-least")

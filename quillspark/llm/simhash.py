@@ -172,7 +172,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near copies (see near) the document with the least id stays; its repeated rows become one."""
-    keep = near.least_of_components(docs.filter("doc_id is not null")).distinct()
+    """Pipeline stage: of each component of near copies the document with the least id stays; its repeated rows become one.
+
+    The links of the fingerprints' lists are compared exactly, along with those that near adds beyond BITS bits.
+    """
+    keep = near.least_of_components(docs.filter("doc_id is not null"), bits=(fingerprints, links)).distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])
