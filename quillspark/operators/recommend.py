@@ -26,10 +26,17 @@ DOMAINS = {
 CATALOGUE_ROWS = 20_000
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 for a vector without length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    norm = length(a) * length(b)
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
@@ -62,8 +69,15 @@ def top_journals(pairs: DataFrame, k: int = 3) -> DataFrame:
 
 def topic_hits(text: Column, terms: Column) -> Column:
     """JN-22: the terms of which the phrase, or a word of four letters or more, stands in the lower-cased text."""
-    found = lambda t: F.contains(text, F.trim(F.lower(t))) | F.exists(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: F.contains(text, w))
-    return F.filter(terms, lambda t: (F.trim(t) != "") & found(t))
+    return F.filter(terms, lambda t: (F.trim(t) != "") & stands(text, F.trim(F.lower(t)), topic_words(t)))
+
+
+def topic_words(term: Column) -> Column:
+    return F.regexp_extract_all(F.lower(term), F.lit("[a-z]{4,}"), F.lit(0))
+
+
+def stands(text: Column, phrase: Column, words: Column) -> Column:
+    return F.contains(text, phrase) | F.exists(words, lambda w: F.contains(text, w))
 
 
 def prescreen(score: Column, hits: Column) -> Column:
@@ -79,21 +93,25 @@ def candidate_pool(docs: DataFrame, journals: DataFrame, pool: int = 40) -> Data
     a larger one is dealt in blocks, each of which keeps its best.  A document
     without a vector scores 0 with every journal.
     """
-    own = F.struct("cid", "name", "embedding", F.concat("subject_areas", "topics").alias("terms"))
+    terms = F.transform(F.filter(F.concat("subject_areas", "topics"), lambda t: F.trim(t) != ""), lambda t: F.struct(F.trim(F.lower(t)).alias("phrase"), topic_words(t).alias("words")))
+    own = F.struct("cid", "name", "embedding", length(F.col("embedding")).alias("length"), terms.alias("terms"))
     small = journals.select("cid").limit(CATALOGUE_ROWS + 1).count() <= CATALOGUE_ROWS
     parts = 1 if small else 64
     blocks = journals.groupBy(F.pmod(F.xxhash64("cid"), F.lit(parts)).alias("block")).agg(F.collect_list(own).alias("js"))
-    lowered = docs.select("doc_id", "vector", F.lower("text").alias("lowered"))
+    lowered = docs.select("doc_id", "vector", length(F.col("vector")).alias("length"), F.lower("text").alias("lowered"))
     dealt = lowered.withColumn("block", F.lit(0)) if small else lowered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     met = dealt.join(F.broadcast(blocks) if small else blocks, "block")
     order = lambda rows: F.slice(F.array_sort(rows, lambda x, y: _by(x, y)), 1, pool)
 
-    def judged(j: Column) -> Column:
-        score = F.coalesce(cosine(F.col("vector"), j["embedding"]), F.lit(0.0))
-        hits = F.size(topic_hits(F.col("lowered"), j["terms"])).cast("double")
-        return F.struct(j["cid"].alias("cid"), j["name"].alias("name"), score.alias("score"), prescreen(score, hits).alias("prescreen"))
+    # each in a transform of its own, so that neither is worked out again where the other is used
+    def measured(j: Column) -> Column:
+        norm = F.col("length") * j["length"]
+        score = F.coalesce(F.when(norm > 0, dot(F.col("vector"), j["embedding"]) / norm).otherwise(0.0), F.lit(0.0))
+        hits = F.size(F.filter(j["terms"], lambda t: stands(F.col("lowered"), t["phrase"], t["words"]))).cast("double")
+        return F.struct(j["cid"].alias("cid"), j["name"].alias("name"), score.alias("score"), hits.alias("hits"))
 
-    best = met.select("doc_id", order(F.transform("js", judged)).alias("best"))
+    judged = lambda m: F.struct(m["cid"].alias("cid"), m["name"].alias("name"), m["score"].alias("score"), prescreen(m["score"], m["hits"]).alias("prescreen"))
+    best = met.select("doc_id", order(F.transform(F.transform("js", measured), judged)).alias("best"))
     if not small:
         best = best.groupBy("doc_id").agg(order(F.flatten(F.collect_list("best"))).alias("best"))
     return best.select("doc_id", F.posexplode("best").alias("place", "b")).select("doc_id", "b.cid", "b.name", "b.score", "b.prescreen", (F.col("place") + 1).alias("place"))
@@ -112,8 +130,15 @@ def normal_name(name: Column) -> Column:
 
 def names_match(a: Column, b: Column) -> Column:
     """Equal normalised names, containment over 0.92 of the length, or a Dice over 0.9 of two shared words or more."""
-    na, nb = normal_name(a), normal_name(b)
-    ta, tb = F.array_distinct(F.split(na, " ")), F.array_distinct(F.split(nb, " "))
+    return normal_match(*[x for n in (normal_name(a), normal_name(b)) for x in (n, name_words(n))])
+
+
+def name_words(normal: Column) -> Column:
+    return F.array_distinct(F.split(normal, " "))
+
+
+def normal_match(na: Column, ta: Column, nb: Column, tb: Column) -> Column:
+    """names_match() of two normalised names with their words."""
     shared = F.size(F.array_intersect(ta, tb))
     inside = (F.contains(na, nb) | F.contains(nb, na)) & (F.least(F.length(na), F.length(nb)) / F.greatest(F.length(na), F.length(nb)) > 0.92)
     dice = (shared >= 2) & (shared * 2.0 / (F.size(ta) + F.size(tb)) > 0.9)
@@ -121,15 +146,18 @@ def names_match(a: Column, b: Column) -> Column:
 
 
 def gate_picks(picks: DataFrame, candidates: DataFrame) -> DataFrame:
-    """JN-23: (doc_id, cid, name, fit): external picks (doc_id, pick_no, journal_id, journal_name, fit) that name a candidate: by id and name, else by a strong name match; blended with the prescreen."""
-    c = candidates.select("doc_id", "cid", "name", "score", "prescreen", "place")
-    by_id = picks.join(c, (picks["doc_id"] == c["doc_id"]) & (picks["journal_id"] == c["cid"])).filter(names_match(F.col("journal_name"), F.col("name"))).select(picks["doc_id"], "pick_no", "cid", "name", "score", "prescreen", "place", picks["fit"].alias("external"), F.lit(0).alias("how"))
-    word = lambda n: F.explode(F.array_distinct(F.split(normal_name(n), " ")))
-    left = picks.select("doc_id", "pick_no", "journal_name", "fit", word(F.col("journal_name")).alias("word"))
-    right = c.withColumn("word", word(F.col("name")))
-    fuzzy = left.join(right, ["doc_id", "word"]).filter(names_match(F.col("journal_name"), F.col("name"))).select("doc_id", "pick_no", "cid", "name", "score", "prescreen", "place", F.col("fit").alias("external"), F.lit(1).alias("how"))
+    """JN-23: (doc_id, cid, name, fit): external picks (doc_id, pick_no, journal_id, journal_name, fit) that name a candidate: by id and name, else by a strong name match; blended with the prescreen.
+
+    A document's picks meet its candidates, which are a pool's; names are normalised before, once each.
+    """
+    normal = lambda df, c, n: df.withColumn(f"n{n}", normal_name(F.col(c))).withColumn(f"t{n}", name_words(F.col(f"n{n}")))
+    left = normal(picks.select("doc_id", "pick_no", "journal_id", "journal_name", F.col("fit").alias("external")), "journal_name", "a")
+    right = normal(candidates.select("doc_id", "cid", "name", "score", "prescreen", "place"), "name", "b")
+    same = F.coalesce(F.col("journal_id") == F.col("cid"), F.lit(False))
+    match = (same | F.arrays_overlap("ta", "tb")) & normal_match(F.col("na"), F.col("ta"), F.col("nb"), F.col("tb"))
+    both = left.join(right, "doc_id").filter(match).withColumn("how", F.when(same, 0).otherwise(1))
     first = Window.partitionBy("doc_id", "pick_no").orderBy("how", "place")
-    found = by_id.union(fuzzy).withColumn("k", F.row_number().over(first)).filter("k = 1")
+    found = both.withColumn("k", F.row_number().over(first)).filter("k = 1")
     once = Window.partitionBy("doc_id", "cid").orderBy("pick_no")
     kept = found.withColumn("k", F.row_number().over(once)).filter("k = 1")
     fit = F.when((F.col("score") < 0.2) & (F.col("prescreen") < 40), F.col("external") * 0.8).otherwise(F.col("external") * 0.45 + F.col("prescreen") * 0.55)

@@ -1,8 +1,11 @@
 """What keeps queries in step with their input: work that isn't done twice, or once a group or key."""
 
 import random
+import re
 
-from quillspark.operators import guards
+from pyspark.sql import functions as F
+
+from quillspark.operators import guards, recommend
 
 
 def plan(df):
@@ -28,3 +31,25 @@ def test_entries_match_without_a_group_each(spark):
                 right.add(j)
                 want.add((d, i, j))
     assert {tuple(x) for x in found.collect()} == want
+
+
+def test_picks_meet_candidates_once(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["Journal", "Letters", "Annals", "heat", "water", "the", "&"])
+    name = lambda: " ".join(word() for _ in range(rng.randint(0, 4)))
+    picks = [(d, k, rng.choice([None, *range(6)]), name(), 90.0 - k) for d in range(30) for k in range(1, 5)]
+    pool = [(d, c, name(), rng.random(), 100 * rng.random(), c + 1) for d in range(30) for c in range(6)]
+    left = spark.createDataFrame(picks, "doc_id bigint, pick_no int, journal_id bigint, journal_name string, fit double")
+    right = spark.createDataFrame(pool, "doc_id bigint, cid bigint, name string, score double, prescreen double, place int")
+    gated = recommend.gate_picks(left, right)
+    assert len(re.findall(r"Join|CartesianProduct", gated._jdf.queryExecution().optimizedPlan().toString())) == 1
+    names = spark.createDataFrame([(a, b) for a in {x[3] for x in picks} for b in {x[2] for x in pool}], "a string, b string")
+    match = {(r.a, r.b) for r in names.filter(recommend.names_match(F.col("a"), F.col("b"))).collect()}
+    want, taken = set(), set()
+    for d, _, j, n, _ in picks:
+        if fit := sorted((c != j, place, c, m) for e, c, m, _, _, place in pool if e == d and (n, m) in match):
+            _, _, c, m = fit[0]
+            if (d, c) not in taken:
+                taken.add((d, c))
+                want.add((d, c, m))
+    assert {tuple(x)[:3] for x in gated.collect()} == want
