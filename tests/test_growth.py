@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import guards, recommend
+from quillspark.operators import guards, recommend, references
 
 
 def plan(df):
@@ -60,3 +60,19 @@ def test_locants_are_compared_once(spark):
     found = guards.invented_locants(spark.createDataFrame(rows, "doc_id bigint, idx int, original string, edited string"))
     assert len(re.findall(r"EvalPython", found._jdf.queryExecution().optimizedPlan().toString())) == 1
     assert {r.idx: r.restored for r in found.collect()} == {0: "DTDA and 1,3-BPDA", 1: "of DTDA and  DTDA", 2: "BPDA, 1,3-BPDA"}
+
+
+def test_dois_read_entries_once(spark):
+    refs = spark.createDataFrame([(1, 1, "Smith AB. Growth of things in water. J Test. 2019."), (1, 2, "Jones CD. Growth of things, a review of water. 2020."), (1, 3, "Moss. Growth of things in water. 10.1000/x")], "doc_id bigint, ref_no int, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    works = spark.createDataFrame([("a", "Growth of things in water", ""), ("0b", "Growth of things, a review of water", "Review-Article")], "doi string, title string, type string")
+    second = spark.createDataFrame([("c", "Growth of things in water")], "doi string, title string")
+    found = references.fill_dois(refs.mapInPandas(seen, refs.schema), works, second).collect()
+    assert {(r.ref_no, r.doi, r.source) for r in found} == {(1, "a", "works"), (2, "0b", "works")}
+    assert read.value == 3
