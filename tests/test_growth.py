@@ -84,3 +84,32 @@ def test_equal_cells_make_no_pairs(spark):
     found = guards.cell_edits(table)
     assert len(re.findall(r"Join", found._jdf.queryExecution().optimizedPlan().toString())) == 1
     assert {(r.table_no, r.row, r.reason) for r in found.collect()} == {(1, 50, "another cell's text")}
+
+
+def broadcast_scans(df):
+    """How many tables of files the plan broadcasts, before it runs."""
+    node = df._jdf.queryExecution().executedPlan()
+    node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+
+    def scans(x, inside):
+        inside = inside or x.nodeName() == "BroadcastExchange"
+        below = x.children()
+        return (inside and x.nodeName().startswith("Scan parquet")) + sum(scans(below.apply(k), inside) for k in range(below.size()))
+
+    return scans(node, False)
+
+
+def test_repeating_entries_are_no_small_table(spark):
+    title = "Growth of things in water and of stones in heat"
+    refs = spark.range(4000).select((F.col("id") % 800).alias("doc_id"), (F.col("id") / 800).cast("int").alias("ref_no"), F.lit(f"Smith AB. {title}. J Test. 2019. {'and more ' * 20}").alias("text"))
+    works = spark.createDataFrame([("a", title)], "doi string, title string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        found = references.fill_dois(refs, works)
+        assert broadcast_scans(found) == 0
+        second = spark.createDataFrame([("b", "Moss of the north and what it grows on")], "doi string, title string")
+        assert broadcast_scans(references.fill_dois(refs, works, second)) == 0
+        assert found.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
