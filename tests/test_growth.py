@@ -121,7 +121,7 @@ def test_repeating_lists_are_no_small_table(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
     try:
-        for found in (guards.entry_moves(r),):
+        for found in (guards.entry_moves(r), guards.references_lost(r)):
             assert broadcast_scans(found) == 0
             assert found.count() == 0
     finally:
