@@ -1,6 +1,7 @@
 """Live operations from streams to tables."""
 
 import datetime
+import random
 
 from quillspark.plans import jobs
 from quillspark.sources import sinks
@@ -47,3 +48,28 @@ def test_upserts_keep_the_latest(spark, tmp_path):
     write(rows(), 2)
     assert {(r.k, r.v, r.s) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, 2, "c"), (2, 5, "b"), (3, 1, "d")}
     assert streams is not None
+
+
+def test_stalled_jobs_share_state(spark, tmp_path):
+    rng = random.Random(3)
+    jobs_of = [None, 2**60 + 1, *range(40)]
+    schema = "job_id bigint, ts timestamp"
+    batches = [[(job, at(0) + datetime.timedelta(minutes=10 * k, seconds=rng.randrange(900), milliseconds=k)) for job in rng.choices(jobs_of, k=30) for _ in range(2)] for k in range(8)]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    want, held, mark, before = [], {}, datetime.datetime(1970, 1, 1), datetime.datetime(1970, 1, 1)
+    for rows in [*batches, []]:
+        for job, ts in rows:
+            if ts > before:  # rows are late by the watermark of the batch before
+                held[job] = max(ts, held.get(job, ts))
+        gone = [job for job, ts in held.items() if ts + datetime.timedelta(minutes=15) <= mark]
+        want += [(job, held.pop(job)) for job in gone]
+        before, mark = mark, max([mark, *[ts - datetime.timedelta(minutes=1) for _, ts in rows]])
+    beats = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = streams.stalled(beats, 15, buckets=3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 20 and {None, 2**60 + 1} & {job for job, _ in want}
+    # a value and a timer for each bucket, not for each job
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 4 * 3
