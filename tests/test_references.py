@@ -83,3 +83,19 @@ def test_filled_dois(spark, tables):
 def test_gaps(spark, text, title, chapter):
     row = spark.createDataFrame([(text,)], "t string").select(references.lacks_title(F.col("t")), references.lacks_chapter_pages(F.col("t"))).first()
     assert tuple(row) == (title, chapter)
+
+
+def test_article_tables(spark):
+    one = ["", "1. Of mosses", "Ann Able1*, Bob Baker2 and Cy Cole", "Moss Institute, Leiden", "Abstract", "So it is [1].", "", "Key words: moss; stone, Heat.", "1 First Part", "As [1, 3–9] and [0007] say [12345678901234567890].", "2.1 Second Part", "Figure 3. What was seen [2]", "Table 2 shows it", "Tab. 4: Of heat", "Keywords: other", "References", "[1] Moss A. One. 2001.", "and more", "[2] Moss A. Two. 2002.", "", "3. Three and More"]
+    two = ["Title", "Ann Able", "Moss University", "Text [1]", "Bibliography", "Moss A. One. 2001."]
+    three = ["Title", "Two Words", "Text [1]"]
+    p = spark.createDataFrame([(d, i, t) for d, texts in enumerate((one, two, three)) for i, t in enumerate(texts)], "doc_id int, idx int, text string")
+    got = {(r.doc_id, r.idx): r for r in references.article_tables(p).collect()}
+    assert len(got) == p.count()
+    kinds = lambda d: [r.kind for (e, _), r in sorted(got.items()) if e == d]
+    assert kinds(0) == ["text", "title", "byline", "affiliation", "heading", "abstract", "text", "keywords", "heading", "text", "heading", "caption", "text", "caption", "text", "heading", "reference", "reference", "reference", "reference", "reference"]
+    assert kinds(1) == ["title", "byline", "affiliation", "text", "heading", "reference"] and kinds(2) == ["title", "text", "text"]
+    assert got[0, 2]["items"] == ["Ann Able", "Bob Baker", "Cy Cole"] and got[0, 7]["items"] == ["moss", "stone", "Heat"]
+    assert [(got[0, i].label, got[0, i].depth, got[0, i].content) for i in (4, 8, 10, 11, 13)] == [(None, 1, "Abstract"), ("1", 1, "First Part"), ("2.1", 2, "Second Part"), ("Figure 3", None, "What was seen [2]"), ("Tab. 4", None, "Of heat")]
+    assert (got[0, 9].section, got[0, 9].heading, got[0, 13].heading, got[0, 0].section) == (2, "1 First Part", "2.1 Second Part", 0)
+    assert got[0, 9].xrefs == [1, 3] and got[0, 11].xrefs == [2] and got[0, 5].xrefs is None and got[1, 3].xrefs == [1] and got[2, 2].xrefs == []
