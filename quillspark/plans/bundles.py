@@ -67,7 +67,8 @@ def package_cells(spark: SparkSession, d: str) -> DataFrame:
     nested = F.concat(F.lit("<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in "), F.col("idx").cast("string"), F.lit("</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>"), para(F.lit("after")))
     xml = F.concat(when(F.col("idx") % 6 == 0, "<w:p/><w:tbl>"), when(F.col("idx") % 3 == 0, "<w:tr>"), F.lit("<w:tc>"), para(text), when(F.col("idx") % 3 == 1, nested), F.lit("</w:tc>"), when((F.col("idx") % 3 == 2) | last, "</w:tr>"), when((F.col("idx") % 6 == 5) | last, "</w:tbl>"))
     t = packages.tables_of(packed(p.join(ends, "doc_id").select("doc_id", "idx", xml.alias("xml"))), once=True)
-    both = t["cells"].join(t["tables"].select("path", "table_no", "after_idx"), ["path", "table_no"])
+    # merged: the tables' rows look few by the size of the blocks' files, and would be broadcast
+    both = t["cells"].join(t["tables"].select("path", "table_no", "after_idx").hint("merge"), ["path", "table_no"])
     return packages.by_document(both.select("path", "table_no", "depth", "row", "col", "text", "after_idx"))
 
 

@@ -11,11 +11,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import styles, xml
 from .pictures import header
@@ -135,14 +137,74 @@ def _pieces() -> Column:
     return F.split(text, rf"(?=<(?:{TAGS})[ >])|(?<=</(?:{TAGS})>)")
 
 
-def _nested(each: DataFrame) -> DataFrame:
-    """each (path, pos, xml) with the kind of block, how many tables have opened, and the depth."""
-    kind, closes = F.regexp_extract("xml", rf"^<({TAGS})[ >]", 1), F.regexp_extract("xml", rf"</({TAGS})>$", 1)
-    order = Window.partitionBy("path").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    opened_tables = F.count(F.when(F.col("kind") == "tbl", 1)).over(order)
-    closed = F.coalesce(F.count(F.when(F.col("closes") == "tbl", 1)).over(before), F.lit(0))
-    return each.withColumns({"kind": kind, "closes": closes}).withColumns({"n_opened": opened_tables, "depth": (opened_tables - closed).cast("int")})
+#: What a block's place is made of, beside its kind.
+PLACE = ("n_opened", "depth", "table_no", "row", "col", "para_no", "n_body")
+BLOCKS = {"tbl": "t", "tr": "r", "tc": "c", "p": "p"}
+
+
+def _codes(pieces: Column) -> Column:
+    """A letter for each piece: the kind of block that it opens, or a dash; in upper case if it closes a table."""
+    opens = lambda x, tag: F.startswith(x, F.lit(f"<{tag}>")) | F.startswith(x, F.lit(f"<{tag} "))
+    kind = lambda x: F.coalesce(*[F.when(opens(x, tag), F.lit(letter)) for tag, letter in BLOCKS.items()], F.lit("-"))
+    return F.array_join(F.transform(pieces, lambda x: F.when(F.endswith(x, F.lit("</tbl>")), F.replace(F.upper(kind(x)), F.lit("-"), F.lit("_"))).otherwise(kind(x))), "")
+
+
+def _places(codes: str) -> list[int]:
+    """PLACE of each piece, one after the other: counters that run over a package's pieces; those of a table go on behind what is nested in it.  Outside tables, table, row and cell mean nothing; pieces that open no block have zeros."""
+    out, n_opened, closed, n_body = [], 0, 0, 0
+    last: dict[int, int] = {}  # by depth, the table that opened last
+    inner: dict[int, list[int]] = {}  # of each table, the row, the cell in it, and the paragraphs in that
+    none = (0,) * len(PLACE)
+    for code in codes:
+        if code == "-" or code == "_":
+            closed += code == "_"
+            out += none
+            continue
+        kind = code.lower()
+        n_opened += kind == "t"
+        depth = n_opened - closed
+        closed += code != kind
+        if depth > 0:
+            if kind == "t":
+                last[depth] = n_opened - 1
+                inner[n_opened - 1] = [-1, -1, 0]
+            table = last[depth]
+            now = inner[table]
+            if kind == "p":
+                now[2] += 1
+            elif kind == "c":
+                now[1:] = now[1] + 1, 0
+            elif kind == "r":
+                now[:] = now[0] + 1, -1, 0
+            out += (n_opened, depth, table, now[0], now[1], now[2] - 1, n_body)
+        else:
+            n_body += kind == "p"
+            out += (n_opened, depth, -1, -1, -1, n_body - 1, n_body)
+    return out
+
+
+# not deterministic, so that nothing works it out again
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def places(codes: pd.Series) -> pd.Series:
+    """_places() of packages."""
+    return pd.Series([None if x is None else np.array(_places(x), dtype=np.int32) for x in codes], dtype=object)
+
+
+places = places.asNondeterministic()
+
+
+def _placed(packages: DataFrame, piece: Callable[[Column], Column]) -> DataFrame:
+    """packages (path, pieces, others) as rows (others, pos, b, kind and PLACE) of their paragraphs and tables' heads; b: piece() of a piece.
+
+    A package's pieces are one row, so their places need neither a shuffle nor a sort.
+    """
+    at = packages.withColumn("codes", _codes(F.col("pieces"))).withColumn("place", places("codes"))
+    others = [c for c in packages.columns if c != "pieces"]
+    kind = F.lower(F.substr("codes", F.col("pos") + 1, F.lit(1)))
+    some = at.select(*others, "codes", "place", F.posexplode(F.transform("pieces", piece)).alias("pos", "b")).withColumn("code", kind).filter("code IN ('p', 't')")
+    of = {c: F.get("place", F.col("pos") * len(PLACE) + k) for k, c in enumerate(PLACE)}
+    inside = {c: F.when(of["depth"] > 0, x) if c in ("table_no", "row", "col") else x for c, x in of.items()}
+    return some.select(*others, "pos", "b", F.when(F.col("code") == "p", "p").otherwise("tbl").alias("kind"), *[x.alias(c) for c, x in inside.items()])
 
 
 def blocks(packages: DataFrame) -> DataFrame:
@@ -164,24 +226,14 @@ def blocks(packages: DataFrame) -> DataFrame:
         look = xml.let(xml.let(F.regexp_extract(piece, r"<pStyle [^>]*/>", 0), named), wanted)
         return F.struct(piece.alias("xml"), F.when(piece.rlike(r"^<p[ >]"), look).alias("look"))
 
-    each = sheet.select("path", "levels", "font", "size", F.posexplode(F.transform("pieces", with_style)).alias("pos", "b")).select("path", "levels", "font", "size", "pos", "b.xml", "b.look")
-    deep = _nested(each)
-    order = Window.partitionBy("path").orderBy("pos")
-    inner = lambda *keys: Window.partitionBy("path", *keys).orderBy("pos")
-    count = lambda what, *keys: (F.count(F.when(F.col("kind") == what, 1)).over(inner(*keys)) - 1).cast("int")
-    inside = F.col("depth") > 0
-    deep = deep.withColumn("table_no", F.when(inside, F.max(F.when(F.col("kind") == "tbl", F.col("n_opened") - 1)).over(inner("depth"))).cast("int"))
-    deep = deep.withColumn("row", F.when(inside, count("tr", "table_no")))
-    deep = deep.withColumn("col", F.when(inside, count("tc", "table_no", "row")))
-    deep = deep.withColumn("para_no", count("p", "table_no", "row", "col"))
-    return deep.withColumn("n_body", F.count(F.when((F.col("kind") == "p") & ~inside, 1)).over(order)).filter("kind IN ('p', 'tbl')")
+    deep = _placed(sheet, with_style)
+    return deep.select("path", "levels", "font", "size", "pos", "b.xml", "b.look", *[c for c in deep.columns if c not in ("path", "levels", "font", "size", "known", "pos", "b")])
 
 
 def _paragraph_xml(packages: DataFrame) -> DataFrame:
     """(path, idx, xml): body paragraphs outside tables, numbered as in blocks(), which needs their place in tables and their style too."""
-    each = opened(packages).select("path", F.posexplode(_pieces()).alias("pos", "xml"))
-    body = _nested(each).filter("kind = 'p' AND depth = 0")
-    return body.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1).cast("int").alias("idx"), "xml")
+    body = _placed(opened(packages).select("path", _pieces().alias("pieces")), lambda x: x).filter("kind = 'p' AND depth = 0")
+    return body.select("path", F.col("para_no").alias("idx"), F.col("b").alias("xml"))
 
 
 def ingest_packages(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -215,9 +267,9 @@ def tables_of(packages: DataFrame, once: bool = False) -> dict[str, DataFrame]:
     a caller that reads several of the results; else each of them unzips again.
     """
     whole = opened(packages)
-    whole = written(whole, "packages") if once else whole
+    whole = written(whole, "packages", "zstd") if once else whole
     block = blocks(whole)
-    block = written(block, "blocks") if once else block
+    block = written(block, "blocks", "zstd") if once else block
     para = block.filter("kind = 'p' AND depth = 0").withColumn("idx", F.col("para_no"))
     runs = runs_of(para, "idx")
     some = lambda p: styles.at(F.col("xml"), p)
@@ -236,7 +288,8 @@ def tables_of(packages: DataFrame, once: bool = False) -> dict[str, DataFrame]:
     place = ["table_no", "row", "col", "para_no"]
     in_cells = block.filter("kind = 'p' AND depth > 0")
     cell_runs = runs_of(in_cells, *place)
-    texts = in_cells.select("path", "depth", *place, xml.text_of(F.col("xml"), "t").alias("text")).groupBy("path", "table_no", "depth", "row", "col")
+    # dealt by table, so that what tells of tables meets their cells where they are
+    texts = in_cells.select("path", "depth", *place, xml.text_of(F.col("xml"), "t").alias("text")).repartition("path", "table_no").groupBy("path", "table_no", "depth", "row", "col")
     cells = texts.agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda x: x["text"]), "\n"), r"^\s+|\s+$", "").alias("text"))
     heads = block.filter("kind = 'tbl'").withColumn("xml", F.concat("xml", F.lit("</tbl>")))
     border = "/tbl/tblPr/tblBorders/*[self::top or self::left or self::bottom or self::right or self::insideH or self::insideV]"

@@ -17,14 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found or f"{tempfile.gettempdir()}/quillspark-checkpoints"
 
 
-def written(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None, plain: bool = False) -> DataFrame:
     """df, written as a Parquet table of the shared folder and read again.
 
     plain: neither compressed nor with dictionaries.  A join broadcasts what its files
     make look small, and texts that repeat take a hundredth of their size there.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "none", "parquet.enable.dictionary": "false"} if plain else {})).parquet(path)
+    options = {"compression": "none", "parquet.enable.dictionary": "false"} if plain else {"compression": compression} if compression else {}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

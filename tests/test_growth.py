@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillspark.operators import guards, recommend, references
+from quillspark.sources import packages
 
 
 def plan(df):
@@ -126,3 +127,33 @@ def test_repeating_lists_are_no_small_table(spark):
             assert found.count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blocks_are_placed_without_a_shuffle(spark):
+    xml = "<document><body><p><r><t>a</t></r></p><tbl><tr><tc><p/></tc></tr></tbl><p/></body></document>"
+    rows = [(f"a{k}.docx", xml, None, None) for k in range(9)]
+    found = packages.blocks(spark.createDataFrame(rows, "path string, document string, styles string, numbering string"))
+    assert not re.search("Exchange|Window|Sort", plan(found))
+    got = [(r.kind, r.depth, r.table_no, r.row, r.col, r.para_no, r.n_body) for r in found.filter("path = 'a3.docx'").orderBy("pos").collect()]
+    assert got == [("p", 0, None, None, None, 0, 1), ("tbl", 1, 0, -1, -1, -1, 1), ("p", 1, 0, 0, 0, 0, 1), ("p", 0, None, None, None, 1, 2)]
+
+
+def test_places_by_definition():
+    rng = random.Random(11)
+    for _ in range(300):
+        codes = "".join(rng.choice("trcp-_PPTp") for _ in range(rng.randint(0, 40)))
+        got = [tuple(x) for x in zip(*[iter(packages._places(codes))] * 7, strict=True)]
+        seen = []  # of each piece: kind, and the table, row, cell and depth it stands in
+        for k, code in enumerate(codes):
+            n_opened = sum(x in "tT" for x in codes[: k + 1])
+            depth = n_opened - sum(x.isupper() or x == "_" for x in codes[:k])
+            seen.append({"kind": code.lower(), "depth": depth, "opened": n_opened})
+            now = seen[-1]
+            now["table"] = max((x["opened"] - 1 for x in seen if x["kind"] == "t" and x["depth"] == depth), default=None) if depth > 0 else None
+            for what, kind, keys in (("row", "r", ["table"]), ("col", "c", ["table", "row"])):
+                now[what] = sum(x["kind"] == kind and all(x[y] == now[y] for y in keys) for x in seen) - 1 if depth > 0 else None
+            para = sum(x["kind"] == "p" and all(x[y] == now[y] for y in ("table", "row", "col")) for x in seen) - 1
+            body = sum(x["kind"] == "p" and x["depth"] <= 0 for x in seen)
+            if code.lower() in "pt":
+                want = (n_opened, depth, now["table"], now["row"], now["col"], para, body)
+                assert got[k] == want if depth > 0 else got[k][:2] + got[k][5:] == want[:2] + want[5:]
