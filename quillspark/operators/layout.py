@@ -52,6 +52,21 @@ def dominant(runs: DataFrame, keys: Sequence[str] = PARAGRAPH) -> DataFrame:
     return top(fonts, "font_name", "font").join(top(sizes, "font_size_pt", "size"), [*keys], "full_outer")
 
 
+def looks(runs: DataFrame, keys: Sequence[str] = PARAGRAPH) -> DataFrame:
+    """(keys, font, size, bold, weights): dominant() and the bold of weight() of runs with visible text in one pass, and how many weights they have."""
+    per = runs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("font_name").alias("font"), F.col("font_size_pt").alias("size"), F.length("text").cast("bigint").alias("n"))).alias("rs"), F.collect_set("bold").alias("set"), F.count("bold").alias("told"), F.count("*").alias("all"))
+
+    def top(c: str) -> Column:
+        total = lambda v: F.aggregate(F.filter("rs", lambda r: r[c] == v), F.lit(0).cast("bigint"), lambda a, r: a + r["n"])
+        values = F.array_compact(F.array_distinct(F.transform("rs", lambda r: r[c])))
+        return F.when(F.size(values) > 1, F.array_min(F.transform(values, lambda v: F.struct((-total(v)).alias("n"), v.alias("v"))))["v"]).otherwise(F.get(values, F.lit(0)))
+
+    false = F.array_contains("set", False) | (F.col("told") < F.col("all"))
+    bold = F.when(F.col("told") > 0, ~false)
+    weights = F.array_contains("set", True).cast("int") + false.cast("int")
+    return per.select(*keys, top("font").alias("font"), top("size").alias("size"), bold.alias("bold"), weights.cast("bigint").alias("weights"))
+
+
 def weight(runs: DataFrame, keys: Sequence[str] = PARAGRAPH) -> DataFrame:
     """AG-18: (keys, bold, italic) of visible text: null where no run states it, else true only if every run is."""
     some = runs.filter("trim(text) <> ''")

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .layout import dominant, weight
+from ..sources.sinks import written
+from .layout import looks
 
 ANY = "any"
 # The house's table specification, as (scope, attribute, least, most, word, rule, severity); points and inches.
@@ -52,19 +53,18 @@ def measurements(tables: DataFrame, cell_runs: DataFrame, p: DataFrame, runs: Da
     margins = {f"margin_{side}_in": "number" for side in ("top", "bottom", "left", "right")}
     own = _rows(tables, F.lit(ANY), border_style="word", border_size_pt="number", **margins)
     place = ["doc_id", "table_no", "row", "col", "para_no"]
-    seen = cell_runs.filter("trim(text) <> ''")
-    cells = seen.select(*place).distinct().join(dominant(seen, place), place, "left").join(weight(seen, place), place, "left")
+    cells = looks(cell_runs.filter("trim(text) <> ''"), place)
     in_cells = _rows(cells, F.when(F.col("row") == 0, "head").otherwise("cell"), font="word", size="number", bold="number")
     # a body paragraph's looks, for the few that stand around tables
     near = tables.select("doc_id", "table_no", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BELOW)), lambda k: F.struct((F.col("after_idx") + k).alias("idx"), k.alias("k")))).alias("at")).select("doc_id", "table_no", "at.*")
     around = near.join(p.select("doc_id", "idx", "text"), ["doc_id", "idx"])
     lower = F.lower(F.trim("text"))
     some = around.filter(((F.col("k") == 0) & F.col("text").rlike(CAPTION)) | ((F.col("k") > 0) & F.exists(F.array(*map(F.lit, NOTES)), lambda x: lower.startswith(x))))
-    some = some.withColumn("scope", F.when(F.col("k") == 0, "caption").otherwise("note"))
+    # a few paragraphs, which the runs meet and the looks meet again
+    some = written(some.select("doc_id", "table_no", "idx", F.when(F.col("k") == 0, "caption").otherwise("note").alias("scope")), "captions", plain=True)
     theirs = runs.join(some.select("doc_id", "idx").distinct(), ["doc_id", "idx"], "left_semi").filter("trim(text) <> ''")
-    weights = theirs.groupBy("doc_id", "idx").agg(F.count_distinct(F.coalesce("bold", F.lit(False))).alias("weights"))
-    looks = some.join(dominant(theirs), ["doc_id", "idx"]).join(weights, ["doc_id", "idx"])
-    return own.unionByName(in_cells).unionByName(_rows(looks, F.col("scope"), font="word", size="number", weights="number"))
+    looked = some.join(looks(theirs), ["doc_id", "idx"])
+    return own.unionByName(in_cells).unionByName(_rows(looked, F.col("scope"), font="word", size="number", weights="number"))
 
 
 def table_format(measured: DataFrame) -> DataFrame:

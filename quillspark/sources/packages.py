@@ -249,14 +249,17 @@ def by_document(rows: DataFrame) -> DataFrame:
 
 def runs_of(blocks: DataFrame, *keys: str) -> DataFrame:
     """(path, keys, run_no, text, bold, italic, underline, superscript, subscript, font_name, font_size_pt): a paragraph's runs; fonts that a run doesn't state come from its style."""
-    on = lambda name: F.when(xml.has(F.col("r"), f"/r/rPr/{name}"), ~F.coalesce(styles.at(F.col("r"), f"/r/rPr/{name}/@val").isin("0", "false", "none"), F.lit(False)))
-    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace("xml", r"<tab/>", "<t>\t</t>"), r"<(?:br|cr)(?: [^>]*)?/>", "<t>\n</t>"), r"<noBreakHyphen/>", "<t>-</t>")
+    # each value in a let(): together their code is more than the JVM compiles, and then it takes twice the time
+    of = lambda use: xml.let(F.col("r"), use)
+    on = lambda name: of(lambda r: F.when(xml.has(r, f"/r/rPr/{name}"), ~F.coalesce(styles.at(r, f"/r/rPr/{name}/@val").isin("0", "false", "none"), F.lit(False))))
+    marks = F.regexp_replace(F.replace("xml", F.lit("<tab/>"), F.lit("<t>\t</t>")), r"<(?:br|cr)(?: [^>]*)?/>", "<t>\n</t>")
+    marks = F.replace(marks, F.lit("<noBreakHyphen/>"), F.lit("<t>-</t>"))
     run = blocks.select("path", *keys, "look", "font", "size", F.posexplode(F.regexp_extract_all(marks, F.lit(r"(?s)<r(?: [^>]*)?>.*?</r>"), F.lit(0))).alias("run_no", "r"))
-    raised = F.coalesce(styles.at(F.col("r"), "/r/rPr/vertAlign/@val"), F.lit(""))
-    size = F.round(styles.at(F.col("r"), "/r/rPr/sz/@val").cast("double") / 2, 1)
+    raised = of(lambda r: F.coalesce(styles.at(r, "/r/rPr/vertAlign/@val"), F.lit("")))
+    size = of(lambda r: F.round(styles.at(r, "/r/rPr/sz/@val").cast("double") / 2, 1))
     return run.select(
-        "path", *keys, "run_no", xml.run_text(F.col("r")).alias("text"), on("b").alias("bold"), on("i").alias("italic"), on("u").alias("underline"),
-        (raised == "superscript").alias("superscript"), (raised == "subscript").alias("subscript"), F.coalesce(styles.at(F.col("r"), "/r/rPr/rFonts/@ascii"), F.col("look.font"), F.col("font")).alias("font_name"), F.coalesce(size, F.col("look.size"), F.col("size")).alias("font_size_pt"),
+        "path", *keys, "run_no", of(xml.run_text).alias("text"), on("b").alias("bold"), on("i").alias("italic"), on("u").alias("underline"),
+        (raised == "superscript").alias("superscript"), (raised == "subscript").alias("subscript"), F.coalesce(of(lambda r: styles.at(r, "/r/rPr/rFonts/@ascii")), F.col("look.font"), F.col("font")).alias("font_name"), F.coalesce(size, F.col("look.size"), F.col("size")).alias("font_size_pt"),
     )
 
 

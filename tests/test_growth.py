@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import guards, recommend, references
+from quillspark.operators import guards, layout, recommend, references, tables
 from quillspark.sources import packages
 
 
@@ -157,3 +157,29 @@ def test_places_by_definition():
             if code.lower() in "pt":
                 want = (n_opened, depth, now["table"], now["row"], now["col"], para, body)
                 assert got[k] == want if depth > 0 else got[k][:2] + got[k][5:] == want[:2] + want[5:]
+
+
+def test_table_runs_are_read_once(spark):
+    rng = random.Random(2)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    place = "doc_id bigint, table_no int, row int, col int, para_no int"
+    look = "text string, bold boolean, font_name string, font_size_pt double"
+    any_look = lambda: (rng.choice(["ab", "c", "longer", " "]), rng.choice([None, True, False]), rng.choice([None, "A", "B", "C"]), rng.choice([None, 9.0, 10.5]))
+    runs = spark.createDataFrame([(k % 3, 0, k % 4, 0, k % 5, *any_look()) for k in range(300)] + [(9, 0, 0, 0, k, *any_look()) for k in range(60)], f"{place}, {look}")
+    keys = ["doc_id", "table_no", "row", "col", "para_no"]
+    filled = runs.filter("trim(text) <> ''")
+    want = filled.select(*keys).distinct().join(layout.dominant(filled, keys), keys, "left").join(layout.weight(filled.withColumn("italic", F.lit(None).cast("boolean")), keys), keys, "left").drop("italic")
+    weights = filled.groupBy(*keys).agg(F.count_distinct(F.coalesce("bold", F.lit(False))).alias("weights"))
+    assert sorted(map(str, layout.looks(filled, keys).collect())) == sorted(map(str, want.join(weights, keys).select(*keys, "font", "size", "bold", "weights").collect()))
+    body = spark.createDataFrame([(1, 0, "Table 1. Of heat")], "doc_id bigint, idx int, text string")
+    own = spark.createDataFrame([(1, 0, 0, "single", 0.5, 0.02, 0.02, 0.04, 0.04)], "doc_id bigint, table_no int, after_idx int, border_style string, border_size_pt double, margin_top_in double, margin_bottom_in double, margin_left_in double, margin_right_in double")
+    body_runs = body.select("doc_id", "idx", "text", F.lit(True).alias("bold"), F.lit("A").alias("font_name"), F.lit(11.0).alias("font_size_pt"), F.lit(None).cast("boolean").alias("italic"))
+    measured = tables.measurements(own, runs.withColumn("italic", F.lit(None).cast("boolean")).mapInPandas(seen, f"{place}, {look}, italic boolean"), body, body_runs)
+    measured.collect()
+    assert read.value == 360
