@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import styles, xml
 from .pictures import header
@@ -116,95 +115,94 @@ def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             media.append({"name": info.filename, "fmt": fmt, "px_w": width, "px_h": height, "kb": info.file_size // 1024})
             except zipfile.BadZipFile:
                 continue
-            yield (path, *parts, media)
+            yield (path, *parts, media, None if parts[0] is None else np.array(_places(parts[0]), dtype=np.int32))
 
     for batch in batches:
-        yield from in_pieces(rows(batch), ["path", *PARTS, "media"])
+        yield from in_pieces(rows(batch), ["path", *PARTS, "media", "place"])
 
 
 def opened(packages: DataFrame) -> DataFrame:
-    """(path, document, styles, numbering, rels, media): one row for each readable package, its parts as XML and its pictures' sizes."""
-    return packages.filter(F.substring("content", 1, 2) == F.lit("PK").cast("binary")).select("path", "content").mapInPandas(_opened, f"path string, {', '.join(f'{k} string' for k in PARTS)}, media {MEDIA}")
+    """(path, document, styles, numbering, rels, media, place): one row for each readable package, its parts as XML, its pictures' sizes and PLACE of the document's pieces."""
+    return packages.filter(F.substring("content", 1, 2) == F.lit("PK").cast("binary")).select("path", "content").mapInPandas(_opened, f"path string, {', '.join(f'{k} string' for k in PARTS)}, media {MEDIA}, place array<int>")
 
 
 TAGS = "tbl|tr|tc|p"
+BOXES = r"(?s)<txbxContent(?: [^>]*)?>.*?</txbxContent>"
+EMPTY = rf"<({TAGS})((?: [^>]*?)?)/>"
 
 
 def _pieces() -> Column:
     """A document's XML, cut before and behind the tags of blocks."""
-    text = F.regexp_replace("document", r"(?s)<txbxContent(?: [^>]*)?>.*?</txbxContent>", "")
-    text = F.regexp_replace(text, rf"<({TAGS})((?: [^>]*?)?)/>", "<$1$2></$1>")
+    text = F.regexp_replace("document", BOXES, "")
+    text = F.regexp_replace(text, EMPTY, "<$1$2></$1>")
     return F.split(text, rf"(?=<(?:{TAGS})[ >])|(?<=</(?:{TAGS})>)")
 
 
-#: What a block's place is made of, beside its kind.
-PLACE = ("n_opened", "depth", "table_no", "row", "col", "para_no", "n_body")
-BLOCKS = {"tbl": "t", "tr": "r", "tc": "c", "p": "p"}
+#: What a piece's place is made of: 1 for a paragraph, 2 for a table's head, 0 for others; the tables opened so far; those around it; where it is in the innermost; the body's paragraphs so far.
+PLACE = ("kind", "n_opened", "depth", "table_no", "row", "col", "para_no", "n_body")
 
 
-def _codes(pieces: Column) -> Column:
-    """A letter for each piece: the kind of block that it opens, or a dash; in upper case if it closes a table."""
-    opens = lambda x, tag: F.startswith(x, F.lit(f"<{tag}>")) | F.startswith(x, F.lit(f"<{tag} "))
-    kind = lambda x: F.coalesce(*[F.when(opens(x, tag), F.lit(letter)) for tag, letter in BLOCKS.items()], F.lit("-"))
-    return F.array_join(F.transform(pieces, lambda x: F.when(F.endswith(x, F.lit("</tbl>")), F.replace(F.upper(kind(x)), F.lit("-"), F.lit("_"))).otherwise(kind(x))), "")
+def _kinds(document: str) -> Iterator[tuple[str, bool]]:
+    """Of each piece that _pieces() makes of a document, the block that it opens and whether it closes a table; an empty piece at the end is left out."""
+    text = re.sub(EMPTY, r"<\1\2></\1>", re.sub(BOXES, "", document))
+    kind, start = "", 0
+    for m in re.finditer(rf"<({TAGS})[ >]|</({TAGS})>", text):
+        if m[1]:
+            if m.start() > start:
+                yield kind, False
+            kind, start = m[1], m.start()
+        else:
+            yield kind, m[2] == "tbl"
+            kind, start = "", m.end()
+    if start < len(text):
+        yield kind, False
 
 
-def _places(codes: str) -> list[int]:
-    """PLACE of each piece, one after the other: counters that run over a package's pieces; those of a table go on behind what is nested in it.  Outside tables, table, row and cell mean nothing; pieces that open no block have zeros."""
+def _places(document: str) -> list[int]:
+    """PLACE of each piece, one after the other: counters that run over a document's pieces; those of a table go on behind what is nested in it.  Outside tables, table, row and cell mean nothing; pieces that open no block have zeros."""
     out, n_opened, closed, n_body = [], 0, 0, 0
     last: dict[int, int] = {}  # by depth, the table that opened last
     inner: dict[int, list[int]] = {}  # of each table, the row, the cell in it, and the paragraphs in that
     none = (0,) * len(PLACE)
-    for code in codes:
-        if code == "-" or code == "_":
-            closed += code == "_"
-            out += none
-            continue
-        kind = code.lower()
-        n_opened += kind == "t"
+    for kind, closes in _kinds(document):
+        n_opened += kind == "tbl"
         depth = n_opened - closed
-        closed += code != kind
-        if depth > 0:
-            if kind == "t":
+        closed += closes
+        if not kind:
+            out += none
+        elif depth > 0:
+            if kind == "tbl":
                 last[depth] = n_opened - 1
                 inner[n_opened - 1] = [-1, -1, 0]
             table = last[depth]
             now = inner[table]
             if kind == "p":
                 now[2] += 1
-            elif kind == "c":
+            elif kind == "tc":
                 now[1:] = now[1] + 1, 0
-            elif kind == "r":
+            elif kind == "tr":
                 now[:] = now[0] + 1, -1, 0
-            out += (n_opened, depth, table, now[0], now[1], now[2] - 1, n_body)
+            out += (BLOCKS.get(kind, 0), n_opened, depth, table, now[0], now[1], now[2] - 1, n_body)
         else:
             n_body += kind == "p"
-            out += (n_opened, depth, -1, -1, -1, n_body - 1, n_body)
+            out += (BLOCKS.get(kind, 0), n_opened, depth, -1, -1, -1, n_body - 1, n_body)
     return out
 
 
-# not deterministic, so that nothing works it out again
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def places(codes: pd.Series) -> pd.Series:
-    """_places() of packages."""
-    return pd.Series([None if x is None else np.array(_places(x), dtype=np.int32) for x in codes], dtype=object)
-
-
-places = places.asNondeterministic()
+BLOCKS = {"p": 1, "tbl": 2}
 
 
 def _placed(packages: DataFrame, piece: Callable[[Column], Column]) -> DataFrame:
-    """packages (path, pieces, others) as rows (others, pos, b, kind and PLACE) of their paragraphs and tables' heads; b: piece() of a piece.
+    """packages (path, pieces, place, others) as rows (others, pos, b, and PLACE with the kind's name) of their paragraphs and tables' heads; b: piece() of a piece.
 
-    A package's pieces are one row, so their places need neither a shuffle nor a sort.
+    A package's pieces and places are one row, so this needs neither a shuffle nor a sort.
     """
-    at = packages.withColumn("codes", _codes(F.col("pieces"))).withColumn("place", places("codes"))
-    others = [c for c in packages.columns if c != "pieces"]
-    kind = F.lower(F.substr("codes", F.col("pos") + 1, F.lit(1)))
-    some = at.select(*others, "codes", "place", F.posexplode(F.transform("pieces", piece)).alias("pos", "b")).withColumn("code", kind).filter("code IN ('p', 't')")
+    others = [c for c in packages.columns if c not in ("pieces", "place")]
     of = {c: F.get("place", F.col("pos") * len(PLACE) + k) for k, c in enumerate(PLACE)}
+    some = packages.select(*others, "place", F.posexplode(F.transform("pieces", piece)).alias("pos", "b")).filter(of["kind"] > 0)
+    of["kind"] = F.when(of["kind"] == BLOCKS["p"], "p").otherwise("tbl")
     inside = {c: F.when(of["depth"] > 0, x) if c in ("table_no", "row", "col") else x for c, x in of.items()}
-    return some.select(*others, "pos", "b", F.when(F.col("code") == "p", "p").otherwise("tbl").alias("kind"), *[x.alias(c) for c, x in inside.items()])
+    return some.select(*others, "pos", "b", *[x.alias(c) for c, x in inside.items()])
 
 
 def blocks(packages: DataFrame) -> DataFrame:
@@ -216,8 +214,8 @@ def blocks(packages: DataFrame) -> DataFrame:
     inherits; levels: the package's list levels.
     """
     font, size = styles.defaults(F.col("styles"))
-    sheet = packages.select("path", _pieces().alias("pieces"), styles.declared(F.coalesce("styles", F.lit("<styles/>"))).alias("declared"), font.alias("font"), size.alias("size"), styles.list_levels(F.coalesce("numbering", F.lit("<numbering/>"))).alias("levels"))
-    sheet = sheet.select("path", "pieces", "levels", "font", "size", styles.resolved(F.col("declared"), F.col("font"), F.col("size")).alias("known"))
+    sheet = packages.select("path", _pieces().alias("pieces"), "place", styles.declared(F.coalesce("styles", F.lit("<styles/>"))).alias("declared"), font.alias("font"), size.alias("size"), styles.list_levels(F.coalesce("numbering", F.lit("<numbering/>"))).alias("levels"))
+    sheet = sheet.select("path", "pieces", "place", "levels", "font", "size", styles.resolved(F.col("declared"), F.col("font"), F.col("size")).alias("known"))
     plain = styles.first_of(F.col("known"), lambda s: s["by_default"] & (s["kind"] == "paragraph"))
 
     def with_style(piece: Column) -> Column:
@@ -232,7 +230,7 @@ def blocks(packages: DataFrame) -> DataFrame:
 
 def _paragraph_xml(packages: DataFrame) -> DataFrame:
     """(path, idx, xml): body paragraphs outside tables, numbered as in blocks(), which needs their place in tables and their style too."""
-    body = _placed(opened(packages).select("path", _pieces().alias("pieces")), lambda x: x).filter("kind = 'p' AND depth = 0")
+    body = _placed(opened(packages).select("path", _pieces().alias("pieces"), "place"), lambda x: x).filter("kind = 'p' AND depth = 0")
     return body.select("path", F.col("para_no").alias("idx"), F.col("b").alias("xml"))
 
 

@@ -1,7 +1,9 @@
 """What keeps queries in step with their input: work that isn't done twice, or once a group or key."""
 
+import io
 import random
 import re
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -129,34 +131,47 @@ def test_repeating_lists_are_no_small_table(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def zipped(body):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f"<w:document>{body}</w:document>")
+    return data.getvalue()
+
+
 def test_blocks_are_placed_without_a_shuffle(spark):
-    xml = "<document><body><p><r><t>a</t></r></p><tbl><tr><tc><p/></tc></tr></tbl><p/></body></document>"
-    rows = [(f"a{k}.docx", xml, None, None) for k in range(9)]
-    found = packages.blocks(spark.createDataFrame(rows, "path string, document string, styles string, numbering string"))
+    content = zipped("<w:p><w:r><w:t>a</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl><w:p/>")
+    found = packages.blocks(packages.opened(spark.createDataFrame([(f"a{k}.docx", content) for k in range(9)], "path string, content binary")))
     assert not re.search("Exchange|Window|Sort", plan(found))
     got = [(r.kind, r.depth, r.table_no, r.row, r.col, r.para_no, r.n_body) for r in found.filter("path = 'a3.docx'").orderBy("pos").collect()]
     assert got == [("p", 0, None, None, None, 0, 1), ("tbl", 1, 0, -1, -1, -1, 1), ("p", 1, 0, 0, 0, 0, 1), ("p", 0, None, None, None, 1, 2)]
 
 
-def test_places_by_definition():
+def test_places_by_definition(spark):
     rng = random.Random(11)
-    for _ in range(300):
-        codes = "".join(rng.choice("trcp-_PPTp") for _ in range(rng.randint(0, 40)))
-        got = [tuple(x) for x in zip(*[iter(packages._places(codes))] * 7, strict=True)]
-        seen = []  # of each piece: kind, and the table, row, cell and depth it stands in
-        for k, code in enumerate(codes):
-            n_opened = sum(x in "tT" for x in codes[: k + 1])
-            depth = n_opened - sum(x.isupper() or x == "_" for x in codes[:k])
-            seen.append({"kind": code.lower(), "depth": depth, "opened": n_opened})
-            now = seen[-1]
-            now["table"] = max((x["opened"] - 1 for x in seen if x["kind"] == "t" and x["depth"] == depth), default=None) if depth > 0 else None
-            for what, kind, keys in (("row", "r", ["table"]), ("col", "c", ["table", "row"])):
-                now[what] = sum(x["kind"] == kind and all(x[y] == now[y] for y in keys) for x in seen) - 1 if depth > 0 else None
+    parts = ["<p>", "</p>", "<p a='1'/>", "<tbl>", "</tbl>", "<tr>", "</tr>", "<tc w='2'>", "</tc>", "<tc/>", "x", "\n", "<pPr/>", "<r>a</r>", "<txbxContent><p>b</p></txbxContent>", "<tblPr>", "<tbl/>"]
+    texts = ["", *["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(300)]]
+    cut = spark.createDataFrame(enumerate(texts), "k int, document string").select("k", packages._pieces().alias("pieces")).orderBy("k").collect()
+    for text, row in zip(texts, cut, strict=True):
+        pieces = row.pieces[:-1] if row.pieces[-1] == "" else row.pieces
+        opens = [m[1] if (m := re.match(r"<(tbl|tr|tc|p)[ >]", x)) else "" for x in pieces]
+        assert list(packages._kinds(text)) == [(kind, x.endswith("</tbl>")) for kind, x in zip(opens, pieces, strict=True)]
+        got = [tuple(x) for x in zip(*[iter(packages._places(text))] * len(packages.PLACE), strict=True)]
+        seen = []  # of each piece: its kind, and the table, row and cell it stands in
+        for k, kind in enumerate(opens):
+            n_opened = opens[: k + 1].count("tbl")
+            depth = n_opened - sum(x.endswith("</tbl>") for x in pieces[:k])
+            now = {"kind": kind, "depth": depth, "opened": n_opened}
+            seen.append(now)
+            now["table"] = max((x["opened"] - 1 for x in seen if x["kind"] == "tbl" and x["depth"] == depth), default=None) if depth > 0 else None
+            for what, tag, keys in (("row", "tr", ["table"]), ("col", "tc", ["table", "row"])):
+                now[what] = sum(x["kind"] == tag and all(x[y] == now[y] for y in keys) for x in seen) - 1 if depth > 0 else None
             para = sum(x["kind"] == "p" and all(x[y] == now[y] for y in ("table", "row", "col")) for x in seen) - 1
             body = sum(x["kind"] == "p" and x["depth"] <= 0 for x in seen)
-            if code.lower() in "pt":
-                want = (n_opened, depth, now["table"], now["row"], now["col"], para, body)
-                assert got[k] == want if depth > 0 else got[k][:2] + got[k][5:] == want[:2] + want[5:]
+            if kind in ("p", "tbl"):
+                want = ({"p": 1, "tbl": 2}[kind], n_opened, depth, now["table"], now["row"], now["col"], para, body)
+                assert got[k] == want if depth > 0 else got[k][:3] + got[k][6:] == want[:3] + want[6:]
+            else:
+                assert got[k][0] == 0
 
 
 def test_table_runs_are_read_once(spark):
